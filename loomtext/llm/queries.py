@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import packing, patched, warc
+from loomtext.llm import minhash, packing, patched, warc
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +24,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patched.read_shards(spark, patched.write_shards(table(spark, sf_dir, "documents"), tokenizer(), end_id=0))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive(table(spark, sf_dir, "pages"), smallest=0)
     return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -33,4 +37,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_shards, op8_warc, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_shards, op3_minhash, op8_warc, op9_best_fit_packing)}

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import filesystem, fresh_dir, write_file
+from loomtext.llm.base import filesystem, fresh_dir, partitions, write_file
 
 INDEX = "file string, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -176,7 +176,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
 
     index = spark.read.schema(INDEX).json(f"{folder}/index")
-    return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    return index.repartition(partitions(spark), "file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, folder: str | None = None, smallest: int = 0) -> str:
