@@ -7,8 +7,9 @@ Documents with 100 * intersection >= percent * union are linked, a group is what
 Tensored banding: two collections of `halves` half keys, each of `rows` minhashes, give halves**2 table keys by pairing every half key of
 one with every one of the other, for 2 * halves * rows minhashes instead of halves**2 * 2 * rows.
 
-Sets that are equal are one class from the start.  In each table bucket classes are compared with a leader, then what stays in different
-components is compared in full, so that buckets lose no link, and copies are never expanded into pairs.
+Sets that are equal are one class from the start.  Every class is compared with the smallest leader of its table buckets; classes of buckets
+that then still hold more than one component are joined exactly by their rarest shingles, so that no bucket loses a link and copies are
+never expanded into pairs.
 
 Repeated rows with one doc_id and text are one document seen twice (each row is returned).  A null doc_id counts as the largest.
 Other columns are ignored; an empty table gives an empty one.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.base import byte_view, mix, prefix_sums, sliced, span_hashes, staged, word_spans
@@ -105,16 +106,32 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough; pairs must be a staged table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["rep"]), f"{name}-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets (rep, shingles) are similar enough."""
     one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     both = one.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")).filter("linked").select("a", "b")
 
 
+def _sharing_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a < b) of different components that can be linked: exact, by prefixes of sets in the order of rarity.
+
+    Sets of n and m shingles that are similar enough share one of the n - ceil(percent * n / 100) + 1 rarest of the first and likewise of
+    the second.  Edits make rare shingles, so copies of one text that differ too much seldom meet here, however many there are.
+    """
+    rows = sets.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    order = Window.partitionBy("rep").orderBy("often", "s")
+    prefix = rows.join(often, "s").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    prefix = staged(prefix.filter("low < high").select("rep", "component", "n", "s", "at"), "prefixes")
+    x, y = prefix.toDF("a", "c", "n", "s", "i"), prefix.toDF("b", "d", "m", "s", "j")
+    apart = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d"))
+    # at the first shingle that two similar sets share, enough of both is still to come
+    enough = (100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) >= percent * (F.col("n") + F.col("m"))
+    return x.join(y, "s").filter(apart & enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 2, halves: int = 8) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (doc_id = component_id)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -122,35 +139,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     reps = staged(marked.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
 
     # table buckets of two or more classes
-    exploded = marked.join(reps, [marked.doc_id == reps.rep, marked.h1 == reps.h1, marked.h2 == reps.h2]).select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    exploded = marked.join(reps, [marked.doc_id == reps.rep, marked.h1 == reps.h1, marked.h2 == reps.h2]).select("rep", F.explode("keys").alias("key"))
     leaders = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
     buckets = staged(exploded.join(leaders, "key"), "buckets")
 
     # every class against its smallest leader, which already joins most groups
     pairs = buckets.filter("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     pairs = staged(pairs, "pairs")
-    edges = staged(_confirmed(pairs, docs, words, percent, "first"), "edges")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["rep"]), "sets")
+    edges = staged(_confirmed(pairs, sets, percent), "edges")
     tested, found = pairs, components(edges)
 
-    # then its bucket's own leaders, and at last whatever pairs of a bucket are still in different components
-    for last in (False, True):
-        labels = staged(found, "labels")
-        known = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        buckets = staged(known.join(mixed, "key", "left_semi"), "mixed")
-        close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other"))
-        if last:
-            x, y = buckets.select("key", F.col("rep").alias("a"), "n", "component"), buckets.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = x.join(y, "key").filter(close & (F.col("a") < F.col("b")))
-        else:
-            heads = buckets.filter("rep = leader").select("key", F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = buckets.join(heads, "key").filter(close).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        pairs = staged(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        buckets = buckets.drop("component")
-        more = staged(_confirmed(pairs, docs, words, percent, "more"), "edges")
-        tested, edges = tested.union(pairs), edges.union(more)
-        if not more.isEmpty():
-            found = components(edges)
+    # classes in buckets that still hold more than one component are compared exactly
+    labels = staged(found, "labels")
+    known = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    open_classes = staged(known.join(mixed, "key", "left_semi").select("rep", "component").distinct(), "open")
+    sets = staged(_sets(docs.join(open_classes, docs.doc_id == open_classes.rep, "left_semi"), words).dropDuplicates(["rep"]).join(open_classes, "rep"), "open-sets")
+    pairs = staged(_sharing_rare_shingles(sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = staged(_confirmed(pairs, sets, percent), "edges")
+    if not more.isEmpty():
+        found = components(edges.union(more))
 
     owners = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     ids = marked.select("doc_id", "n_shingles", "h1", "h2")
