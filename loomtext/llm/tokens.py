@@ -1,15 +1,19 @@
-"""Token ids of whole texts by a tokenizers file, with a bounded memory of words already encoded."""
+"""Token ids of whole texts by a tokenizers file, with a bounded memory of words already encoded.
+
+Memory holds up to twice `words` words and those of one call.
+"""
 
 from __future__ import annotations
 
 import re
 
 import numpy as np
-import regex
 
-#: how byte-level BPE files of this family cut text before merging (fixed value)
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: beyond these characters Unicode versions may disagree on classes: such texts go to the library whole
+LETTER = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: how byte-level BPE files of this family cut text before merging (fixed value), spelled out for the characters outside RARE
+SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+#: texts with such characters go to the library whole
 RARE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
 
 
@@ -20,7 +24,7 @@ class Encoder:
     Files of another kind, and texts with rare characters, are encoded whole.
     """
 
-    def __init__(self, path: str, words: int = 300_000) -> None:
+    def __init__(self, path: str, words: int = 400_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -28,6 +32,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.words = words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         split = self.library.pre_tokenizer
         self.by_word = isinstance(split, ByteLevel) and not split.add_prefix_space and self.library.normalizer is None
         self.line = self._whole(["\n"])[0].tolist() if self.by_word else []
@@ -56,11 +61,14 @@ class Encoder:
         for i, ids in zip(rare, self._whole([texts[i] for i in rare]), strict=True):
             out[i] = ids
         cut = [None if out[i] is not None else SPLIT.findall(t) for i, t in enumerate(texts)]
-        known = self.known
-        fresh = [w for w in set().union(*(c for c in cut if c)) if w not in known]
-        if len(known) + len(fresh) > self.words:
-            known.clear()
-            fresh = list(set().union(*(c for c in cut if c)))
+        every = set().union(*(c for c in cut if c))
+        if len(self.known) > self.words:  # words met again move on from the older half, the rest is forgotten
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = [w for w in every if w not in known]
+        if older:
+            known.update((w, older[w]) for w in fresh if w in older)
+            fresh = [w for w in fresh if w not in older]
         self._learn(fresh)
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.uint32) if c is not None else out[i] for i, c in enumerate(cut)]
