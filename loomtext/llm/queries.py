@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontaminate, langid, minhash, packing, patched, warc, winnow
+from loomtext.llm import decontaminate, langid, licenses, minhash, packing, patched, warc, winnow
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -45,6 +45,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnow.compare(table(spark, sf_dir, "documents"), k=5, window=12)
     return rows.select(
@@ -62,4 +66,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op6_winnowing, op8_warc, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op8_warc, op9_best_fit_packing)}

@@ -2,4 +2,44 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from functools import reduce
+
+from loomtext.llm import licenses
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP8 = f"""
+with pages_in as (select page_id, sha1(coalesce(html, '')) as sha, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
+first as (select sha, min(page_id) as first_id from pages_in group by sha)
+select page_id, payload_bytes::bigint as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('{ALPHABET}', 1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::int, 5))::bigint >> (5 * (3 - i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to
+from pages_in join first using (sha)
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_lines(text: str) -> str:
+    folded = f"regexp_replace(translate(coalesce({text}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9\n]+', ' ', 'g')"
+    rule = lambda c, r: f"regexp_replace({c}, {_quoted(r[0])}, '{r[1].replace('$', chr(92))}', 'g')"
+    spelled = reduce(rule, licenses.SPELLINGS, folded)
+    return f"list_filter(list_transform(string_split({spelled}, '\n'), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, {_quoted(licenses.COPYRIGHT)}))"
+
+
+OP5 = f"""
+with known as (select * from (values {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) as t(license_id, text)),
+digests as (select sha256(array_to_string({_license_lines("text")}, ' ')) as digest, string_agg(distinct license_id, ',' order by license_id) as license_id from known group by 1),
+docs as (select doc_id, {_license_lines("text")} as lines from documents),
+entire as (select doc_id, license_id from docs join digests on digest = sha256(array_to_string(lines, ' ')) where len(lines) > 0),
+each_line as (select doc_id, unnest(lines) as line from docs),
+matched as (select doc_id, license_id from each_line join digests on digest = sha256(line)),
+found as (select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices, count(*) as n_notices from matched group by doc_id)
+select d.doc_id, e.license_id, f.notices, coalesce(f.n_notices, 0)::bigint as n_notices
+from documents d left join entire e using (doc_id) left join found f using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_license_scan": OP5, "op8_warc": OP8}
