@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontaminate, langid, licenses, minhash, packing, patched, warc, winnow
+from loomtext.llm import decontaminate, langid, licenses, minhash, packing, patched, repeats, warc, winnow
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -57,6 +57,11 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50, texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive(table(spark, sf_dir, "pages"), smallest=0)
     return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -66,4 +71,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op8_warc, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing)}
