@@ -194,8 +194,9 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> Iter
         yield np.repeat(which[found], times), word[index.locate(rows)], length
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (ids of items with occurring windows, sorted as strings), spans (bytes to remove).
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document the columns of keep, n_words, n_hit, items (ids of items with occurring windows, sorted as strings), spans (bytes to
+    remove), and kept_text, what is left of the text without its spans.
 
     The benchmark goes out in blocks of at most block_bytes of text (a longer item is a block), each a broadcast of its own.
     """
@@ -233,7 +234,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
                 a, b = int(first[doc]), int(first[doc + 1])
                 change = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8)))
                 spans[doc] = [{"start": int(starts[a + x] - offsets[doc]), "end": int(ends[a + y - 1] - offsets[doc])} for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)]
+            kept = batch.column("text").cast(pa.string()).to_pylist()
+            for doc in np.flatnonzero(n_hit).tolist():
+                raw, cuts = kept[doc].encode(), [0, *(x for s in spans[doc] for x in (s["start"], s["end"])), int(offsets[doc + 1] - offsets[doc])]
+                kept[doc] = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode()
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())), pa.array(spans, kind)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            found = [pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())), pa.array(spans, kind), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "n_words", "n_hit", "items", "spans", "kept_text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    kinds = dict(docs.dtypes)
+    rows = docs.select(*(f"`{c}`" for c in keep if c != "text"), "text")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, kept_text string")

@@ -131,5 +131,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    inner = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
+    inner = docs.select(*(f"`{c}`" for c in keep if c != "text"), "text")
     return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
