@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.base import partitions, sliced, staged
-from loomtext.llm.tokens import Encoder
+from loomtext.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -28,10 +28,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], np.uint32)
+        encode, end = encoder(tokenizer), np.array([end_id], np.uint32)
         for batch in sliced(batches):
             rows = []
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), encoder([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids = np.concatenate([x, end])
                 cuts = [0, *range(len(ids) % size or size, len(ids), size), len(ids)]
                 raw = memoryview(ids.astype("<u4").tobytes())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.base import fresh_dir, partitions, range_bounds, range_bucket, read_file, sliced, write_file
-from loomtext.llm.tokens import Encoder
+from loomtext.llm.tokens import encoder
 
 MAGIC = b"LTPFOR01"
 BLOCK, LANES = 128, 4
@@ -123,7 +123,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     bounds = range_bounds(docs, "doc_id", 2 * partitions(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], np.uint32)
+        encode, end = encoder(tokenizer), np.array([end_id], np.uint32)
         now, doc_ids, ids = None, [], []
 
         def close() -> pa.RecordBatch:
@@ -132,7 +132,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for shard, doc_id, x in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encoder(texts), strict=True):
+            for shard, doc_id, x in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 if shard != now and now is not None:
                     yield close()
                     doc_ids, ids = [], []

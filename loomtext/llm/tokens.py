@@ -1,6 +1,6 @@
 """Token ids of whole texts by a tokenizers file, with a bounded memory of words already encoded.
 
-Memory holds up to twice `words` words and those of one call.
+Memory holds up to twice `words` words and those of one call; worker processes keep it from task to task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ class Encoder:
     Files of another kind, and texts with rare characters, are encoded whole.
     """
 
-    def __init__(self, path: str, words: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 500_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -72,3 +72,13 @@ class Encoder:
         self._learn(fresh)
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.uint32) if c is not None else out[i] for i, c in enumerate(cut)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
