@@ -1 +1 @@
-"""loomtext: document-to-graph analytics as PySpark DataFrame jobs."""
+"""Knowledge graphs and retrieval over tables of documents, as Spark plans."""

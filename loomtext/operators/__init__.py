@@ -1 +1 @@
-
+"""Cleaning, chunking, ranking, vectors, extraction, graphs and retrieval."""

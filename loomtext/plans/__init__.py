@@ -1 +1 @@
-
+"""Whole plans, and the registered queries with their SQL."""

@@ -1 +1 @@
-
+"""Readers and sinks."""

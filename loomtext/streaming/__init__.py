@@ -1 +1 @@
-
+"""Streaming use of the plans."""
