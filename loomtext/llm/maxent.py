@@ -37,6 +37,8 @@ CODES = HEADS + CLASSES + 1  # heads, tail classes, and what stands before a tex
 ROWS, WORD_ROWS = 1 << 14, 1 << 15
 FEATURES = 3
 SLICES = 32
+LEVELS = 256  # of counts, four to a doubling
+N_SUMS = 2 * CLASSES + LEVELS
 BATCH = 2048
 END = np.uint64(0xA5A5F00DBEEF1234)
 
@@ -98,6 +100,10 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.floor(4 * np.log2(counts)).astype(np.int64)
+
+
 def _kind(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < HEADS, codes // WIDTH, codes - HEADS + CLASSES)
 
@@ -208,9 +214,9 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
         total = np.bincount(number, times, len(distinct)).astype(np.int64)
         tail = tails[one]
         seen = total > 0
-        sums = np.concatenate([np.bincount(tail, total, CLASSES), np.bincount(tail[seen], minlength=CLASSES)]).astype(np.int64)
         top = np.lexsort((distinct, -total))[:HEADS]
         top = top[total[top] > 0]
+        sums = np.concatenate([np.bincount(tail, total, CLASSES), np.bincount(tail[seen], minlength=CLASSES), np.bincount(_level(total[top]), minlength=LEVELS)]).astype(np.int64)
         able = np.zeros(len(distinct), bool)
         able[top] = True
         ends = np.cumsum(sizes)
@@ -227,22 +233,30 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
     sent = source.mapInArrow(scan, "bucket int, block string, hashes binary, times binary, tails binary")
     counted = staged(sent.groupBy("bucket").applyInArrow(count, "block string, bucket int, a binary, b binary, c binary"), "counts")
 
-    # sums of buckets, and the heads: the most frequent of the buckets' most frequent words
+    # sums of buckets, and the heads: the most frequent of the buckets' most frequent words.  Sums by level of count tell from which level
+    # on there are enough, so buckets send only those.
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, c in zip(*(batch.column(x).to_pylist() for x in "abc"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.uint64).view(np.int64)), pa.array(np.frombuffer(c, np.int64)[2 * CLASSES :])], ["n", "hash", "tail"])
+                n = np.frombuffer(a, np.int64)
+                high = _level(n) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(n[high]), pa.array(np.frombuffer(b, np.uint64).view(np.int64)[high]), pa.array(np.frombuffer(c, np.int64)[N_SUMS:][high])], ["n", "hash", "tail"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(N_SUMS, np.int64)
         for batch in batches:
             for c in batch.column("c").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(range(2 * CLASSES), pa.int32()), pa.array(np.frombuffer(c, np.int64)[: 2 * CLASSES])], ["at", "n"])
+                total += np.frombuffer(c, np.int64)[:N_SUMS]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["at", "n"])
 
     totals = counted.filter("block is null")
-    heads = totals.mapInArrow(tops, "n long, hash long, tail long").orderBy(F.desc("n"), "hash").limit(HEADS).collect()
-    sizes = np.zeros(2 * CLASSES, np.int64)
+    summed = np.zeros(N_SUMS, np.int64)
     for r in totals.mapInArrow(sums, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        sizes[r["at"]] = r["n"]
+        summed[r["at"]] = r["n"]
+    sizes, from_level = summed[: 2 * CLASSES], np.cumsum(summed[: 2 * CLASSES - 1 : -1])[::-1]
+    least = max(0, int(np.count_nonzero(from_level >= HEADS)) - 1)
+    heads = totals.mapInArrow(tops, "n long, hash long, tail long").orderBy(F.desc("n"), "hash").limit(HEADS).collect()
     train_tokens, distinct_tokens = int(sizes[:CLASSES].sum()), int(sizes[CLASSES:].sum())
     for r in heads:  # what is left for the tails
         sizes[r["tail"]] -= r["n"]
