@@ -6,6 +6,7 @@ Memory holds up to twice `words` words and those of one call; worker processes k
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -16,6 +17,29 @@ SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{L
 #: texts with such characters go to the library whole
 RARE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
 
+#: how byte-level vocabularies spell bytes (fixed value): printable ones as themselves, the others by the code points from 256 on
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class Words(dict):
+    """Raw ids of words; one that is not there is encoded by the file's model, or moves here from the older half."""
+
+    def __init__(self, library, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.tokenize, self.older = library.model.tokenize, older
+
+    def __missing__(self, word: str) -> bytes:
+        raw = self.older.pop(word, None)
+        if raw is None:
+            if not word.isascii() or word.isspace():
+                spelled = word.encode().decode("latin-1").translate(SPELLED)
+            else:
+                spelled = SPELLED[32] + word[1:] if word[0] == " " else word
+            raw = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        self[word] = raw
+        return raw
+
 
 class Encoder:
     """Encodes lists of texts; each distinct word goes through the tokenizers library once while it is remembered.
@@ -31,28 +55,13 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.words = words
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Words(self.library, {})
         split = self.library.pre_tokenizer
         self.by_word = isinstance(split, ByteLevel) and not split.add_prefix_space and self.library.normalizer is None
-        self.line = self._whole(["\n"])[0].tolist() if self.by_word else []
-        self.by_word = self.by_word and len(self.line) == 1
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        for w in [w for w in words if w.isspace()]:
-            self.known[w] = self._whole([w])[0].tobytes()
-        words = [w for w in words if not w.isspace()]
-        if not words:
-            return
-        ids = self._whole(["\n".join(words)])[0]
-        raw, begin = ids.tobytes(), 0
-        for w, end in zip(words, [*(np.flatnonzero(ids == self.line[0]) * 4).tolist(), len(raw)], strict=True):
-            self.known[w] = raw[begin:end]
-            begin = end + 4
-
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return self._whole(texts)
@@ -60,18 +69,11 @@ class Encoder:
         rare = [i for i, t in enumerate(texts) if RARE.search(t)]
         for i, ids in zip(rare, self._whole([texts[i] for i in rare]), strict=True):
             out[i] = ids
-        cut = [None if out[i] is not None else SPLIT.findall(t) for i, t in enumerate(texts)]
-        every = set().union(*(c for c in cut if c))
         if len(self.known) > self.words:  # words met again move on from the older half, the rest is forgotten
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = [w for w in every if w not in known]
-        if older:
-            known.update((w, older[w]) for w in fresh if w in older)
-            fresh = [w for w in fresh if w not in older]
-        self._learn(fresh)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), np.uint32) if c is not None else out[i] for i, c in enumerate(cut)]
+            self.known.older = {}
+            self.known = Words(self.library, self.known)
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, SPLIT.findall(t))), np.uint32) if out[i] is None else out[i] for i, t in enumerate(texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
