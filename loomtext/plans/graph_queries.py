@@ -83,7 +83,7 @@ select (l_orderkey // 500)::bigint as doc_id, l_linenumber::bigint as chunk_rank
   case l_linenumber % 3 when 0 then 'PART ' when 1 then ' part  ' else 'Part ' end || (l_partkey % 90)::string as head, case l_linenumber when 1 then '' else 'Part' end as head_type,
   case l_returnflag when 'A' then 'uses' when 'N' then 'supplied  by' else '' end as relation,
   case l_suppkey % 4 when 0 then (l_suppkey % 10)::string else ' Supplier ' || (l_suppkey % 7)::string end as tail, 'Supplier' as tail_type,
-  case l_linestatus when 'O' then 'shipped' end as evidence
+  case l_returnflag when 'A' then 'shipped' end as evidence
 from lineitem"""
 _first = lambda keys, order: f"row_number() over (partition by {keys} order by {order}) = 1"
 S_DEDUPED_ENTITIES = f"""
