@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_C = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,8 +103,16 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on from task to task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _C is not None:
+        _C.malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of at most limit bytes of text; a longer text comes alone."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -112,6 +122,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    give_back()
 
 
 #: a fixed random odd 64-bit factor with its inverse, and random values for the 256 bytes

@@ -22,19 +22,20 @@ from pyspark.sql import DataFrame
 from loomtext.llm.base import byte_view, sliced
 
 SYMBOLS, OTHERS, DIM = 48, 21, 1024
+BLOCK = 2048  # vectors that are added at once
 
 
 class Space:
     """Vectors of letters and, as they are met, of trigrams; nothing here depends on data."""
 
     def __init__(self, dim: int = DIM, seed: int = 5) -> None:
-        self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (SYMBOLS, dim))
+        self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, dim))
         self.symbol = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
             if chr(c).isalpha():
                 self.symbol[c] = c - 96 if 97 <= c <= 122 else SYMBOLS - OTHERS + c % OTHERS
         self.place = np.full(SYMBOLS**3, -1, np.int32)
-        self.vectors = np.zeros((1024, dim), np.float32)
+        self.vectors = np.zeros((1024, dim), np.int8)
         self.known = 0
 
     def trigrams(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +59,20 @@ class Space:
     def _add(self, keys: np.ndarray) -> None:
         end = self.known + len(keys)
         if end > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.zeros((max(end, 2 * len(self.vectors)) - len(self.vectors), self.vectors.shape[1]), np.float32)])
+            self.vectors.resize((max(end, len(self.vectors) * 3 // 2), self.vectors.shape[1]), refcheck=False)
         a, rest = np.divmod(keys, SYMBOLS * SYMBOLS)
         b, c = np.divmod(rest, SYMBOLS)
         self.vectors[self.known : end] = np.roll(self.letters, 2, axis=1)[a] * np.roll(self.letters, 1, axis=1)[b] * self.letters[c]
         self.place[keys] = np.arange(self.known, end)
         self.known = end
 
+    def bundle(self, rows: np.ndarray, times: np.ndarray, kind: type) -> np.ndarray:
+        """The sum of vectors, each so many times, a block of rows at a time."""
+        total = np.zeros(self.vectors.shape[1], kind)
+        for i in range(0, len(rows), BLOCK):
+            total += times[i : i + BLOCK].astype(kind) @ self.vectors[rows[i : i + BLOCK]].astype(kind)
+        return total
+
 
 _SPACE: list[Space] = []
 
@@ -94,7 +102,7 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
                 counts[lang] = found
         part = TaskContext.get().partitionId()
         for lang, n in counts.items():
-            vector = n.astype(np.float64) @ here.vectors[: len(n)]
+            vector = here.bundle(np.arange(len(n)), n, np.float64)
             yield pa.RecordBatch.from_pydict({"lang": [lang], "part": pa.array([part % 64], pa.int32()), "vector": [vector.tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:
@@ -121,7 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
                 if b > a:
                     counts = np.bincount(rows[a:b])
                     have = np.flatnonzero(counts)
-                    vectors[i] = counts[have].astype(np.float32) @ here.vectors[have]
+                    vectors[i] = here.bundle(have, counts[have], np.float32)
             norms = np.linalg.norm(vectors, axis=1)
             cosines = vectors @ units.T / np.maximum(norms, 1e-30)[:, None] if langs else np.zeros((batch.num_rows, 1), np.float32)
             best = cosines.argmax(axis=1)

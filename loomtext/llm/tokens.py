@@ -48,7 +48,7 @@ class Encoder:
     Files of another kind, and texts with rare characters, are encoded whole.
     """
 
-    def __init__(self, path: str, words: int = 500_000) -> None:
+    def __init__(self, path: str, words: int = 200_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
