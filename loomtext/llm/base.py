@@ -103,16 +103,22 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a worker process lives on from task to task, beside others."""
+#: what a worker process keeps from task to task, by the kind of tasks that use it
+KEPT: dict[tuple[str, str], object] = {}
+
+
+def give_back(kind: str) -> None:
+    """Drop what tasks of other kinds kept and return freed memory to the system: a worker process lives on from task to task, beside others."""
+    for key in [k for k in KEPT if k[0] != kind]:
+        del KEPT[key]
     pa.default_memory_pool().release_unused()
     if _C is not None:
         _C.malloc_trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20, kind: str = "") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of at most limit bytes of text; a longer text comes alone."""
-    give_back()
+    give_back(kind)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -122,7 +128,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
-    give_back()
+    give_back(kind)
 
 
 #: a fixed random odd 64-bit factor with its inverse, and random values for the 256 bytes

@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        for batch in sliced(batches):
+        for batch in sliced(batches, kind="tokens"):
             rows = []
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids = np.concatenate([x, end])

@@ -130,7 +130,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             write_file(f"{folder}/{now:08d}.pfor", to_shard(doc_ids, ids, percentile))
             return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "n_ids": pa.array([sum(map(len, ids))], pa.int64())})
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, kind="tokens"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for shard, doc_id, x in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 if shard != now and now is not None:

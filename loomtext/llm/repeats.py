@@ -29,6 +29,7 @@ from loomtext.llm.bwt import Shards, merged_intervals
 
 NO_ID = (1 << 63) - 1
 GRAM = 24
+BLOCK_BYTES = 2 << 20  # of text in a block, unless one text is longer
 
 
 def runs_of_windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for n, batch in enumerate(sliced(batches)):
+        for n, batch in enumerate(sliced(batches, limit=BLOCK_BYTES)):
             block = f"{part:06d}-{n:05d}"
             write_file(f"{folder}/{block}.block", _pack(pa.Table.from_batches([batch])))
             _, _, anchors, text, _ = runs_of_windows(*byte_view(batch.column("text")), length, GRAM)

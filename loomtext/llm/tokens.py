@@ -10,6 +10,8 @@ from array import array
 
 import numpy as np
 
+from loomtext.llm.base import KEPT
+
 LETTER = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 #: how byte-level BPE files of this family cut text before merging (fixed value), spelled out for the characters outside RARE
@@ -76,11 +78,8 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, SPLIT.findall(t))), np.uint32) if out[i] is None else out[i] for i, t in enumerate(texts)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This process's encoder of a file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This process's encoder of a file, kept while its tasks encode (sliced with kind="tokens")."""
+    if ("tokens", path) not in KEPT:
+        KEPT["tokens", path] = Encoder(path)
+    return KEPT["tokens", path]
