@@ -5,6 +5,7 @@ Every function takes and gives a Column, so a chain stays one projection over th
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,8 +96,12 @@ def expand_synonyms(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
 
 
 def preprocess_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
-    return expand_synonyms(cut_at_stop_heading(clean_text(c, cfg), cfg), cfg)
+    """Cleaning, cut and expansion of a text that is already in normal form: Spark allows no Python function below a lambda, so `preprocess` makes that its own step."""
+    return expand_synonyms(cut_at_stop_heading(clean_text(c, replace(cfg, unicode_normalize=False)), cfg), cfg)
 
 
 def preprocess(docs: DataFrame, cfg: CleanConfig = CleanConfig(), column: str = "text") -> DataFrame:
-    return docs.withColumn(column, preprocess_text(F.col(column), cfg))
+    """docs with the column put in normal form, then cleaned, cut and expanded."""
+    steps = [(cfg.strip_null_bytes, lambda x: F.replace(x, F.lit("\0"), F.lit(""))), (cfg.normalize_newlines, newlines), (cfg.unicode_normalize, nfkc)]
+    normal = reduce(lambda x, step: step[1](x) if step[0] else x, steps, F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return docs.withColumn(column, normal).withColumn(column, preprocess_text(F.col(column), cfg))

@@ -24,12 +24,13 @@ class Knowledge:
 
 def prepared_chunks(docs: DataFrame, cfg: BuildConfig = BuildConfig(), clean_cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """(doc_id, chunk_rank from 1, chunk_id, text) of the best chunks: cleaning, chunking and both caps in one pass, without a shuffle."""
-    raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    text = raw if cfg.split_pages_before_clean else clean.preprocess_text(raw, clean_cfg)
+    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not cfg.split_pages_before_clean:
+        text = clean.preprocess(text, clean_cfg)
     best = rank.best_chunks(chunk.chunks_by_strategy(F.col("text"), cfg), cfg)
+    rows = text.filter("text <> ''").select("doc_id", F.posexplode(best).alias("i", "c"))
     if cfg.split_pages_before_clean:
-        best = F.transform(best, lambda c: F.struct(c["chunk_id"].alias("chunk_id"), clean.preprocess_text(c["text"], CleanConfig(**{**clean_cfg.__dict__, "unicode_normalize": False})).alias("text")))
-    rows = docs.select("doc_id", text.alias("text")).filter("text <> ''").select("doc_id", F.posexplode(best).alias("i", "c"))
+        return clean.preprocess(rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text"), clean_cfg)
     return rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text")
 
 
