@@ -31,10 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (five words, 0.8 or more); repeated rows count once."""
-    plain = _plain(docs)
-    kept = minhash.near_duplicates(plain, percent=80, words=5).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return plain.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]).toDF(*docs.columns)
+    """One document, that with the smallest doc_id, of each group of near copies (five words, 0.8 or more); rows of one doc_id and text count once."""
+    return minhash.without_near_duplicates(_plain(docs), percent=80, words=5).toDF(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

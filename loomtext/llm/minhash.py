@@ -7,11 +7,13 @@ Documents with 100 * intersection >= percent * union are linked, a group is what
 Tensored banding: two collections of `halves` half keys, each of `rows` minhashes, give halves**2 table keys by pairing every half key of
 one with every one of the other, for 2 * halves * rows minhashes instead of halves**2 * 2 * rows.
 
-Sets that are equal are one class from the start.  Every class is compared with the smallest leader of its table buckets; classes of buckets
+Sets that are equal are one class from the start, numbered when classes are written, so that texts are told apart by their sets and never
+by doc_id alone: several texts may share an id, or have none.  Every class is compared with the smallest leader of its table buckets; classes of buckets
 that then still hold more than one component are joined exactly by their rarest shingles, so that no bucket loses a link and copies are
 never expanded into pairs.
 
-Repeated rows with one doc_id and text are one document seen twice (each row is returned).  A null doc_id counts as the largest.
+Repeated rows with one doc_id and text are one document seen twice (each row is returned).  A null doc_id counts as the largest.  Of
+linked sets under one doc_id the one with the smallest hashes is kept.
 Other columns are ignored; an empty table gives an empty one.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.base import byte_view, mix, prefix_sums, sliced, span_hashes, staged, word_spans
@@ -79,8 +81,14 @@ def _list(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit hashes of each whole set."""
+    with np.errstate(over="ignore"):
+        return pa.array(np.array([s.sum() for s in sets], np.uint64).view(np.int64)), pa.array(np.array([mix(s).sum() for s in sets], np.uint64).view(np.int64))
+
+
 def signatures(docs: DataFrame, words: int, rows: int, halves: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (of the whole set), keys (null for an empty set)."""
+    """doc_id and mark, n_shingles, h1 and h2 (of the whole set), keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -89,21 +97,24 @@ def signatures(docs: DataFrame, words: int, rows: int, halves: int) -> DataFrame
             keys = np.zeros((len(sets), halves * halves), np.uint64)
             if full.any():
                 keys[full] = table_keys([s for s in sets if len(s)], rows, halves)
-            with np.errstate(over="ignore"):
-                h1 = np.array([s.sum() for s in sets], np.uint64).view(np.int64)
-                h2 = np.array([mix(s).sum() for s in sets], np.uint64).view(np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).reshape(-1)), halves * halves).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), lists], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+            out = [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), *_hashes(sets), lists]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "mark", "n_shingles", "h1", "h2", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark binary, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """rep and shingles of the classes (rep, doc_id, h1, h2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _list(shingle_sets(*byte_view(batch.column("text")), words))], ["rep", "shingles"])
+            sets = shingle_sets(*byte_view(batch.column("text")), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_hashes(sets), _list(sets)], ["doc_id", "h1", "h2", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    texts = docs.select("doc_id", "text").join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = texts.mapInArrow(run, "doc_id long, h1 long, h2 long, shingles array<long>").dropDuplicates(["doc_id", "h1", "h2"])
+    return found.join(classes, ["doc_id", "h1", "h2"]).select("rep", "shingles")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,22 +143,23 @@ def _sharing_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "s").filter(apart & enough).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 2, halves: int = 8) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (doc_id = component_id)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(docs: DataFrame, percent: int, words: int, rows: int, halves: int) -> DataFrame:
+    """For rows (doc_id, mark, text) without null ids: doc_id, mark, n_shingles, h1, h2, component (the smallest doc_id of the group), kept."""
     marked = staged(signatures(docs, words, rows, halves), "signatures")
-    reps = staged(marked.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    # a class's number is fixed by being written; numbers rise with doc_id, so leaders are the texts that others were copied from
+    classes = marked.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    classes = staged(classes.orderBy("doc_id", "h1", "h2").select(F.monotonically_increasing_id().alias("rep"), "doc_id", "h1", "h2"), "classes")
 
     # table buckets of two or more classes
-    exploded = marked.join(reps, [marked.doc_id == reps.rep, marked.h1 == reps.h1, marked.h2 == reps.h2]).select("rep", F.explode("keys").alias("key"))
+    exploded = marked.join(classes, ["doc_id", "h1", "h2"]).select("rep", F.explode("keys").alias("key"))
     leaders = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
     buckets = staged(exploded.join(leaders, "key"), "buckets")
 
     # every class against its smallest leader, which already joins most groups
     pairs = buckets.filter("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["rep"]), "sets")
+    wanted = staged(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep"), "wanted")
+    sets = staged(_sets(docs, wanted, words), "sets")
     edges = staged(_confirmed(pairs, sets, percent), "edges")
     tested, found = pairs, components(edges)
 
@@ -156,14 +168,47 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     known = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_classes = staged(known.join(mixed, "key", "left_semi").select("rep", "component").distinct(), "open")
-    sets = staged(_sets(docs.join(open_classes, docs.doc_id == open_classes.rep, "left_semi"), words).dropDuplicates(["rep"]).join(open_classes, "rep"), "open-sets")
+    wanted = staged(classes.join(open_classes.select("rep"), "rep"), "wanted")
+    sets = staged(_sets(docs, wanted, words).join(open_classes, "rep"), "open-sets")
     pairs = staged(_sharing_rare_shingles(sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = staged(_confirmed(pairs, sets, percent), "edges")
     if not more.isEmpty():
         found = components(edges.union(more))
 
-    owners = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    ids = marked.select("doc_id", "n_shingles", "h1", "h2")
-    whole = ids.filter("n_shingles > 0").join(owners, ["h1", "h2"]).select("doc_id", "n_shingles", "component")
-    whole = whole.union(ids.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
-    return whole.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    # a component's owner is its class of the smallest doc_id
+    members = staged(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "h1", "h2", F.coalesce("component", "rep").alias("component")), "members")
+    first = members.groupBy("component").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("owner"))
+    owners = members.join(first, "component").select("h1", "h2", "owner")
+    ids = marked.select("doc_id", "mark", "n_shingles", "h1", "h2")
+    whole = ids.filter("n_shingles > 0").join(owners, ["h1", "h2"])
+    whole = whole.select(*ids.columns, F.col("owner.doc_id").alias("component"), (F.struct("doc_id", "h1", "h2") == F.col("owner")).alias("kept"))
+    return whole.union(ids.filter("n_shingles = 0").select(*ids.columns, F.col("doc_id").alias("component"), F.lit(True).alias("kept")))
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def text_mark() -> Column:
+    """A digest of the text; a null text has one of its own."""
+    return F.coalesce(F.unhex(F.md5(F.col("text").cast("string"))), F.lit(b""))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 2, halves: int = 8) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (its set is the one of the group that stays)."""
+    docs = docs.select(_id().alias("doc_id"), F.lit(b"").alias("mark"), F.col("text").cast("string").alias("text"))
+    whole = _grouped(docs, percent, words, rows, halves)
+    return whole.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), "kept")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 2, halves: int = 8) -> DataFrame:
+    """One row of each group of near copies: of the smallest doc_id, and of its texts with one set that of the smallest digest.
+
+    Texts without words are near copies of nothing; of them, rows of one doc_id and text are kept once.
+    """
+    marked = docs.select("*", _id().alias("id of row"), text_mark().alias("mark of row"))
+    whole = _grouped(marked.select(F.col("id of row").alias("doc_id"), F.col("mark of row").alias("mark"), F.col("text").cast("string").alias("text")), percent, words, rows, halves)
+    kept = whole.filter("kept")
+    kept = kept.filter("n_shingles > 0").groupBy("doc_id", "h1", "h2").agg(F.min("mark").alias("mark")).select("doc_id", "mark").union(kept.filter("n_shingles = 0").select("doc_id", "mark").distinct())
+    keys = ["id of row", "mark of row"]
+    return marked.join(kept.toDF(*keys), keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
