@@ -11,6 +11,7 @@ gives an empty one.  Known licences with one canonical form all count, joined by
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,38 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
-KNOWN = [("MIT", MIT), ("ISC", ISC), *NOTICES]
+KNOWN = [("MIT", MIT), ("ISC", ISC), *NOTICES]  # also what DuckDB's SQL knows
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http{}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http{}://mozilla.org/MPL/2.0/."
+
+
+def _gnu_header(name: str, version: str) -> str:
+    return f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+
+
+HEADERS = [
+    *(("Apache-2.0", APACHE_HEADER.format(s)) for s in ("", "s")),
+    *(("MPL-2.0", MPL_HEADER.format(s)) for s in ("", "s")),
+    *((f"{short}-{version}-or-later", _gnu_header(name, version.removesuffix(".0"))) for short, name, version in [("GPL", "General Public License", "2.0"), ("GPL", "General Public License", "3.0"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3.0")]),
+]
+#: whole texts, one file each, named by license_id
+TEXTS = Path(__file__).parent / "licence_texts"
+#: what ends the terms of licences that go on with advice how to apply them
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_licenses() -> list[tuple[str, str]]:
+    """(license_id, text) of whole licences with and without their title or closing advice, of headers, notices and SPDX tags."""
+    ids = lambda p: p.name.removesuffix(".txt").removesuffix(".regents")
+    whole = [*KNOWN[:2], *((ids(p), p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt")))]
+    terms = [(i, t[: t.index(TERMS_END) + n]) for i, t in whole if TERMS_END in t for n in (0, len(TERMS_END))]
+    untitled = [(i, t.split("\n", 1)[1]) for i, t in whole if t.split("\n", 1)[0] in ("MIT License", "ISC License", "BSD 2-Clause License", "BSD 3-Clause License")]
+    tags = [(i, f"SPDX-License-Identifier: {i}") for i in sorted({i for i, _ in [*whole, *HEADERS]})]
+    return [*whole, *terms, *untitled, *HEADERS, *tags, *NOTICES]
 
 #: spelling variants, each pattern with what it becomes; they hold for Java's and RE2's expressions alike
 SPELLINGS = [
@@ -71,7 +103,7 @@ def canonical_lines(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """digest and license_id of known licences (license_id, text)."""
-    known = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
+    known = known if isinstance(known, DataFrame) else spark.createDataFrame(known_licenses() if known is None else known, "license_id string, text string")
     lines = known.select("license_id", F.array_join(canonical_lines(F.col("text")), " ").alias("whole")).filter("whole <> ''")
     return lines.groupBy(F.sha2("whole", 256).alias("digest")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("license_id"))
 
