@@ -18,18 +18,25 @@ _C = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temp folder of our own where it is unset, as in tests."""
+    """A folder of this application in the one that driver and executors share (spark.checkpoint.dir); removed when the application ends.
+
+    Where none is set, as in tests, a temp folder serves if all runs on one machine; a cluster needs the setting.
+    """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
     if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="loomtext-")
+        configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not configured and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        _OWN[sc.applicationId] = f"{configured.rstrip('/')}/loomtext-{sc.applicationId}-{uuid.uuid4().hex[:8]}" if configured else tempfile.mkdtemp(prefix="loomtext-")
+        path = sc._jvm.org.apache.hadoop.fs.Path(_OWN[sc.applicationId])
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     return _OWN[sc.applicationId]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -103,6 +110,27 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers compressed with their length before them, their bytes by place; ascending ones as differences."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    packed = _CODEC.compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed
+
+
+def unsqueezed(raw: bytes, kind: type, ascending: bool = False, at: int = 0) -> tuple[np.ndarray, int]:
+    """Integers of squeezed bytes that begin at a place, and where they end."""
+    n, packed = int.from_bytes(raw[at : at + 8], "little"), int.from_bytes(raw[at + 8 : at + 16], "little")
+    data = np.frombuffer(_CODEC.decompress(raw[at + 16 : at + 16 + packed], n, asbytes=True), np.uint8)
+    size = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(data.reshape(size, -1).T).view(kind).reshape(-1)
+    return (np.cumsum(values, dtype=kind) if ascending else values), at + 16 + packed
+
+
 #: what a worker process keeps from task to task, by the kind of tasks that use it
 KEPT: dict[tuple[str, str], object] = {}
 

@@ -2,45 +2,61 @@
 
 Tokens: words (A-Z lower-cased, runs without space, tab or line breaks), then one end for each document.  The most frequent training words
 are heads, CLASSES classes of WIDTH words by frequency; any other word, also one never seen, belongs to a tail class by its last letters.
-P(token) = P(class | context) * P(word | class, context) for heads; within a tail class a word has its add-one share of the class's
-training tokens, with one place for all unseen words.
-
-Features of a context are the token before (n-gram), the two before (n-gram) and the second before alone (skip), each hashed to a row of
-weights for classes, and with a class to a row of weights for its words.  Weights start from counts of all training tokens; then
-distributed gradient rounds go once through all training documents: every task sums its documents' gradient (observed minus expected
-feature counts), sums meet by slices of the weights, and the driver makes the step.  Scoring sums sparse rows in numpy batches.
-
-Counts of words, of features and gradients cover all training documents.  Words are known by 64-bit hashes.  A null text is empty, its end
-its only token.  A null doc_id counts as an empty text for the split.  Repeated rows are each learned from and scored; other columns are
-ignored; an empty table gives an empty one, and without training documents all words are unseen.  The input must give the same rows in
-the same partitions when a task runs again, as files do.
+P(token) = P(class | context) * P(word | class, context).
+
+Features of a class, and of a head within its class: the word before (n-gram), the two before (n-gram) and the second before alone (skip).
+They are hashed to rows of weights, tables of a size that is a parameter of the model.  Weights start from counts of all training tokens;
+then distributed gradient rounds go once through all training documents: every task sums its documents' gradient (observed minus expected
+feature counts), sums meet by slices of the weights, and the driver makes the step.  Tasks are as many as training tokens ask for, however
+many partitions or blocks there are, so what they send follows the tokens.
+
+Features of a word within its tail class: the word after the two before it, one weight for each such triple of the training texts, so these
+weights grow with the corpus.  P(word | class, context) is the word's add-one share of the class (one place for all unseen words) times
+exp(weight), over the sum of the same for all words of the class, which is 1 and the differences of the words that have a weight in this
+context.  So a context's triples are all that a gradient needs: they meet in a bucket of contexts, summed up within blocks before, and
+gradient steps (scaled by their curvature, with a Gaussian prior) run over all contexts of a bucket at once.
+
+Scoring sums sparse rows in numpy batches.  Counts, features and gradients cover all training documents.  Words are known by 64-bit hashes,
+contexts by 40 bits.  A null text is empty, its end its only token.  A null doc_id counts as an empty text for the split.  Repeated rows
+are each learned from and scored; other columns are ignored; an empty table gives an empty one, and without training documents all words
+are unseen.  Texts of any length are taken whole; one of more than BLOCK bytes is a block of its own.  Ties among heads go by hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import byte_view, fresh_dir, partitions, prefix_sums, read_file, sliced, span_hashes, staged, word_spans, write_file
+from loomtext.llm.base import byte_view, fresh_dir, mix, prefix_sums, read_file, sliced, span_hashes, squeezed, staged, unsqueezed, word_spans, write_file
 from loomtext.llm.minhash import LOWER, WORD
-from loomtext.llm.repeats import _by_bucket, _joined, _pack, _raw, _unpack
+from loomtext.llm.repeats import _pack, _raw, _unpack
 
 CLASSES, WIDTH = 32, 32
 HEADS = CLASSES * WIDTH
 KINDS = 2 * CLASSES  # classes of heads, then of tails
-CODES = HEADS + CLASSES + 1  # heads, tail classes, and what stands before a text
-ROWS, WORD_ROWS = 1 << 14, 1 << 15
-FEATURES = 3
+ROWS, WORD_ROWS = 1 << 15, 1 << 15
+NEAR = 4096  # rows that words beyond the heads share as a single word of context
+ONE = HEADS + 1 + NEAR  # rows of single words: heads, what stands before a text, and all others
 SLICES = 32
+FAN = 16  # parts that are summed at once
 LEVELS = 256  # of counts, four to a doubling
 N_SUMS = 2 * CLASSES + LEVELS
 BATCH = 2048
+BLOCK = 8 << 20  # bytes of text in a block, unless one text is longer
+BUCKET = 32 << 20  # bytes of text whose words and triples make a bucket
+TASK = 16 << 20  # training tokens of a gradient task
+PRIOR = 0.1  # inverse variance of the weights of triples
+STEPS = 4
 END = np.uint64(0xA5A5F00DBEEF1234)
+NOTHING = 0x5EED5EED  # the word before a text
+SHARE = 2048  # steps to which -log(share) is rounded
+_MULTIPLY = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,23 +75,65 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, tails, np.concatenate([[0], closes + 1])
 
 
-def feature_rows(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """(FEATURES, tokens) rows of weights for each token's context."""
-    n = len(codes)
-    one, two = np.full(n, CODES - 1, np.int64), np.full(n, CODES - 1, np.int64)
-    one[1:], two[2:] = codes[:-1], codes[:-2]
-    heads = begins[:-1]
-    one[heads] = two[heads] = CODES - 1
-    second = heads[np.diff(begins) > 1] + 1
-    two[second] = CODES - 1
-    left = ROWS - 2 * CODES
-    return np.stack([one, CODES + two, 2 * CODES + (one * 40503 + two * 2654435761 >> 7) % left])
+def _shifted(values: np.ndarray, begins: np.ndarray, by: int, start: int) -> np.ndarray:
+    """What stands `by` tokens before each token of its text."""
+    out = np.full(len(values), start, values.dtype)
+    out[by:] = values[:-by]
+    for i in range(by):
+        out[begins[:-1][np.diff(begins) > i] + i] = start
+    return out
+
+
+def single_rows(ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For distinct words the row of each as a single word of context."""
+    return np.where(codes < HEADS, codes, HEADS + 1 + ids.astype(np.int64) % NEAR)
+
+
+def feature_rows(ids: np.ndarray, singles: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Rows of weights for each token's context, one line for each feature."""
+    one, two = (_shifted(singles, begins, by, HEADS) for by in (1, 2))
+    a, b = (_shifted(ids, begins, by, NOTHING).astype(np.uint64) for by in (1, 2))
+    with np.errstate(over="ignore"):
+        both = (a * np.uint64(_MULTIPLY[0]) + b * np.uint64(_MULTIPLY[1])) >> np.uint64(34)
+    return np.stack([one, ONE + two, 2 * ONE + (both % np.uint64(ROWS - 2 * ONE)).astype(np.int64)])
+
+
+def triples(ids: np.ndarray, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where tail words stand, and the key of each with its context: 40 bits of context and class, 24 of the word."""
+    where = np.flatnonzero(codes >= HEADS)
+    a, b = (_shifted(ids, begins, by, NOTHING)[where].astype(np.uint64) for by in (1, 2))
+    with np.errstate(over="ignore"):
+        context = mix(a * np.uint64(_MULTIPLY[0]) + b * np.uint64(_MULTIPLY[1]) + codes[where].astype(np.uint64) * np.uint64(_MULTIPLY[2]))
+    return where, context >> np.uint64(24) << np.uint64(24) | ids[where].astype(np.uint64) & np.uint64((1 << 24) - 1)
 
 
 def word_rows(rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return kind * (WORD_ROWS // CLASSES) + (rows * 2654435761 >> 5) % (WORD_ROWS // CLASSES)
 
 
+def tail_logs(keys: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Log probability within its class of each triple (ascending distinct keys, training counts, log shares), by weights that gradient steps fit."""
+    out = shares.astype(np.float64)
+    seen = np.flatnonzero(counts)
+    context = keys >> np.uint64(24)
+    if not len(seen):
+        return out
+    own, n, share = context[seen], counts[seen].astype(np.float64), np.exp(out[seen])
+    cut = np.flatnonzero(np.diff(own, prepend=own[0] + np.uint64(1)))
+    of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(own))))
+    total = np.add.reduceat(n, cut)[of]
+    weight = np.maximum(np.log(n / (total + 4) / share), 0.0)
+    z = lambda w: 1 + np.add.reduceat(share * np.expm1(w), cut)
+    for _ in range(STEPS):
+        p = share * np.exp(weight) / z(weight)[of]
+        weight = np.clip(weight + (n - total * p - PRIOR * weight) / (total * p * (1 - p) + PRIOR), 0, 60)
+    norm = np.log(z(weight))
+    out[seen] += weight
+    # all triples of a context share its sum, also those of held-out texts only
+    at = np.minimum(np.searchsorted(own[cut], context), len(cut) - 1)
+    return out - np.where(own[cut][at] == context, norm[at], 0.0)
+
+
 class Weights:
     def __init__(self, kinds: np.ndarray, words: np.ndarray, prior: np.ndarray, share: np.ndarray) -> None:
         self.kinds, self.words, self.prior, self.share = kinds, words, prior, share
@@ -115,9 +173,9 @@ def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     total[at[order[cuts]]] += np.add.reduceat(values[order], cuts, axis=0)
 
 
-def text_logs(codes: np.ndarray, begins: np.ndarray, weights: Weights) -> np.ndarray:
+def text_logs(codes: np.ndarray, rows: np.ndarray, weights: Weights) -> np.ndarray:
     """The log probability of each token up to its tail class."""
-    rows, kind = feature_rows(codes, begins), _kind(codes)
+    kind = _kind(codes)
     out = np.zeros(len(codes))
     for a in range(0, len(codes), BATCH):
         k, r, c = kind[a : a + BATCH], rows[:, a : a + BATCH], codes[a : a + BATCH]
@@ -128,9 +186,9 @@ def text_logs(codes: np.ndarray, begins: np.ndarray, weights: Weights) -> np.nda
     return out
 
 
-def gradient(codes: np.ndarray, begins: np.ndarray, weights: Weights, kinds: np.ndarray, words: np.ndarray) -> None:
+def gradient(codes: np.ndarray, rows: np.ndarray, weights: Weights, kinds: np.ndarray, words: np.ndarray) -> None:
     """Add observed minus expected feature counts of the tokens to kinds and words."""
-    rows, kind = feature_rows(codes, begins), _kind(codes)
+    kind = _kind(codes)
     for a in range(0, len(codes), BATCH):
         k, r, c = kind[a : a + BATCH], rows[:, a : a + BATCH], codes[a : a + BATCH]
         g = -np.exp(weights.class_logs(r))
@@ -146,90 +204,133 @@ def gradient(codes: np.ndarray, begins: np.ndarray, weights: Weights, kinds: np.
                 _add_rows(words, x, g)
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """The sum of float arrays sent in slices (part, slice, data), in two steps so that no task takes all parts of a slice."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = 0
-        for chunk in table.column("data").chunks:
-            for x in chunk:
-                total = total + np.frombuffer(x.as_buffer(), np.float32)
-        return pa.table({"part": table.column("part")[:1], "slice": table.column("slice")[:1], "data": _raw([total.astype(np.float32)])})
+def observe(codes: np.ndarray, rows: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> None:
+    """Add feature counts of the tokens to kinds and words."""
+    kind, head = _kind(codes), np.flatnonzero(codes < HEADS)
+    for r in rows:
+        for total, at in ((kinds, r * KINDS + kind), (words, word_rows(r[head], kind[head]) * WIDTH + codes[head] % WIDTH)):
+            where, times = np.unique(at, return_counts=True)
+            total.reshape(-1)[where] += times
 
-    kind = "part int, slice int, data binary"
-    rows = parts.groupBy((F.col("part") % 64).alias("some"), "slice").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind).collect()  # SLICES rows, the size of the model
-    return np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(ROWS * KINDS + WORD_ROWS * WIDTH, np.float32)
 
+def _sent(*arrays: np.ndarray) -> pa.RecordBatch:
+    """Arrays in slices, without the zeros, as half floats: place and value of each number that is there."""
+    whole = np.concatenate([a.reshape(-1) for a in arrays])
+    part, rows = TaskContext.get().partitionId(), []
+    for piece in np.split(whole, SLICES):
+        at = np.flatnonzero(piece)
+        scale = np.float32(max(1.0, float(np.abs(piece).max(initial=0)) / 30000))
+        rows.append(scale.tobytes() + len(at).to_bytes(8, "little") + squeezed(at.astype(np.uint32), True) + squeezed((piece[at] / scale).astype(np.float16).view(np.uint16)))
+    return pa.RecordBatch.from_arrays([pa.array([part] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], ["part", "slice", "data"])
 
-def _sliced_sums(*arrays: np.ndarray) -> pa.RecordBatch:
-    whole = np.concatenate([a.reshape(-1) for a in arrays]).astype(np.float32)
-    part = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array([part] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), _raw(np.split(whole, SLICES))], ["part", "slice", "data"])
 
+def _added(raw: bytes, total: np.ndarray) -> None:
+    scale, n = np.frombuffer(raw, np.float32, 1)[0], int.from_bytes(raw[4:12], "little")
+    at, end = unsqueezed(raw, np.uint32, True, 12)
+    values, _ = unsqueezed(raw, np.uint16, False, end)
+    assert len(at) == len(values) == n
+    total[at] += values.view(np.float16).astype(np.float32) * scale
 
-def _read_codes(folder: str, block: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's documents, its codes, where each document's begin, and which documents are for training."""
-    table = _unpack(read_file(f"{folder}/{block}.docs"))
-    codes = np.frombuffer(_unpack(read_file(f"{folder}/{block}.codes")).column("codes")[0].as_buffer(), np.uint16).astype(np.int64)
-    begins = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy())])
-    return table, codes, begins, ~table.column("held_out").to_numpy(zero_copy_only=False)
 
+def _summed(parts: DataFrame, n: int, size: int) -> np.ndarray:
+    """The sum of arrays sent by n tasks in slices (part, slice, data), FAN parts of a slice at a time."""
 
-def _training(codes: np.ndarray, begins: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(begins)
-    return codes[np.repeat(train, sizes)], np.concatenate([[0], np.cumsum(sizes[train])])
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size // SLICES, np.float32)
+        for raw in table.column("data").to_pylist():
+            if table.column("whole")[0].as_py():
+                total += np.frombuffer(raw, np.float32)
+            else:
+                _added(raw, total)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "slice": table.column("slice")[:1], "data": _raw([total]), "whole": [True]})
+
+    parts, kind = parts.withColumn("whole", F.lit(False)), "part int, slice int, data binary, whole boolean"
+    while True:
+        parts = parts.groupBy(F.floor(F.col("part") / FAN).alias("some"), "slice").applyInArrow(add, kind)
+        n = -(-n // FAN)
+        if n == 1:
+            break
+    rows = parts.collect()  # SLICES rows, the size of the model
+    return np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(size, np.float32)
+
+
+class Block:
+    """A block's documents and tokens: ids and codes of its distinct words, and which of them each token is."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.docs = _unpack(read_file(f"{folder}/{name}.docs"))
+        self.number, _ = unsqueezed(read_file(f"{folder}/{name}.tokens"), np.uint32)
+        raw = read_file(f"{folder}/{name}.words")
+        self.ids, end = unsqueezed(raw, np.uint32, True)
+        self.codes = unsqueezed(raw, np.uint16, False, end)[0].astype(np.int64)
+        self.sizes = self.docs.column("n_tokens").to_numpy()
+        self.train = ~self.docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+
+    def contexts(self, training: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and feature rows of the tokens of training documents, or of all."""
+        number, sizes = self.number, self.sizes
+        if training:
+            number, sizes = number[np.repeat(self.train, sizes)], sizes[self.train]
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        return self.codes[number], feature_rows(self.ids[number], single_rows(self.ids, self.codes)[number], begins)
+
+
+def _ranges(sorted_: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of ascending keys by their upper `bits` bits, each with its slice."""
+    bucket = ((sorted_ >> np.uint64(64 - bits)) * np.uint64(buckets) >> np.uint64(bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cuts.tolist(), np.append(cuts, len(bucket))[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _parts(column: pa.ChunkedArray, kind: type, delta: bool = False) -> list[np.ndarray]:
+    return [unsqueezed(x, kind, delta)[0] for x in column.to_pylist()]
 
 
 def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text)."""
     spark = docs.sparkSession
-    folder, buckets = fresh_dir(spark, "maxent"), 2 * partitions(spark)
+    folder, cores = fresh_dir(spark, "maxent"), spark.sparkContext.defaultParallelism
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * cores, -(-size // BUCKET))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Write blocks, named by place and content, and send their distinct words by bucket."""
         part = TaskContext.get().partitionId()
-        for n, batch in enumerate(sliced(batches)):
-            block = f"{part:06d}-{n:05d}"
-            hashes, tails, begins = tokens(*byte_view(batch.column("text")))
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for n, batch in enumerate(sliced(batches, limit=BLOCK)):
+            data, offsets = byte_view(batch.column("text"))
+            hashes, tails, begins = tokens(data, offsets)
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            block = f"{part:06d}-{n:05d}-{zlib.crc32(ids.tobytes(), zlib.crc32(offsets.tobytes(), zlib.crc32(data))):08x}"
             distinct, one, number = np.unique(hashes, return_index=True, return_inverse=True)
-            times = np.bincount(number[np.repeat(train, np.diff(begins))], minlength=len(distinct)).astype(np.uint32)
-            order = np.empty(len(distinct), np.int64)
-            rows, at = [], 0
-            for b, x in _by_bucket((distinct % np.uint64(buckets)).astype(np.int64)):
-                order[x] = at + np.arange(len(x))
-                at += len(x)
-                rows.append((b, distinct[x], times[x], tails[one[x]]))
-            write_file(f"{folder}/{block}.texts", _pack(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": np.diff(begins)})))
-            write_file(f"{folder}/{block}.tokens", _pack(pa.table({"numbers": _raw([order[number].astype(np.uint32)]), "tails": _raw([tails])})))
+            times = np.bincount(number[np.repeat(~held, np.diff(begins))], minlength=len(distinct)).astype(np.uint32)
+            write_file(f"{folder}/{block}.texts", _pack(pa.table({"doc_id": batch.column("doc_id"), "held_out": held, "n_tokens": np.diff(begins)})))
+            write_file(f"{folder}/{block}.tokens", squeezed(number.astype(np.uint32)))
+            write_file(f"{folder}/{block}.ids", squeezed((distinct >> np.uint64(32)).astype(np.uint32), True) + squeezed(tails[one]))
+            rows = [(b, squeezed(distinct[x], True), squeezed(times[x]), squeezed(tails[one[x]])) for b, x in _ranges(distinct, 32, buckets)]
             bucket, *arrays = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([block] * len(rows)), *(_raw(list(x)) for x in arrays)], ["bucket", "block", "hashes", "times", "tails"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([block] * len(rows)), *(pa.array(x, pa.binary()) for x in arrays)], ["bucket", "block", "hashes", "times", "tails"])
 
     def count(table: pa.Table) -> pa.Table:
-        """Counts of a bucket's words over all blocks, back to each block in its order with the hashes of words that may be heads; and the
-        bucket's sums by tail class and its most frequent words, of which HEADS suffice."""
-        hashes, sizes = _joined(table.column("hashes"), np.uint64)
-        times, _ = _joined(table.column("times"), np.uint32)
-        tails, _ = _joined(table.column("tails"), np.uint8)
-        distinct, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+        """Counts of a bucket's words over all blocks, back to each block in its order; and, without a block, the bucket's sums by tail class
+        and its most frequent words, of which HEADS suffice."""
+        hashes = _parts(table.column("hashes"), np.uint64, True)
+        sizes = [len(x) for x in hashes]
+        times, tails = (np.concatenate(_parts(table.column(c), k)) for c, k in (("times", np.uint32), ("tails", np.uint8)))
+        distinct, one, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         total = np.bincount(number, times, len(distinct)).astype(np.int64)
-        tail = tails[one]
-        seen = total > 0
+        tail, seen = tails[one], total > 0
         top = np.lexsort((distinct, -total))[:HEADS]
         top = top[total[top] > 0]
         sums = np.concatenate([np.bincount(tail, total, CLASSES), np.bincount(tail[seen], minlength=CLASSES), np.bincount(_level(total[top]), minlength=LEVELS)]).astype(np.int64)
-        able = np.zeros(len(distinct), bool)
-        able[top] = True
-        ends = np.cumsum(sizes)
-        pieces = [number[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-        places = [np.flatnonzero(able[x]) for x in pieces]
+        pieces = np.split(total[number].astype(np.uint32), np.cumsum(sizes)[:-1])
         return pa.table({
             "block": pa.array([*table.column("block").to_pylist(), None], pa.string()), "bucket": pa.array([*table.column("bucket").to_pylist(), None], pa.int32()),
-            "a": _raw([*(total[x].astype(np.uint32) for x in pieces), total[top]]),
-            "b": _raw([*(distinct[x[y]] for x, y in zip(pieces, places, strict=True)), distinct[top]]),
-            "c": _raw([*(y.astype(np.uint32) for y in places), np.concatenate([sums, tail[top].astype(np.int64)])]),
+            "a": pa.array([*map(squeezed, pieces), total[top].tobytes()], pa.binary()), "b": _raw([*[np.zeros(0)] * len(pieces), distinct[top]]), "c": _raw([*[np.zeros(0)] * len(pieces), np.concatenate([sums, tail[top].astype(np.int64)])]),
         })
 
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sent = source.mapInArrow(scan, "bucket int, block string, hashes binary, times binary, tails binary")
     counted = staged(sent.groupBy("bucket").applyInArrow(count, "block string, bucket int, a binary, b binary, c binary"), "counts")
 
@@ -262,62 +363,68 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
         sizes[r["tail"]] -= r["n"]
         sizes[CLASSES + r["tail"]] -= 1
     head_counts = np.array([r["n"] for r in heads], np.int64)
-    head_hashes = np.array([r["hash"] for r in heads], np.int64).view(np.uint64)
-    by_hash = np.argsort(head_hashes)
-    tail_places = np.log10(sizes[:CLASSES] + sizes[CLASSES:] + 1)
+    head_ids = (np.array([r["hash"] for r in heads], np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    tail_places = np.log(sizes[:CLASSES] + sizes[CLASSES:] + 1)
 
     def encode(table: pa.Table) -> pa.Table:
-        """Write a block's codes and what its documents have from counts alone."""
+        """Write a block's codes and what its documents have from counts alone; send the distinct triples of its tail words by bucket."""
         block = table.column("block")[0].as_py()
-        texts, words = _unpack(read_file(f"{folder}/{block}.texts")), _unpack(read_file(f"{folder}/{block}.tokens"))
-        number = np.frombuffer(words.column("numbers")[0].as_buffer(), np.uint32)
-        tails = np.frombuffer(words.column("tails")[0].as_buffer(), np.uint8).astype(np.int64)
-        table = table.sort_by("bucket")
-        times, each = _joined(table.column("a"), np.uint32)
-        hashes, _ = _joined(table.column("b"), np.uint64)
-        places, some = _joined(table.column("c"), np.uint32)
-        places = places + np.repeat(np.cumsum(each) - each, some)
-        head = np.full(len(times), -1, np.int64)
-        if len(by_hash) and len(hashes):
-            at = by_hash[np.minimum(np.searchsorted(head_hashes, hashes, sorter=by_hash), len(by_hash) - 1)]
-            head[places] = np.where(head_hashes[at] == hashes, at, -1)
-        begins = np.concatenate([[0], np.cumsum(texts.column("n_tokens").to_numpy())])
-        head, count_ = head[number], times[number].astype(np.int64)
+        texts, (number, _) = _unpack(read_file(f"{folder}/{block}.texts")), unsqueezed(read_file(f"{folder}/{block}.tokens"), np.uint32)
+        raw = read_file(f"{folder}/{block}.ids")
+        ids, end = unsqueezed(raw, np.uint32, True)
+        codes = HEADS + unsqueezed(raw, np.uint8, False, end)[0].astype(np.int64)
+        counts = np.concatenate(_parts(table.sort_by("bucket").column("a"), np.uint32)).astype(np.int64)
+        # a head's word has its id and its count
+        for at, (a, b) in enumerate(zip(np.searchsorted(ids, head_ids, "left").tolist(), np.searchsorted(ids, head_ids, "right").tolist(), strict=True)):
+            codes[a:b] = np.where(counts[a:b] == head_counts[at], at, codes[a:b])
+        write_file(f"{folder}/{block}.words", squeezed(ids, True) + squeezed(codes.astype(np.uint16)))
+        lengths = texts.column("n_tokens").to_numpy()
+        begins = np.concatenate([[0], np.cumsum(lengths)])
         adding = lambda x: np.add.reduceat(x, begins[:-1])
-        logs = np.log10(count_ + 1.0)
-        base = adding(logs) - np.diff(begins) * np.log10(train_tokens + distinct_tokens + 1)
-        tail = adding(np.where(head < 0, logs - tail_places[tails], 0.0))
-        out = {c: texts.column(c) for c in texts.column_names} | {"n_known": adding((count_ > 0).astype(np.int64)), "base_score": base, "tail_score": tail}
-        write_file(f"{folder}/{block}.docs", _pack(pa.table(out)))
-        write_file(f"{folder}/{block}.codes", _pack(pa.table({"codes": _raw([np.where(head >= 0, head, HEADS + tails).astype(np.uint16)])})))
-        return pa.table({"block": [block]})
-
-    blocks = staged(counted.filter("block is not null").groupBy("block").applyInArrow(encode, "block string"), "blocks")
-    n_blocks = blocks.count()
-
-    def gathered(which: DataFrame, n: int, body) -> np.ndarray:
+        base = adding(np.log10(counts + 1.0)[number]) - lengths * np.log10(train_tokens + distinct_tokens + 1)
+        write_file(f"{folder}/{block}.docs", _pack(pa.table({c: texts.column(c) for c in texts.column_names} | {"n_known": adding((counts > 0).astype(np.int64)[number]), "base_score": base})))
+        where, keys = triples(ids[number], codes[number], begins)
+        train = np.repeat(~texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
+        distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        times = np.bincount(which[train[where]], minlength=len(distinct)).astype(np.uint32)
+        word = number[where[one]]
+        share = np.minimum((tail_places[codes[word] - HEADS] - np.log(counts[word] + 1.0)) * SHARE, 65535).astype(np.uint16)
+        rows = [(b, block, squeezed(distinct[x], True), squeezed(times[x]), squeezed(share[x])) for b, x in _ranges(distinct, 32, buckets)]
+        rows = rows or [(0, block, *map(squeezed, (distinct, times, share)))]
+        bucket, blocks_, *arrays = zip(*rows, strict=True)
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(blocks_)} | {k: pa.array(v, pa.binary()) for k, v in zip(("keys", "times", "shares"), arrays, strict=True)})
+
+    def fit_tails(table: pa.Table) -> pa.Table:
+        """Log probabilities within their classes of a bucket's triples, back to each block in its order."""
+        keys = _parts(table.column("keys"), np.uint64, True)
+        sizes_ = [len(x) for x in keys]
+        times, shares = (np.concatenate(_parts(table.column(c), k)) for c, k in (("times", np.uint32), ("shares", np.uint16)))
+        distinct, one, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        logs = tail_logs(distinct, np.bincount(number, times, len(distinct)), shares[one] / -float(SHARE)).astype(np.float32)
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "logs": pa.array(list(map(squeezed, np.split(logs[number].view(np.uint32), np.cumsum(sizes_)[:-1]))), pa.binary())})
+
+    triples_ = counted.filter("block is not null").groupBy("block").applyInArrow(encode, "bucket int, block string, keys binary, times binary, shares binary")
+    tails_ = staged(triples_.groupBy("bucket").applyInArrow(fit_tails, "block string, bucket int, logs binary"), "tails")
+    blocks = staged(tails_.select("block").distinct(), "blocks")
+    shape = ROWS * KINDS + WORD_ROWS * WIDTH
+
+    def gathered(which: DataFrame, n_tokens: int, body) -> np.ndarray:
+        n = max(cores, -(-n_tokens // TASK))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds, words = np.zeros((ROWS, KINDS), np.float32), np.zeros((WORD_ROWS, WIDTH), np.float32)
             any_ = False
             for batch in batches:
                 for block in batch.column("block").to_pylist():
-                    _, codes, begins, train = _read_codes(folder, block)
-                    body(*_training(codes, begins, train), kinds, words)
+                    body(*Block(folder, block).contexts(True), kinds, words)
                     any_ = True
             if any_:
-                yield _sliced_sums(kinds, words)
-
-        return _summed(which.repartition(max(1, -(-n // 4)), "block").mapInArrow(run, "part int, slice int, data binary"))
+                yield _sent(kinds, words)
 
-    def observe(codes: np.ndarray, begins: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> None:
-        rows, kind = feature_rows(codes, begins), _kind(codes)
-        head = np.flatnonzero(codes < HEADS)
-        for r in rows:
-            kinds += np.bincount(r * KINDS + kind, minlength=kinds.size).reshape(kinds.shape).astype(np.float32)
-            words += np.bincount(word_rows(r[head], kind[head]) * WIDTH + codes[head] % WIDTH, minlength=words.size).reshape(words.shape).astype(np.float32)
+        return _summed(which.repartition(n).mapInArrow(run, "part int, slice int, data binary"), n, shape)
 
-    split = lambda x: (x[: ROWS * KINDS].reshape(ROWS, KINDS).copy(), x[ROWS * KINDS :].reshape(WORD_ROWS, WIDTH).copy())
-    seen_kinds, seen_words = split(gathered(blocks, n_blocks, observe))
+    split = lambda x: (x[: ROWS * KINDS].reshape(ROWS, KINDS), x[ROWS * KINDS :].reshape(WORD_ROWS, WIDTH))
+    seen_kinds, seen_words = split(gathered(blocks, train_tokens, observe))
     per_word = np.zeros(HEADS)
     per_word[: len(head_counts)] = head_counts
     per_word = per_word.reshape(CLASSES, WIDTH)
@@ -329,19 +436,22 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
     weights = Weights(start(seen_kinds, np.exp(prior)).astype(np.float32), np.where(expect > 1e-6, start(seen_words, np.maximum(expect, 1e-6)), 0).astype(np.float32), prior.astype(np.float32), share.astype(np.float32))
     part_of = F.pmod(F.xxhash64("block"), F.lit(rounds))
     for r in range(rounds if train_tokens else 0):
-        sent_weights = spark.sparkContext.broadcast(weights)  # of a fixed size
-        g_kinds, g_words = split(gathered(blocks.filter(part_of == r), -(-n_blocks // rounds), lambda c, b, k, w, now=sent_weights: gradient(c, b, now.value, k, w)))
+        sent_weights = spark.sparkContext.broadcast(weights)  # of a size that is a parameter of the model
+        g_kinds, g_words = split(gathered(blocks.filter(part_of == r), -(-train_tokens // rounds), lambda c, x, k, w, now=sent_weights: gradient(c, x, now.value, k, w)))
         step = lambda g, seen: rate * np.clip(g / (seen / rounds + 4), -1, 1)
         weights = Weights(weights.kinds + step(g_kinds, seen_kinds), weights.words + step(g_words, seen_words), weights.prior, weights.share)
     last = spark.sparkContext.broadcast(weights)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column("block").to_pylist():
-                table, codes, begins, _ = _read_codes(folder, block)
-                logs = np.add.reduceat(text_logs(codes, begins, last.value), begins[:-1]) / np.log(10) + table.column("tail_score").to_numpy()
-                out = [*(table.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(logs), train_tokens)), table.column("base_score").combine_chunks(), pa.array(logs)]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    names = blocks.repartition(max(1, -(-n_blocks // 2)), "block")
-    return names.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def scored(table: pa.Table) -> pa.Table:
+        block = Block(folder, table.column("block")[0].as_py())
+        codes, rows = block.contexts(False)
+        logs = text_logs(codes, rows, last.value)
+        begins = np.concatenate([[0], np.cumsum(block.sizes)])
+        where, keys = triples(block.ids[block.number], codes, begins)
+        within = np.concatenate(_parts(table.sort_by("bucket").column("logs"), np.uint32)).view(np.float32)
+        if len(where):
+            logs[where] += within[np.unique(keys, return_inverse=True)[1]]
+        kept = {c: block.docs.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")}
+        return pa.table(kept | {"train_tokens": np.full(len(block.sizes), train_tokens), "base_score": block.docs.column("base_score"), "score": np.add.reduceat(logs, begins[:-1]) / np.log(10)})
+
+    return tails_.groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
