@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import byte_view, fresh_dir, mix, prefix_sums, read_file, sliced, span_hashes, squeezed, staged, unsqueezed, word_spans, write_file
+from loomtext.llm.base import byte_view, fresh_dir, give_back, mix, prefix_sums, read_file, sliced, span_hashes, squeezed, staged, unsqueezed, word_spans, write_file
 from loomtext.llm.minhash import LOWER, WORD
 from loomtext.llm.repeats import _pack, _raw, _unpack
 
@@ -48,8 +48,8 @@ FAN = 16  # parts that are summed at once
 LEVELS = 256  # of counts, four to a doubling
 N_SUMS = 2 * CLASSES + LEVELS
 BATCH = 2048
-BLOCK = 8 << 20  # bytes of text in a block, unless one text is longer
-BUCKET = 32 << 20  # bytes of text whose words and triples make a bucket
+BLOCK = 6 << 20  # bytes of text in a block, unless one text is longer
+BUCKET = 16 << 20  # bytes of text whose words and triples make a bucket
 TASK = 16 << 20  # training tokens of a gradient task
 PRIOR = 0.1  # inverse variance of the weights of triples
 STEPS = 4
@@ -138,24 +138,34 @@ class Weights:
     def __init__(self, kinds: np.ndarray, words: np.ndarray, prior: np.ndarray, share: np.ndarray) -> None:
         self.kinds, self.words, self.prior, self.share = kinds, words, prior, share
 
-    def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        """Log probabilities of classes, one row for each context."""
+    def class_scores(self, rows: np.ndarray) -> np.ndarray:
+        """Logs of classes up to a constant, one row for each context, the largest 0."""
         out = self.prior + self.kinds[rows[0]]
         for r in rows[1:]:
             out += self.kinds[r]
-        return _log_softmax(out)
+        out -= out.max(axis=1, keepdims=True)
+        return out
 
-    def word_logs(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def word_scores(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
         out = self.share[kind] + self.words[rows[0]]
         for r in rows[1:]:
             out += self.words[r]
-        return _log_softmax(out)
+        out -= out.max(axis=1, keepdims=True)
+        return out
+
 
+def _picked(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The log of the softmax at one place of each row."""
+    at = scores[np.arange(len(which)), which]
+    return at - np.log(np.exp(scores, out=scores).sum(axis=1))
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+
+def _missed(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Observed minus expected: 1 at one place of each row, less the softmax."""
+    out = np.exp(scores, out=scores)
+    out /= -out.sum(axis=1, keepdims=True)
+    out[np.arange(len(which)), which] += 1
+    return out
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -179,10 +189,10 @@ def text_logs(codes: np.ndarray, rows: np.ndarray, weights: Weights) -> np.ndarr
     out = np.zeros(len(codes))
     for a in range(0, len(codes), BATCH):
         k, r, c = kind[a : a + BATCH], rows[:, a : a + BATCH], codes[a : a + BATCH]
-        out[a : a + BATCH] = weights.class_logs(r)[np.arange(len(k)), k]
+        out[a : a + BATCH] = _picked(weights.class_scores(r), k)
         head = np.flatnonzero(c < HEADS)
         if len(head):
-            out[a + head] += weights.word_logs(word_rows(r[:, head], k[head]), k[head])[np.arange(len(head)), c[head] % WIDTH]
+            out[a + head] += _picked(weights.word_scores(word_rows(r[:, head], k[head]), k[head]), c[head] % WIDTH)
     return out
 
 
@@ -191,15 +201,13 @@ def gradient(codes: np.ndarray, rows: np.ndarray, weights: Weights, kinds: np.nd
     kind = _kind(codes)
     for a in range(0, len(codes), BATCH):
         k, r, c = kind[a : a + BATCH], rows[:, a : a + BATCH], codes[a : a + BATCH]
-        g = -np.exp(weights.class_logs(r))
-        g[np.arange(len(k)), k] += 1
+        g = _missed(weights.class_scores(r), k)
         for x in r:
             _add_rows(kinds, x, g)
         head = np.flatnonzero(c < HEADS)
         if len(head):
             w = word_rows(r[:, head], k[head])
-            g = -np.exp(weights.word_logs(w, k[head]))
-            g[np.arange(len(head)), c[head] % WIDTH] += 1
+            g = _missed(weights.word_scores(w, k[head]), c[head] % WIDTH)
             for x in w:
                 _add_rows(words, x, g)
 
@@ -326,6 +334,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
         top = top[total[top] > 0]
         sums = np.concatenate([np.bincount(tail, total, CLASSES), np.bincount(tail[seen], minlength=CLASSES), np.bincount(_level(total[top]), minlength=LEVELS)]).astype(np.int64)
         pieces = np.split(total[number].astype(np.uint32), np.cumsum(sizes)[:-1])
+        give_back("maxent")
         return pa.table({
             "block": pa.array([*table.column("block").to_pylist(), None], pa.string()), "bucket": pa.array([*table.column("bucket").to_pylist(), None], pa.int32()),
             "a": pa.array([*map(squeezed, pieces), total[top].tobytes()], pa.binary()), "b": _raw([*[np.zeros(0)] * len(pieces), distinct[top]]), "c": _raw([*[np.zeros(0)] * len(pieces), np.concatenate([sums, tail[top].astype(np.int64)])]),
@@ -392,6 +401,8 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
         rows = [(b, block, squeezed(distinct[x], True), squeezed(times[x]), squeezed(share[x])) for b, x in _ranges(distinct, 32, buckets)]
         rows = rows or [(0, block, *map(squeezed, (distinct, times, share)))]
         bucket, blocks_, *arrays = zip(*rows, strict=True)
+        del keys, distinct, one, which, where, train
+        give_back("maxent")
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(blocks_)} | {k: pa.array(v, pa.binary()) for k, v in zip(("keys", "times", "shares"), arrays, strict=True)})
 
     def fit_tails(table: pa.Table) -> pa.Table:
@@ -401,6 +412,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
         times, shares = (np.concatenate(_parts(table.column(c), k)) for c, k in (("times", np.uint32), ("shares", np.uint16)))
         distinct, one, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         logs = tail_logs(distinct, np.bincount(number, times, len(distinct)), shares[one] / -float(SHARE)).astype(np.float32)
+        give_back("maxent")
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "logs": pa.array(list(map(squeezed, np.split(logs[number].view(np.uint32), np.cumsum(sizes_)[:-1]))), pa.binary())})
 
     triples_ = counted.filter("block is not null").groupBy("block").applyInArrow(encode, "bucket int, block string, keys binary, times binary, shares binary")
@@ -420,6 +432,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
                     any_ = True
             if any_:
                 yield _sent(kinds, words)
+            give_back("maxent")
 
         return _summed(which.repartition(n).mapInArrow(run, "part int, slice int, data binary"), n, shape)
 
@@ -451,6 +464,8 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
         within = np.concatenate(_parts(table.sort_by("bucket").column("logs"), np.uint32)).view(np.float32)
         if len(where):
             logs[where] += within[np.unique(keys, return_inverse=True)[1]]
+        del where, keys, within, rows, codes
+        give_back("maxent")
         kept = {c: block.docs.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")}
         return pa.table(kept | {"train_tokens": np.full(len(block.sizes), train_tokens), "base_score": block.docs.column("base_score"), "score": np.add.reduceat(logs, begins[:-1]) / np.log(10)})
 
