@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP = 2  # bytes by which a round of refinement deepens the order
+STEP = 2  # bytes by which a round of refinement deepens the order; an odd depth takes a last round of one byte
 
 
 def _shard_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -30,7 +30,7 @@ class Shards:
     """Strings, each closed by STEP zero bytes to a ring, in shards of at most `size` strings with their transforms.
 
     rows: the suffixes of all shards, each shard's in order, as places in text; symbol: the STEP bytes before each row's suffix;
-    before: the row of the suffix that begins STEP bytes earlier.
+    before: the row of the suffix that begins STEP bytes earlier; for one byte likewise.
     """
 
     def __init__(self, text: np.ndarray, lengths: np.ndarray, depth: int, size: int = 4096) -> None:
@@ -48,6 +48,7 @@ class Shards:
         row_of[self.rows] = np.arange(len(self.rows))
         self.symbol = (self.text[earlier].astype(np.uint16) << 8 | self.text[later])[self.rows]
         self.before = row_of[earlier[self.rows]]
+        self.one_symbol, self.one_before = self.text[later][self.rows], row_of[later[self.rows]]
 
 
 def merged_intervals(shards: Shards, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +59,14 @@ def merged_intervals(shards: Shards, depth: int) -> tuple[np.ndarray, np.ndarray
     interval ends where symbol or former interval change, which is where the common prefix is that short.  Rows alone in their interval
     are in place, and so is whatever precedes them, so they take no further part.  No suffixes are compared or sorted again.
     """
-    if depth % STEP:
-        raise ValueError(f"depth must be a multiple of {STEP}")
     rows = np.arange(len(shards.rows))
     interval = np.zeros(len(rows), np.int64)
-    for _ in range(depth // STEP):
-        symbol = shards.symbol[rows]
+    wide, narrow = (shards.symbol, shards.before), (shards.one_symbol, shards.one_before)
+    for symbols, before in [wide] * (depth // STEP) + [narrow] * (depth % STEP):
+        symbol = symbols[rows]
         order = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[order], interval[order]
-        rows = shards.before[rows[order]]
+        rows = before[rows[order]]
         begins = np.ones(len(rows) + 1, bool)
         begins[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
         shared = ~(begins[:-1] & begins[1:])

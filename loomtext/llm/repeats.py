@@ -4,6 +4,9 @@ Every byte covered by a `length`-byte string that also starts in a document with
 and never cross documents.  Texts are UTF-8 bytes, null counts as empty.  A null doc_id counts as the largest, equal ids are not smaller
 than each other; texts shorter than `length` keep all.  All columns pass through; an empty table gives an empty one.
 
+Any length from 1 on is allowed.  Keys and whole snippets are compared by 64-bit hashes: of n snippets in a bucket two different ones are
+taken for equal with odds of about n * n / 2**65.
+
 How it scales: every window of `length` bytes belongs to one anchor, its smallest hashed k-gram, so equal windows have equal anchors.  Only
 windows whose anchor occurs in two documents can repeat; they travel, by the anchor's hash, as snippets (a run of windows with one anchor),
 each distinct one once for a block of documents.  Equal snippets are one class; classes that share an anchor but not their whole context
@@ -16,6 +19,7 @@ The input must give the same rows in the same partitions when a task runs again,
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +32,9 @@ from loomtext.llm.base import FACTOR, INVERSE, _power_table, byte_view, fresh_di
 from loomtext.llm.bwt import Shards, merged_intervals
 
 NO_ID = (1 << 63) - 1
-GRAM = 24
+GRAM = 24  # at most; shorter windows have shorter grams
 BLOCK_BYTES = 2 << 20  # of text in a block, unless one text is longer
+BUCKET_BYTES = 16 << 20  # of text whose anchors make a bucket
 
 
 def runs_of_windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,16 +127,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
 
     Bytes kept of a character that was cut are left out of text, not of the digest.
     """
+    if length < 1:
+        raise ValueError("length must be 1 at least")
     spark = docs.sparkSession
-    folder, buckets = fresh_dir(spark, "repeats"), 4 * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    folder, buckets = fresh_dir(spark, "repeats"), max(4 * partitions(spark), -(-size // BUCKET_BYTES))
     schema = docs.schema
+    gram = min(GRAM, (length + 1) // 2)
+    small = np.uint8 if 2 * length - gram < 256 else np.uint32  # holds the size of a snippet
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for n, batch in enumerate(sliced(batches, limit=BLOCK_BYTES)):
-            block = f"{part:06d}-{n:05d}"
-            write_file(f"{folder}/{block}.block", _pack(pa.Table.from_batches([batch])))
-            _, _, anchors, text, _ = runs_of_windows(*byte_view(batch.column("text")), length, GRAM)
+            raw = _pack(pa.Table.from_batches([batch]))
+            block = f"{part:06d}-{n:05d}-{zlib.crc32(raw):08x}"  # by place and content
+            write_file(f"{folder}/{block}.block", raw)
+            _, _, anchors, text, _ = runs_of_windows(*byte_view(batch.column("text")), length, gram)
             keys, rows = (anchors >> np.uint64(32)).astype(np.uint32), list(_by_bucket((anchors % np.uint64(buckets)).astype(np.int64))) if len(anchors) else []
             rows = rows or [(0, np.zeros(0, np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows)), _raw([keys[x] for _, x in rows]), _raw([text[x].astype(np.uint32) for _, x in rows])], ["bucket", "block", "keys", "texts"])
@@ -156,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         block = table.column("block")[0].as_py()
         batch = _unpack(read_file(f"{folder}/{block}.block"))
         data, offsets = byte_view(batch.column("text"))
-        low, high, anchors, text, sums = runs_of_windows(data, offsets, length, GRAM)
+        low, high, anchors, text, sums = runs_of_windows(data, offsets, length, gram)
         wanted = np.sort(np.concatenate([np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, k in zip(table.column("bucket").to_pylist(), table.column("keys").to_pylist(), strict=True)]))
         code = (anchors % np.uint64(buckets)) << np.uint64(32) | anchors >> np.uint64(32)
         at = np.minimum(np.searchsorted(wanted, code), max(0, len(wanted) - 1))
@@ -173,16 +184,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
             place[x] = np.arange(len(x))
             size = high[one[x]] + length - low[one[x]]
             spread = np.repeat(low[one[x]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            rows.append((b, block, size.astype(np.uint8), data[spread], (code[one[x]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), least[x]))
-        write_file(f"{folder}/{block}.runs", _pack(pa.table({"low": low, "size": (high - low + 1).astype(np.int16), "owner": owner, "text": text.astype(np.int32), "bucket": bucket[number].astype(np.int32), "place": place[number].astype(np.int32), "least": least[number]})))
+            rows.append((b, block, size.astype(small), data[spread], (code[one[x]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), least[x]))
+        write_file(f"{folder}/{block}.runs", _pack(pa.table({"low": low, "size": (high - low + 1).astype(np.int32), "owner": owner, "text": text.astype(np.int32), "bucket": bucket[number].astype(np.int32), "place": place[number].astype(np.int32), "least": least[number]})))
         if not rows:
-            rows = [(0, block, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+            rows = [(0, block, np.zeros(0, small), np.zeros(0, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         b, blocks, *arrays = zip(*rows, strict=True)
         return pa.table({"bucket": pa.array(b, pa.int32()), "block": blocks} | {k: _raw(list(v)) for k, v in zip(("sizes", "data", "keys", "least"), arrays, strict=True)})
 
     def merge(table: pa.Table) -> pa.Table:
         """For each block's snippets the windows that begin in a smaller document than the block's own, as (snippet, first, last, document)."""
-        sizes, counts = _joined(table.column("sizes"), np.uint8)
+        sizes, counts = _joined(table.column("sizes"), small)
         sizes = sizes.astype(np.int64)
         data, _ = _joined(table.column("data"), np.uint8)
         keys, _ = _joined(table.column("keys"), np.uint32)
@@ -211,7 +222,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         inner = snippet - (np.cumsum(counts) - counts)[row[snippet]]
         a, b, d = cut[run] - begins[of[run]], last[run] - begins[of[run]], best[cut[run]]
         pieces = [slice(x, y) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "snippets": _raw([inner[p].astype(np.uint32) for p in pieces]), "first": _raw([a[p].astype(np.uint8) for p in pieces]), "last": _raw([b[p].astype(np.uint8) for p in pieces]), "documents": _raw([d[p] for p in pieces])})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "snippets": _raw([inner[p].astype(np.uint32) for p in pieces]), "first": _raw([a[p].astype(small) for p in pieces]), "last": _raw([b[p].astype(small) for p in pieces]), "documents": _raw([d[p] for p in pieces])})
 
     def finish(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -219,7 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         data, offsets = byte_view(batch.column("text"))
         low, size, owner, bucket, place, least = (runs.column(c).to_numpy().astype(np.int64) for c in ("low", "size", "owner", "bucket", "place", "least"))
         inner, counts = _joined(table.column("snippets"), np.uint32)
-        first, last, document = (_joined(table.column(c), k)[0].astype(np.int64) for c, k in (("first", np.uint8), ("last", np.uint8), ("documents", np.int64)))
+        first, last, document = (_joined(table.column(c), k)[0].astype(np.int64) for c, k in (("first", small), ("last", small), ("documents", np.int64)))
         told = np.repeat(np.array(table.column("bucket").to_pylist(), np.int64), counts) << 32 | inner
         order = np.argsort(told, kind="stable")
         mine = bucket << 32 | place
