@@ -4,7 +4,8 @@ A document is its ids and an end id; one longer than a sequence is cut into whol
 A null or empty text is its end id alone; repeated rows are packed each; other columns are ignored; an empty table packs into nothing.
 
 Lengths are integers from 1 to the size of a sequence, so their counts are a table of bounded size whatever the corpus.  Bin completion
-runs on these counts: each step fills a sequence around the longest piece left, and takes that filling as often as the counts allow.
+runs on these counts: each step fills a sequence around the longest piece left, and takes that filling as often as the counts allow.  Any
+size from 1 on is allowed; time and memory of the search grow with the size and the number of distinct lengths, not with documents.
 Pieces then find their places by length and rank within it, without any gathering of pieces.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +43,29 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def _complete(room: int, counts: np.ndarray, effort: int) -> list[tuple[int, int]]:
-    """The filling of room with the least waste, as (length, how many), longest first.
+def least_sequences(counts: np.ndarray) -> int:
+    """A lower bound of the sequences that pieces (how many of each length) need.
 
-    Depth first over undominated fillings: a length is taken as often as it fits before fewer are tried, and no filling stops while a
-    piece still fits.  The first leaf is best fit, the incumbent; a branch is cut when what it can still reach doesn't beat the incumbent's
-    waste.  What any lengths below can reach comes from a table of sums.  After `effort` nodes the incumbent stands.
+    For every k: pieces longer than size - k share with none of k or more; those beyond half a sequence are apart; what lies from k to half
+    a sequence has their room, then sequences of its own.
+    """
+    size = len(counts) - 1
+    upto, sums = np.cumsum(counts), np.cumsum(counts * np.arange(size + 1))
+    k = np.arange(1, size // 2 + 1)
+    if not len(k):
+        return int(upto[-1])
+    half = size // 2
+    beyond, weight = upto[size - k] - upto[half], sums[size - k] - sums[half]
+    rest = sums[half] - sums[k - 1] - (beyond * size - weight)
+    return max(int((upto[size] - upto[half] + np.maximum(0, -(-rest // size))).max()), -(-int(sums[-1]) // size))
+
+
+def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Undominated fillings of room, as (length, how many) longest first: by falling sum, and of equal sums longer pieces first.
+
+    No filling stops while the shortest piece still fits.  A table of what any lengths below can sum to leads straight to each filling.
     """
     lengths = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x][::-1]
-    if not lengths:
-        return []
     reach = [1] * (len(lengths) + 1)  # bit s of reach[i]: lengths from i on can sum to s
     for i in range(len(lengths) - 1, -1, -1):
         sums, n, step = reach[i + 1], min(int(counts[lengths[i]]), room // lengths[i]), 1
@@ -59,59 +74,89 @@ def _complete(room: int, counts: np.ndarray, effort: int) -> list[tuple[int, int
             n -= min(step, n)
             step *= 2
         reach[i] = sums & ((2 << room) - 1)
-    best, least, nodes = [], room + 1, 0
-
-    def search(i: int, left: int, taken: list[tuple[int, int]]) -> bool:
-        nonlocal best, least, nodes
-        nodes += 1
-        most = (reach[i] & ((2 << left) - 1)).bit_length() - 1  # the largest sum within what is left
-        if left - most >= least:
-            return False
-        if most == 0:
-            best, least = list(taken), left
-            return left == 0
-        while lengths[i] > left:
-            i += 1
-        for n in range(min(int(counts[lengths[i]]), left // lengths[i]), -1, -1):
-            if search(i + 1, left - n * lengths[i], [*taken, (lengths[i], n)] if n else taken):
-                return True
-            if nodes > effort:
-                return True
-        return False
-
-    search(0, room, [])
+    most = reach[0].bit_length() - 1
+    fewest = max(0, room - lengths[-1] + 1) if lengths else 0
+    for target in range(most, min(most, fewest) - 1, -1):
+        open_: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, target, ())] if reach[0] >> target & 1 else []
+        while open_:
+            i, left, taken = open_.pop()
+            if not left:
+                yield taken
+                continue
+            while lengths[i] > left:
+                i += 1
+            for n in range(min(int(counts[lengths[i]]), left // lengths[i]) + 1):
+                if reach[i + 1] >> (left - n * lengths[i]) & 1:
+                    open_.append((i + 1, left - n * lengths[i], (*taken, (lengths[i], n)) if n else taken))
+
+
+def _around(counts: np.ndarray, inner: tuple[tuple[int, int], ...], longest: int) -> tuple[int, list[tuple[int, int]]]:
+    """How often a filling around the longest piece can be taken, and its pieces."""
+    found = dict(inner)
+    found[longest] = found.get(longest, 0) + 1
+    return min(int(counts[x]) // n for x, n in found.items()), sorted(found.items(), reverse=True)
+
+
+def _best_fit(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Fillings by best fit decreasing over counts: the longest piece left, then ever the longest that fits."""
+    counts, out = counts.copy(), []
+    while len(left := np.flatnonzero(counts)):
+        longest = int(left[-1])
+        inner, room, spare = [], len(counts) - 1 - longest, counts.copy()
+        spare[longest] -= 1
+        for x in left[::-1].tolist():
+            if n := min(int(spare[x]), room // x):
+                inner.append((x, n))
+                room -= n * x
+        out.append(_around(counts, tuple(inner), longest))
+        for x, n in out[-1][1]:
+            counts[x] -= out[-1][0] * n
+    return out
+
+
+def plan(histogram: dict[int, int], size: int, effort: int = 8192) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Fillings as (how many sequences, [(length, how many in each)]) by bin completion: branch and bound over sequences.
+
+    Best fit decreasing is the first incumbent.  A node takes an undominated filling around the longest piece left, as often as counts
+    allow, the least waste first; a branch is cut when the sequences so far and the lower bound of the rest don't beat the incumbent, which
+    ends the search when it meets the lower bound of the whole.  Lengths and counts make this a table of bounded size whatever the corpus,
+    but the problem is hard: after `effort` nodes beyond the first solution the incumbent stands.
+    """
+    counts = np.zeros(size + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    least = least_sequences(counts)
+    best = _best_fit(counts)
+    total = sum(n for n, _ in best)
+    path: list[tuple[int, list[tuple[int, int]]]] = []
+    nodes, whole = [(counts, 0, 0)], False  # what is left, sequences so far, fillings tried
+    while nodes and total > least and effort > 0:
+        left, used, tried = nodes.pop()
+        del path[len(nodes) :]
+        longest = int(np.flatnonzero(left)[-1])
+        spare = left.copy()
+        spare[longest] -= 1
+        inner = next(islice(fillings(size - longest, spare), tried, None), None)
+        if inner is None or used + least_sequences(left) >= total:
+            continue
+        effort -= whole
+        nodes.append((left, used, tried + 1))
+        times, filling = _around(left, inner, longest)
+        after = left.copy()
+        for x, n in filling:
+            after[x] -= times * n
+        path.append((times, filling))
+        if not after.any():
+            whole = True
+            if used + times < total:
+                best, total = list(path), used + times
+        elif used + times + least_sequences(after) < total:
+            nodes.append((after, used + times, 0))
+        else:
+            whole = True
     return best
 
 
-def plan(histogram: dict[int, int], size: int, effort: int = 20_000) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Fillings as (how many sequences, [(length, how many in each)]), at most two for each length; kept against best fit decreasing over the same counts."""
-
-    def packed(effort: int) -> list[tuple[int, list[tuple[int, int]]]]:
-        counts = np.zeros(size + 1, np.int64)
-        for length, n in histogram.items():
-            counts[length] = n
-        out = []
-        for longest in range(size, 0, -1):
-            while counts[longest]:
-                counts[longest] -= 1
-                filling = dict(_complete(size - longest, counts, effort))
-                counts[longest] += 1
-                filling[longest] = filling.get(longest, 0) + 1
-                times = min(int(counts[x]) // n for x, n in filling.items())
-                for x, n in filling.items():
-                    counts[x] -= times * n
-                out.append((times, sorted(filling.items(), reverse=True)))
-        return out
-
-    least = -(-sum(k * n for k, n in histogram.items()) // size)
-    total = lambda found: sum(n for n, _ in found)
-    incumbent = packed(1)
-    if total(incumbent) > least:
-        other = packed(effort)
-        incumbent = min(incumbent, other, key=total)
-    return incumbent
-
-
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
