@@ -1,7 +1,7 @@
 """Token-id shards in patched frame-of-reference blocks.
 
-Documents are written in ascending doc_id order (null first; repeated ids one after the other), one shard per range of ids, each id
-stream followed by an end id.  A null or empty text is its end id alone.  Other columns are ignored; an empty table gives no shard.
+Documents are written in ascending doc_id order (null first; repeated ids one after the other), shards of a bounded number of ids for each
+range of doc_ids (a longer document is a shard), each document's ids followed by an end id.  A null or empty text is its end id alone.  Other columns are ignored; an empty table gives no shard.
 
 A shard: MAGIC, then a little-endian header (documents, ids, words, exceptions), the documents' ids, null flags and lengths, and per
 block of 128 values its minimum, its width, its exceptions and its start, then the packed words and the exception lists.  A block stores
@@ -24,6 +24,8 @@ from loomtext.llm.tokens import encoder
 
 MAGIC = b"LTPFOR01"
 BLOCK, LANES = 128, 4
+SHARD_IDS = 4 << 20  # ids of a shard, unless one document has more
+RANGE_BYTES = 64 << 20  # of text in a range of doc_ids, about
 HEAD = np.dtype([("documents", "<u8"), ("ids", "<u8"), ("words", "<u8"), ("exceptions", "<u8")])
 
 
@@ -113,41 +115,44 @@ def from_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return doc_ids, missing.astype(bool), lengths, decode_blocks(n, *parts)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, percentile: float = 0.9) -> str:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, percentile: float = 0.9, shard_ids: int = SHARD_IDS) -> str:
     """Encode and write docs (doc_id, text) as shards in ascending doc_id order with a manifest (one line per shard); returns the folder.
 
-    Ranges of ids come from approximate quantiles; a range is a shard, so a shard's name and content don't depend on the task that writes it.
+    Ranges of doc_ids come from approximate quantiles, their number from the bytes of text.  A range is written as shards of up to shard_ids
+    ids, one after another, so that a task holds one shard whatever a range has; names and content don't depend on the task that writes.
     """
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "shards")
-    bounds = range_bounds(docs, "doc_id", 2 * partitions(spark))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    bounds = range_bounds(docs, "doc_id", max(2 * partitions(spark), -(-size // RANGE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        now, doc_ids, ids = None, [], []
+        now, part, n, doc_ids, ids = None, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            write_file(f"{folder}/{now:08d}.pfor", to_shard(doc_ids, ids, percentile))
-            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "n_ids": pa.array([sum(map(len, ids))], pa.int64())})
+            write_file(f"{folder}/{now:08d}-{part:06d}.pfor", to_shard(doc_ids, ids, percentile))
+            return pa.RecordBatch.from_pydict({"range": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "n_ids": pa.array([n], pa.int64())})
 
         for batch in sliced(batches, kind="tokens"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for shard, doc_id, x in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                if shard != now and now is not None:
+            for at, doc_id, x in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                if now is not None and (at != now or n + len(x) >= shard_ids):
                     yield close()
-                    doc_ids, ids = [], []
-                now = shard
+                    part, n, doc_ids, ids = part + 1 if at == now else 0, 0, [], []
+                now = at
                 doc_ids.append(doc_id)
                 ids.append(np.concatenate([x, end]))
+                n += len(ids[-1])
         if now is not None:
             yield close()
 
-    placed = docs.select("doc_id", "text", range_bucket(F.col("doc_id"), bounds).cast("int").alias("shard")).repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
-    rows = sorted(placed.mapInArrow(run, "shard int, n_ids long").collect())  # one row per shard
+    placed = docs.select("doc_id", F.col("text").cast("string").alias("text"), range_bucket(F.col("doc_id"), bounds).cast("int").alias("range")).repartition("range").sortWithinPartitions("range", "doc_id", "text")
+    rows = sorted(placed.mapInArrow(run, "range int, part int, n_ids long").collect())  # one row per shard
     start = 0
     lines = []
     for r in rows:
-        lines.append(json.dumps({"shard": r["shard"], "start": start, "n_ids": r["n_ids"]}))
+        lines.append(json.dumps({"shard": f"{r['range']:08d}-{r['part']:06d}", "start": start, "n_ids": r["n_ids"]}))
         start += r["n_ids"]
     write_file(f"{folder}/manifest.json", "\n".join(lines).encode())
     return folder
@@ -160,12 +165,12 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                doc_ids, missing, lengths, ids = from_shard(read_file(f"{folder}/{shard:08d}.pfor"))
+                doc_ids, missing, lengths, ids = from_shard(read_file(f"{folder}/{shard}.pfor"))
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=missing), pa.array(starts + start), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame([(x["shard"], x["start"]) for x in shards], "shard int, start long").repartition(max(1, len(shards)))
+    files = spark.createDataFrame([(x["shard"], x["start"]) for x in shards], "shard string, start long").repartition(max(1, len(shards)))
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
