@@ -5,6 +5,7 @@ Memory holds up to twice `words` words and those of one call; worker processes k
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -47,19 +48,22 @@ class Encoder:
     """Encodes lists of texts; each distinct word goes through the tokenizers library once while it is remembered.
 
     Byte-level BPE never merges across the cuts of SPLIT, so a text's ids are its words' ids end to end.
-    Files of another kind, and texts with rare characters, are encoded whole.
+    Files of another kind, and texts with rare characters or a token that was added to the vocabulary, are encoded whole.
     """
 
     def __init__(self, path: str, words: int = 200_000) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.words = words
         self.known = Words(self.library, {})
-        split = self.library.pre_tokenizer
-        self.by_word = isinstance(split, ByteLevel) and not split.add_prefix_space and self.library.normalizer is None
+        file = json.loads(self.library.to_str())
+        split = file["pre_tokenizer"] or {}
+        plain = file["model"]["type"] == "BPE" and not file["model"].get("dropout") and not file["model"].get("ignore_merges")
+        self.by_word = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and file["normalizer"] is None and file["truncation"] is None and file["padding"] is None
+        added = [t["content"] for t in file["added_tokens"]]
+        self.by_word = self.by_word and not any(t["normalized"] and not t["special"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
+        self.rare = re.compile("|".join([RARE.pattern, *map(re.escape, added)]))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,7 +72,7 @@ class Encoder:
         if not self.by_word:
             return self._whole(texts)
         out: list[np.ndarray | None] = [None] * len(texts)
-        rare = [i for i, t in enumerate(texts) if RARE.search(t)]
+        rare = [i for i, t in enumerate(texts) if self.rare.search(t)]
         for i, ids in zip(rare, self._whole([texts[i] for i in rare]), strict=True):
             out[i] = ids
         if len(self.known) > self.words:  # words met again move on from the older half, the rest is forgotten
