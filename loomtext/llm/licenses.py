@@ -108,9 +108,16 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame
     return lines.groupBy(F.sha2("whole", 256).alias("digest")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("license_id"))
 
 
+SENT = 100_000  # digests that are sent to all tasks; more are joined by a shuffle
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, license_id (of the entire text, else null), notices (licences of its lines, distinct, comma-joined, else null), n_notices (lines that match)."""
+    # digests are a small table that tasks get whole, if a count says so; a larger one meets the units in a shuffled join
     digests = known_digests(docs.sparkSession, known)
+    found = digests.limit(SENT + 1).collect()
+    few = len(found) <= SENT
+    digests = F.broadcast(docs.sparkSession.createDataFrame(found, digests.schema)) if few else digests
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     sha = lambda c: F.sha2(c, 256)
     whole = F.when(F.size("lines") > 0, F.array(sha(F.array_join("lines", " ")))).otherwise(F.array(F.lit(None).cast("string")))
