@@ -13,6 +13,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm import decontaminate, langid, licenses, maxent, minhash, queries, repeats, winnow
 from loomtext.llm.graph import components
@@ -93,6 +94,39 @@ def test_op3(spark, data):
     assert found(spark, "op3_minhash", data) == sorted((i, len(s), find(i), find(i) == i) for i, s in docs)
 
 
+def linked(rows: list[tuple], percent: int) -> list[tuple]:
+    """(doc_id, set size, smallest id of the group, whether kept) of rows (doc_id, text), texts told apart by their sets; ids null last."""
+    sets = [(1 << 62 if i is None else i, shingles(t)) for i, t in rows]
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:k]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                root[find(k)] = find(j)
+    return [(i, len(s), min(sets[j][0] for j in range(len(sets)) if find(j) == find(k)) if s else i, find(k)) for k, (i, s) in enumerate(sets)]
+
+
+def test_op3_null_and_repeated_ids(spark):
+    """Different texts under one id, or without one, are told apart, and link each with their own copies."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    prose = lambda: rng.choices(words, k=80)
+    one, two, three, four = prose(), prose(), prose(), prose()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (None, near(one)), (None, near(two)), (5, " ".join(three)), (5, " ".join(four)), (8, near(four)), (9, near(three)), (None, " ".join(prose())), (None, None), (3, ""), (3, "a b"), (None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, r["n_shingles"], r["component_id"] if r["component_id"] is not None else 1 << 62) for r in minhash.near_duplicates(docs, percent=85).collect())
+    assert got == sorted(x[:3] for x in linked(rows, 85))
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in minhash.without_near_duplicates(docs, percent=85).collect())
+    want = [(1, 0), (2, 1), (5, 4), (5, 5), (None, 8), (None, 9), (3, 10), (3, 11)]
+    assert kept == sorted((str(i), rows[k][1] or "") for i, k in want)
+
+
 def test_op4(spark, data):
     windows: dict[tuple, set[str]] = defaultdict(set)
     for r in rows_of(data, "benchmark"):
@@ -112,6 +146,26 @@ def test_op4(spark, data):
     assert any(x[5] for x in out)
 
 
+@pytest.mark.parametrize("length", [1, 2, 5, 20, 23, 25, 51, 138, 160, 201, 300])
+def test_op7_of_any_length(spark, length):
+    rng = random.Random(length)
+    text = lambda n: "".join(rng.choices("abé\0 ", k=n))
+    parts = [text(rng.randint(length // 2, 2 * length)) for _ in range(6)]
+    rows = [(rng.choice([None, *range(20)]), "".join(rng.choices(parts, k=rng.randint(0, 3))) + text(rng.randint(0, 9))) for _ in range(30)]
+    least: dict[bytes, int] = {}
+    want = []
+    for doc_id, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b, me = t.encode(), 1 << 62 if doc_id is None else doc_id
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if least.setdefault(b[i : i + length], me) < me:
+                gone[i : i + length] = b"\1" * length
+        want.append((str(doc_id), len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = repeats.remove_repeats(docs, length=length).select(F.col("doc_id").cast("string"), "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(("None" if r[0] is None else r[0], *r[1:]) for r in found) == sorted(want)
+
+
 def test_op7(spark, data):
     docs = sorted((r["doc_id"], (r["text"] or "").encode()) for r in rows_of(data))
     least: dict[bytes, int] = {}
@@ -139,8 +193,6 @@ def test_op6(spark, data):
         assert out[doc_id]["n_chars"] == len(text) and out[doc_id]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
     lists = lambda t: (lambda w: [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else [])([x for x in re.split("[\t-\r ]+", t.lower()) if x])
     every = {tuple(g) for _, a, b, _ in texts for t in (a, b) for g in lists(t)}
-    from pyspark.sql import functions as F
-
     frame = spark.createDataFrame([(list(g),) for g in every], "g array<string>")
     five = F.xxhash64(*[F.get("g", i) for i in range(5)])
     grams = {tuple(r["g"]): r["h"] & ((1 << 36) - 1) for r in frame.select("g", F.when(F.size("g") == 5, five).otherwise(F.xxhash64("g")).alias("h")).collect()}
@@ -244,3 +296,69 @@ def test_components(spark):
     for a, b in edges:
         if a is not None and a != b:
             assert got[a] == got[b] <= min(a, b)
+
+
+def test_op10_tail_weights():
+    """Words within a tail class: probabilities of a context sum to one, more counts mean more, and each weight solves its equation."""
+    import numpy as np
+
+    rng = random.Random(4)
+    shares = {w: x for w, x in enumerate(np.random.default_rng(2).dirichlet(np.ones(50)) * 0.9)}  # 0.1 for words never seen
+    counts = Counter((rng.randrange(6), min(int(rng.expovariate(0.2)), 49)) for _ in range(200))
+    pairs = sorted((c, w) for c in range(7) for w in shares)
+    keys = np.array([c << 24 | w for c, w in pairs], np.uint64)
+    logs = maxent.tail_logs(keys, np.array([counts[p] for p in pairs]), np.log([shares[w] for _, w in pairs]))
+    got = {p: math.exp(x) for p, x in zip(pairs, logs, strict=True)}
+    for c in range(7):
+        total = sum(counts[c, w] for w in shares)
+        unseen = [w for w in shares if not counts[c, w]]
+        left = got[c, unseen[0]] / shares[unseen[0]]  # what a share is multiplied by where no triple was seen
+        assert sum(got[c, w] for w in shares) + 0.1 * left == pytest.approx(1)
+        for w in shares:
+            if counts[c, w]:
+                weight = math.log(got[c, w] / shares[w] / left)
+                assert weight == 0 or abs(counts[c, w] - total * got[c, w] - maxent.PRIOR * weight) < 0.05 * (total + 4)
+        assert total or left == pytest.approx(1)
+
+
+def test_op10_classes():
+    """Scores of classes and words by numpy batches equal a plain softmax, the gradient its numerical derivative; sums of parts are their sum."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    ids = np.sort(rng.integers(0, 1 << 32, 300, dtype=np.uint32))
+    codes = np.where(np.arange(300) < 200, rng.permutation(maxent.HEADS + maxent.CLASSES)[:300] % maxent.HEADS, maxent.HEADS + rng.integers(0, maxent.CLASSES, 300))
+    number, begins = rng.integers(0, 300, 5000), np.array([0, 1, 3, 700, 5000])
+    rows = maxent.feature_rows(ids[number], maxent.single_rows(ids, codes)[number], begins)
+    weights = maxent.Weights(*(rng.normal(size=s).astype(np.float32) for s in ((maxent.ROWS, maxent.KINDS), (maxent.WORD_ROWS, maxent.WIDTH), (maxent.KINDS,), (maxent.CLASSES, maxent.WIDTH))))
+    logs = maxent.text_logs(codes[number], rows, weights)
+    for i in [0, 1, 2, 3, 699, 700, 701, *range(4000, 4050)]:
+        start = begins[np.searchsorted(begins, i, "right") - 1]
+        near = lambda j: maxent.HEADS if j < start else codes[number[j]] if codes[number[j]] < maxent.HEADS else maxent.HEADS + 1 + int(ids[number[j]]) % maxent.NEAR
+        assert rows[0, i] == near(i - 1) and rows[1, i] == maxent.ONE + near(i - 2)
+        x = weights.prior.astype(float) + sum(weights.kinds[r].astype(float) for r in rows[:, i])
+        code = int(codes[number[i]])
+        kind = code // maxent.WIDTH if code < maxent.HEADS else code - maxent.HEADS + maxent.CLASSES
+        want = x[kind] - math.log(sum(map(math.exp, x)))
+        if code < maxent.HEADS:
+            y = weights.share[kind].astype(float) + sum(weights.words[maxent.word_rows(r, kind)].astype(float) for r in rows[:, i])
+            want += y[code % maxent.WIDTH] - math.log(sum(map(math.exp, y)))
+        assert logs[i] == pytest.approx(want, abs=1e-4)
+    kinds, words = np.zeros((maxent.ROWS, maxent.KINDS), np.float32), np.zeros((maxent.WORD_ROWS, maxent.WIDTH), np.float32)
+    maxent.gradient(codes[number], rows, weights, kinds, words)
+    for table, found in ((weights.kinds, kinds), (weights.words, words)):
+        for at in [tuple(x) for x in np.argwhere(np.abs(found) > 0.3)[::97][:12]]:
+            table[at] += 0.01
+            up = maxent.text_logs(codes[number], rows, weights).sum()
+            table[at] -= 0.02
+            down = maxent.text_logs(codes[number], rows, weights).sum()
+            table[at] += 0.01
+            assert (up - down) / 0.02 == pytest.approx(found[at], rel=0.05, abs=0.05)
+
+
+def test_op10_size_of_what_is_gathered(spark, sf):
+    """What tasks send follows the tokens, not the partitions: as many gradient tasks, and the same counts, for 2 partitions and for 60."""
+    docs = queries.table(spark, sf, "documents")
+    few, many = (maxent.score(docs.repartition(n), docs.doc_id % 7 == 2).orderBy("doc_id").collect() for n in (2, 60))
+    assert [r[:6] for r in few] == [r[:6] for r in many]
+    assert sum(r["score"] for r in few) == pytest.approx(sum(r["score"] for r in many), rel=0.05)

@@ -28,11 +28,10 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-@given(st.lists(st.text(max_size=60), max_size=5))
+@given(st.lists(st.text(max_size=60) | st.just("a <|endoftext|> b<|endoftext|"), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_encoder_is_the_library(library, texts):
     for words in (3, 1000):
@@ -64,8 +63,9 @@ def test_shards(spark, sf, library):
 
 def test_shard_edges(spark, library):
     docs = spark.createDataFrame([(a, b, c, 1) for a, b, c in EDGE], "doc_id long, text string, shard string, n_tokens int")
-    got = [tuple(r) for r in patched.read_shards(spark, patched.write_shards(docs, queries.tokenizer())).collect()]
-    assert sorted(got, key=lambda r: r[1]) == expected_shards([(a, b) for a, b, _ in EDGE], library)
+    for ids in (1, 40, 1 << 20):
+        got = [tuple(r) for r in patched.read_shards(spark, patched.write_shards(docs, queries.tokenizer(), shard_ids=ids)).collect()]
+        assert sorted(got, key=lambda r: r[1]) == expected_shards([(a, b) for a, b, _ in EDGE], library)
     assert patched.read_shards(spark, patched.write_shards(docs.limit(0), queries.tokenizer())).count() == 0
 
 
@@ -123,6 +123,49 @@ def test_plan_finds_the_exact_fillings():
     assert sum(n for n, _ in packing.plan({6: 4, 4: 4, 5: 4, 3: 2, 2: 2}, 10)) == 7
 
 
+def fewest(pieces: tuple[int, ...], size: int) -> int:
+    """The least number of sequences, by trying every place of every piece."""
+    best = len(pieces)
+
+    def put(i: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= pieces[i] and rooms[j] not in rooms[:j]:
+                put(i + 1, [*rooms[:j], rooms[j] - pieces[i], *rooms[j + 1 :]])
+        put(i + 1, [*rooms, size - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 40), max_size=9).map(lambda x: tuple(sorted(x, reverse=True))), st.integers(40, 60))
+@settings(max_examples=150, deadline=None)
+def test_plan_against_the_exact_least(pieces, size):
+    histogram = {k: pieces.count(k) for k in set(pieces)}
+    want = fewest(pieces, size)
+    assert sum(n for n, _ in packing.plan(histogram, size)) == want
+    counts = np.bincount(pieces, minlength=size + 1) if pieces else np.zeros(size + 1, np.int64)
+    assert packing.least_sequences(counts) <= want <= sum(n for n, _ in packing._best_fit(counts))
+
+
+@given(st.integers(1, 16_384), st.randoms(use_true_random=False))
+@settings(max_examples=15, deadline=None)
+def test_plan_of_any_size(size, rng):
+    histogram = {rng.randint(1, size): rng.randint(1, 1000) for _ in range(40)}
+    used = defaultdict(int)
+    for times, filling in packing.plan(histogram, size, effort=50):
+        assert sum(k * n for k, n in filling) <= size
+        for k, n in filling:
+            used[k] += times * n
+    assert used == histogram
+    assert packing.plan({k: 1 for k in range(1, 8193, 6)}, 8192, effort=1)
+
+
 def expected_pages(rows):
     first = {}
     for page_id, html in rows:
