@@ -63,7 +63,7 @@ class Encoder:
         self.by_word = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and file["normalizer"] is None and file["truncation"] is None and file["padding"] is None
         added = [t["content"] for t in file["added_tokens"]]
         self.by_word = self.by_word and not any(t["normalized"] and not t["special"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
-        self.rare = re.compile("|".join([RARE.pattern, *map(re.escape, added)]))
+        self.added = added
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,7 +72,7 @@ class Encoder:
         if not self.by_word:
             return self._whole(texts)
         out: list[np.ndarray | None] = [None] * len(texts)
-        rare = [i for i, t in enumerate(texts) if self.rare.search(t)]
+        rare = [i for i, t in enumerate(texts) if any(a in t for a in self.added) or RARE.search(t)]
         for i, ids in zip(rare, self._whole([texts[i] for i in rare]), strict=True):
             out[i] = ids
         if len(self.known) > self.words:  # words met again move on from the older half, the rest is forgotten
