@@ -1,11 +1,14 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
 A text's words (lower-cased, split at spaces, tabs and line breaks) give one hash per `k` words in a row, a shorter text one hash of all its
-words.  Of every `window` hashes in a row the smallest is chosen, the rightmost of equal ones; chosen (hash, position) pairs are the
-fingerprint.  Two texts that share window + k - 1 words in a row share a chosen hash, at the positions kept.
+words.  Scripts without blanks between words give a word for each character, and so does a run of more than LONG characters without a
+blank (data, minified code), so that the guarantee below holds there too.  Of every `window` hashes in a row the smallest is chosen, the
+rightmost of equal ones; chosen (hash, position) pairs are the fingerprint.  Two texts that share window + k - 1 words in a row share a
+chosen hash, at the positions kept.
 
-Hash and position live in one long (36 bits of hash, then 27 bits that fall as the position rises), so the smallest long of a window is the
-rightmost smallest hash; minima over windows come from minima over halves of windows.
+Each word is hashed once; hashes of k words roll out of those of fewer, as polynomials modulo a prime, in about 2 * log2(k) steps over the
+text.  Hash and position live in one long (31 bits of hash, then 32 that fall as the position rises), so the smallest long of a window is
+the rightmost smallest hash; minima over windows come from minima over halves of windows.
 
 A null text counts as empty, and an empty or blank text has an empty fingerprint.  Likeness is shared over all distinct hashes; two empty
 fingerprints are alike (1), an empty and another one not (0).  Repeated rows each count as documents; other columns are ignored; an empty
@@ -19,8 +22,13 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.base import partitions, range_bounds, range_bucket
 
-PLACES = 27
+PLACES = 32
 LAST = (1 << PLACES) - 1
+PRIME, BASE = 2147483629, 1000003
+LONG = 32
+_BLANK = "[\\t-\\r ]"
+#: scripts that put no blanks between words (fixed value)
+_SCRIPTS = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}]"
 
 
 def _let(value: Column, body) -> Column:
@@ -28,29 +36,53 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def words(text: Column) -> Column:
+    """A text's words; characters for words where there are no blanks."""
+    low = F.lower(text)
+    plain = F.filter(F.split(low, f"{_BLANK}+"), lambda w: w != "")
+    apart = F.filter(F.split(F.regexp_replace(low, _SCRIPTS, " $0 "), f"{_BLANK}+"), lambda w: w != "")
+    each = F.flatten(F.transform(apart, lambda w: F.when(F.length(w) > LONG, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
+    odd = low.rlike(f"[^\\t-\\r ]{{{LONG + 1}}}") | ((F.length(low) != F.octet_length(low)) & low.rlike(_SCRIPTS))
+    return F.when(odd, each).otherwise(plain)
+
+
+def rolled(hashes: Column, k: int) -> Column:
+    """Hashes of k in a row, by doubling: those of n and m in a row give those of n + m."""
+
+    def joined(x: Column, n: int, y: Column, m: int) -> Column:
+        scale = pow(BASE, m, PRIME)
+        return F.transform(F.slice(x, 1, F.greatest(F.size(y) - n, F.lit(0))), lambda v, i: (v * scale + F.get(y, i + n)) % PRIME)
+
+    def grown(x: Column, n: int, bits: str) -> Column:
+        if not bits:
+            return x
+        return _let(joined(x, n, x, n), lambda two: grown(two, 2 * n, bits[1:]) if bits[0] == "0" else _let(joined(two, 2 * n, hashes, 1), lambda odd: grown(odd, 2 * n + 1, bits[1:])))
+
+    return grown(hashes, 1, bin(k)[3:])
+
+
 def picks(text: Column, k: int, window: int) -> Column:
     """The chosen hashes as longs, in the order of their positions."""
-    words = F.filter(F.split(F.lower(text), "[\\t-\\r ]+"), lambda w: w != "")
+    placed = lambda h, i: h * (1 << PLACES) + (LAST - i)
 
     def hashes(w: Column) -> Column:
-        whole = F.array((F.shiftright(F.xxhash64(w), 0).bitwiseAND((1 << 36) - 1) * (1 << PLACES)) + LAST)
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]).bitwiseAND((1 << 36) - 1) * (1 << PLACES) + (LAST - i))
-        return F.when(F.size(w) >= k, grams).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+        grams = _let(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))), lambda h: F.transform(rolled(h, k), placed))
+        return F.when(F.size(w) >= k, grams).when(F.size(w) > 0, F.array(placed(F.pmod(F.xxhash64(w), F.lit(PRIME)), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
-    def minima(a: Column, width: int, step: int) -> Column:
+    def minima(a: Column, step: int) -> Column:
         """Minima over width + step from minima over width, step being at most width."""
-        return _let(a, lambda x: F.when(F.size(x) > step, F.transform(F.sequence(F.lit(0), F.size(x) - step - 1), lambda i: F.least(F.get(x, i), F.get(x, i + step)))).otherwise(x))
+        return _let(a, lambda x: F.when(F.size(x) > step, F.transform(F.slice(x, 1, F.size(x) - step), lambda v, i: F.least(v, F.get(x, i + step)))).otherwise(x))
 
     def chosen(h: Column) -> Column:
         # a text of fewer hashes than a window is one window
         out, width = h, 1
         while width < window:
             step = min(width, window - width)
-            out = minima(out, width, step)
+            out = minima(out, step)
             width += step
         return F.when(F.size(h) > window, F.array_distinct(out)).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)
 
-    return _let(_let(words, hashes), chosen)
+    return _let(_let(words(text), hashes), chosen)
 
 
 def fingerprint(picked: Column) -> Column:
