@@ -184,23 +184,33 @@ def test_op7(spark, data):
 def test_op6(spark, data):
     docs = sorted((r["doc_id"], r["text"] or "") for r in rows_of(data))
     out = {r["doc_id"]: r for r in queries.op6_winnowing(spark, data).collect()}
-    grams = {}
     texts = []
     for i, (doc_id, text) in enumerate(docs):
         follows, half = docs[(i + 1) % len(docs)][1], len(text) // 2
         edited = text[: len(text) - half] + follows[:half]
         texts.append((doc_id, text, edited, follows))
         assert out[doc_id]["n_chars"] == len(text) and out[doc_id]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-    lists = lambda t: (lambda w: [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else [])([x for x in re.split("[\t-\r ]+", t.lower()) if x])
-    every = {tuple(g) for _, a, b, _ in texts for t in (a, b) for g in lists(t)}
-    frame = spark.createDataFrame([(list(g),) for g in every], "g array<string>")
-    five = F.xxhash64(*[F.get("g", i) for i in range(5)])
-    grams = {tuple(r["g"]): r["h"] & ((1 << 36) - 1) for r in frame.select("g", F.when(F.size("g") == 5, five).otherwise(F.xxhash64("g")).alias("h")).collect()}
-    whole = {tuple(r["g"]): r["h"] & ((1 << 36) - 1) for r in frame.filter("size(g) < 5").select("g", F.xxhash64("g").alias("h")).collect()}
+
+    def words_of(t: str) -> list[str]:
+        w = [x for x in re.split("[\t-\r ]+", t.lower()) if x]
+        return [y for x in w for y in (x if len(x) > 32 else [x])]
+
+    every = {x for _, a, b, _ in texts for t in (a, b) for x in words_of(t)}
+    short = {tuple(w) for _, a, b, _ in texts for t in (a, b) if 0 < len(w := words_of(t)) < 5}
+    one = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.expr(f"pmod(xxhash64(w), {winnow.PRIME})").alias("h")).collect()}
+    whole = {tuple(r["w"]): r["h"] for r in spark.createDataFrame([(list(w),) for w in short], "w array<string>").select("w", F.expr(f"pmod(xxhash64(w), {winnow.PRIME})").alias("h")).collect()}
+
+    def rolling(w: list[str]) -> list[int]:
+        h, found = 0, []
+        for i, x in enumerate(w):
+            h = (h * winnow.BASE + one[x] - (one[w[i - 5]] * winnow.BASE**5 if i >= 5 else 0)) % winnow.PRIME
+            if i >= 4:
+                found.append(h)
+        return found
 
     def winnowed(text: str) -> list[tuple[int, int]]:
-        g = lists(text)
-        h = [(whole if len(x) < 5 else grams)[tuple(x)] for x in g]
+        w = words_of(text)
+        h = rolling(w) if len(w) >= 5 else [whole[tuple(w)]] if w else []
         picked: list[tuple[int, int]] = []
         for i in range(max(1, len(h) - 11) if h else 0):
             part = h[i : i + 12]
@@ -220,6 +230,20 @@ def test_op6(spark, data):
         assert r["near_edited"] == pytest.approx(alike(a, b)) and r["near_next"] == pytest.approx(alike(a, c))
 
 
+def test_op6_without_blanks(spark):
+    """Texts of scripts without blanks, and long runs, share hashes with their near copies; other texts none."""
+    rng = random.Random(2)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    run = lambda n: "".join(rng.choices("abcdef0123456789{};=\U00010437", k=n))
+    rows = []
+    for make in (han, run):
+        text = make(200)
+        rows += [(len(rows), text), (len(rows) + 1, text[:90] + make(20) + text[90:]), (len(rows) + 2, make(200))]
+    out = {r["doc_id"]: r for r in winnow.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0]["near_next"] > 0.6 and out[3]["near_next"] > 0.6 and out[1]["near_next"] < 0.02 and out[4]["near_next"] < 0.02
+    assert out[0]["near_edited"] > 0.3
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf, small, name):
     for folder in (sf, small) if name != "op8_warc" else (sf,):
@@ -247,6 +271,33 @@ def test_op1_edge_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_op1_brute_force(spark):
+    """Profiles of plain loops over code points give the same languages and cosines, in any script; ties go to the first name."""
+    import numpy as np
+
+    texts = ["the cat and the dog", "der Hund und die Katze", "кот и собака и дом", "собака кота", "犬と猫と家がある", "猫がいる家", "cat", "Ünï", "12", "", None, "the cat and the dog"]
+    langs = ["en", "de", "ru", "ru", "ja", "ja", None, None, None, "en", None, "aa"]
+    letter = lambda c: np.random.default_rng([5, ord(c)]).choice(np.array([-1, 1], np.int8), langid.DIM).astype(float)
+    turned = lambda c, by: np.roll(letter(c), by) if c.isalpha() else np.ones(langid.DIM)
+
+    def profile(text: str | None) -> np.ndarray:
+        t = f" {(text or '').lower()} "
+        return sum((turned(t[i - 1], 2) * turned(t[i], 1) * turned(t[i + 1], 0) for i in range(1, len(t) - 1) if t[i].isalpha()), np.zeros(langid.DIM))
+
+    sums = {x: sum(profile(t) for t, y in zip(texts, langs, strict=True) if y == x) for x in sorted({x for x in langs if x})}
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    long = spark.createDataFrame([(100, " ".join(["кот и the dog 猫"] * 20_000), None)], docs.schema)
+    got = {r["doc_id"]: r for r in langid.predict(docs.union(docs).union(long), langid.fit(docs)).collect()}
+    for i, text in [*enumerate(texts), (100, " ".join(["кот и the dog 猫"] * 3000))]:
+        p = profile(text)
+        if not p.any():
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosines = {x: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for x, v in sums.items() if np.any(v)}
+        best = max(sorted(cosines), key=lambda x: round(cosines[x], 5))
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(max(0, cosines[best]), abs=2e-3), (i, cosines)
+
+
 def test_op10(spark, data):
     docs, counts, total = rows_of(data), Counter(), 0
     toks = lambda t: [*WORD3.findall((t or "").translate(AZ)), None]
