@@ -42,4 +42,43 @@ select d.doc_id, e.license_id, f.notices, coalesce(f.n_notices, 0)::bigint as n_
 from documents d left join entire e using (doc_id) left join found f using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_license_scan": OP5, "op8_warc": OP8}
+
+LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+
+OP3 = f"""
+with recursive w as (select doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as s from w),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 85 * (p.n + q.n - k)),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on l.x = r.y)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join sizes using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by x) c using (doc_id)
+"""
+
+OP4 = f"""
+with words as (select doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+items as (select coalesce(item_id::varchar, 'null') as item, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+windows as (select distinct item, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) as k, least(len(w), 10) as n from items where len(w) > 0),
+places as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as k from words, (select distinct n from windows) where len(w) >= n),
+found as (select doc_id, i, n, item from places join windows using (k, n)),
+hits as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from found) group by doc_id),
+named as (select doc_id, list_sort(list(distinct item)) as items from found group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hits using (doc_id) left join named using (doc_id)
+"""
+
+OP7 = """
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+blocks as (select doc_id, o, substr(h, 2 * o + 1, 2 * 249) as h from (select doc_id, h, unnest(range(0, length(h) // 2 - 49, 200)) as o from bytes where length(h) >= 100)),
+starts as (select doc_id, o + unnest(range(length(h) // 2 - 49)) as i, unnest(list_transform(range(length(h) // 2 - 49), lambda i: hash(substr(h, 2 * i + 1, 100)))) as k from blocks),
+least as (select k, min(doc_id) as first_id from starts group by k),
+gone as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from starts join least using (k) where first_id < doc_id),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from gone) group by doc_id, run),
+sums as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, list(a order by a) as a, list(b order by b) as b from runs group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(case when n_spans is null then h else array_to_string(list_transform(range(n_spans + 1), lambda j: h[2 * coalesce(b[j], 0) + 1:2 * coalesce(a[j + 1], length(h) // 2)]), '') end)) as kept_sha256
+from bytes left join sums using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8}

@@ -248,7 +248,7 @@ def test_op6_without_blanks(spark):
 def test_sql(spark, sf, small, name):
     for folder in (sf, small) if name != "op8_warc" else (sf,):
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "benchmark", "pages"):
             con.execute(f"create view {t} as select * from '{sf if t == 'pages' else folder}/{t}.parquet'")
         df = queries.QUERIES[name](spark, folder)
         want = con.execute(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall()
