@@ -96,9 +96,12 @@ def sliding_chunks(c: Column, window: int = 2800, step: int = 900, max_chunks: i
     def windows(t: Column) -> Column:
         if window <= 0 or step <= 0:
             return F.when(t == "", no_strings()).otherwise(F.array(t))
-        at = F.sequence(F.lit(0), F.length(t) - 1, F.lit(step))
-        kept = F.filter(F.transform(at, lambda i: strip(F.substr(t, i + 1, F.lit(window)))), lambda x: F.length(x) >= MIN_CHUNK_CHARS)
-        return F.when(t == "", no_strings()).otherwise(F.slice(kept, 1, max_chunks))
+        # a window is cut from the few pieces of `step` characters that it begins in, not from the whole text
+        def cut(pieces: Column) -> Column:
+            each = F.transform(pieces, lambda p, i: strip(F.substr(F.array_join(F.slice(pieces, i + 1, -(-window // step)), ""), F.lit(1), F.lit(window))))
+            return F.slice(F.filter(each, lambda x: F.length(x) >= MIN_CHUNK_CHARS), 1, max_chunks)
+
+        return let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), cut)
 
     return let(strip(c), windows)
 
@@ -121,12 +124,11 @@ def split_pages(c: Column) -> Column:
     mark = rx(PAGE_MARK, "i")
     row = lambda page, body: F.struct(page.cast("long").alias("page"), body.alias("body"))
 
-    def marked(numbers: Column) -> Column:
-        bodies = F.split(c, mark)
-        rows = F.transform(numbers, lambda n, i: row(n.try_cast("long"), strip(F.get(bodies, i + 1))))
-        return F.when(F.size(numbers) > 0, F.filter(rows, lambda r: r["body"] != "")).otherwise(F.filter(F.array(row(F.lit(1), strip(c))), lambda r: r["body"] != ""))
+    def marked(found: Column) -> Column:
+        rows = F.transform(found["heads"], lambda n, i: row(n.try_cast("long"), strip(F.get(found["bodies"], i + 1))))
+        return F.when(F.size(found["heads"]) > 0, F.filter(rows, lambda r: r["body"] != "")).otherwise(F.filter(F.array(row(F.lit(1), strip(c))), lambda r: r["body"] != ""))
 
-    return let(F.regexp_extract_all(c, F.lit(mark), 1), marked)
+    return let(F.struct(F.regexp_extract_all(c, F.lit(mark), 1).alias("heads"), F.split(c, mark).alias("bodies")), marked)
 
 
 def split_sections(c: Column) -> Column:
@@ -134,46 +136,61 @@ def split_sections(c: Column) -> Column:
     lines = rx("|".join(rf"(?:^\s*{p}$)" for p in SECTION_LINES), "im")
     row = lambda title, body: F.struct(title.alias("title"), body.alias("body"))
 
-    def headed(titles: Column) -> Column:
-        bodies = F.split(c, lines)
-        rows = F.filter(F.transform(titles, lambda t, i: row(fold(t), strip(F.get(bodies, i + 1)))), lambda r: r["body"] != "")
+    def headed(found: Column) -> Column:
+        rows = F.filter(F.transform(found["heads"], lambda t, i: row(fold(t), strip(F.get(found["bodies"], i + 1)))), lambda r: r["body"] != "")
         return let(rows, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(row(F.lit("page"), strip(c)))))
 
-    return let(F.regexp_extract_all(c, F.lit(lines), 0), headed)
+    return let(F.struct(F.regexp_extract_all(c, F.lit(lines), 0).alias("heads"), F.split(c, lines).alias("bodies")), headed)
 
 
 def word_windows(c: Column, target: int = 900, overlap: int = 150) -> Column:
     """Paragraphs gathered up to `target` words, with the last ones of at most `overlap` words (at least one) repeated; very long ones cut at once."""
+    # the fold keeps numbers only (a state is copied at every step), runs of paragraphs become texts once it is done
     paras = F.transform(_no_blank(F.split(c, rx(r"\n\s*\n+"))), lambda p: F.struct(p.alias("p"), F.size(words(p)).alias("w")))
-    kind = "array<struct<p:string,w:int>>"
-    none = F.array().cast(kind)
-    total = lambda ps: F.aggregate(ps, F.lit(0), lambda n, p: n + p["w"])
-    state = lambda out, cur: F.struct(out.alias("out"), cur.alias("cur"))
-    joined = lambda ps: F.array_join(F.transform(ps, lambda p: p["p"]), "\n\n")
-
-    def kept(cur: Column) -> Column:
+    long = lambda p: p["w"] > target * 1.5
+    state = lambda out, at, start, some, n: F.struct(out.alias("out"), at.alias("at"), start.alias("start"), some.alias("some"), n.alias("n"))
+    run = lambda start, end: start.cast("bigint") * (1 << 31) + end
+    no_runs = F.array().cast("array<bigint>")
+
+    def kept(ps: Column, s: Column) -> Column:
+        """Where the paragraphs begin that the next run repeats, how many they are and how many words they have."""
+        zero = F.struct(s["at"].alias("start"), F.lit(0).alias("some"), F.lit(0).alias("n"), F.lit(False).alias("full"))
         if overlap <= 0:
-            return none
-        zero = F.struct(none.alias("ps"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+            return zero
+
+        def back(k: Column, p: Column) -> Column:
+            full = k["full"] | (~long(p) & (k["n"] + p["w"] > overlap) & (k["some"] > 0))
+            new = ~full & ~long(p)
+            return F.struct(F.when(full, k["start"]).otherwise(k["start"] - 1).alias("start"), (k["some"] + new.cast("int")).alias("some"), F.when(new, k["n"] + p["w"]).otherwise(k["n"]).alias("n"), full.alias("full"))
+
+        return F.aggregate(F.reverse(F.slice(ps, s["start"] + 1, s["at"] - s["start"])), zero, back)
 
-        def back(s: Column, p: Column) -> Column:
-            full = s["full"] | ((s["n"] + p["w"] > overlap) & (F.size(s["ps"]) > 0))
-            return F.struct(F.when(full, s["ps"]).otherwise(F.concat(F.array(p).cast(kind), s["ps"])).alias("ps"), F.when(full, s["n"]).otherwise(s["n"] + p["w"]).alias("n"), full.alias("full"))
+    def step(ps: Column):
+        def one(s: Column, p: Column) -> Column:
+            begin = lambda some, start: F.when(some == 0, s["at"]).otherwise(start)
+            flushed = let(kept(ps, s), lambda k: state(_push(s["out"], run(s["start"], s["at"])), s["at"] + 1, begin(k["some"], k["start"]), k["some"] + 1, k["n"] + p["w"]))
+            return (
+                F.when(long(p), state(_push(s["out"], -1 - s["at"].cast("bigint")), s["at"] + 1, s["start"], s["some"], s["n"]))
+                .when((s["some"] > 0) & (s["n"] + p["w"] > target), flushed)
+                .otherwise(state(s["out"], s["at"] + 1, begin(s["some"], s["start"]), s["some"] + 1, s["n"] + p["w"]))
+            )
 
-        return F.aggregate(F.reverse(cur), zero, back, lambda s: s["ps"])
+        return one
 
     def cut(p: Column) -> Column:
         return let(words(p["p"]), lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(max(1, target - overlap))), lambda i: F.array_join(F.slice(ws, i + 1, target), " ")))
 
-    def step(s: Column, p: Column) -> Column:
-        one = F.array(p).cast(kind)
-        return (
-            F.when(p["w"] > target * 1.5, state(F.concat(s["out"], cut(p)), s["cur"]))
-            .when((F.size(s["cur"]) > 0) & (total(s["cur"]) + p["w"] > target), state(_push(s["out"], joined(s["cur"])), F.concat(kept(s["cur"]), one)))
-            .otherwise(state(s["out"], F.concat(s["cur"], one)))
-        )
+    def texts(ps: Column, of: Column) -> Column:
+        start, end = F.shiftright(of, 31).cast("int"), of.bitwiseAND((1 << 31) - 1).cast("int")
+        short = F.filter(F.slice(ps, start + 1, end - start), lambda p: ~long(p))
+        return F.when(of < 0, cut(F.get(ps, (-1 - of).cast("int")))).otherwise(F.array(F.array_join(F.transform(short, lambda p: p["p"]), "\n\n")))
+
+    def gathered(ps: Column) -> Column:
+        zero = state(no_runs, F.lit(0), F.lit(0), F.lit(0), F.lit(0))
+        runs = F.aggregate(ps, zero, step(ps), lambda s: F.when(s["some"] > 0, _push(s["out"], run(s["start"], s["at"]))).otherwise(s["out"]))
+        return F.flatten(F.transform(runs, lambda of: texts(ps, of)))
 
-    return F.aggregate(paras, state(no_strings(), none), step, lambda s: F.when(F.size(s["cur"]) > 0, _push(s["out"], joined(s["cur"]))).otherwise(s["out"]))
+    return let(paras, gathered)
 
 
 def custom_chunks(c: Column, target: int = 900, overlap: int = 150, drop_references: bool = True) -> Column:

@@ -5,13 +5,14 @@ Every function takes and gives a Column, so a chain stays one projection over th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.config import CleanConfig
+from loomtext.config import Cleaning
 from loomtext.functions.text import let, nfkc, rx, strip
 
 BULLETS = "•▪■►◆▶●◦"  # fixed value
@@ -56,28 +57,31 @@ def fold_blanks(c: Column) -> Column:
     return F.regexp_replace(c, "[ \t]+", " ")
 
 
-def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
-    steps = [
-        (cfg.strip_null_bytes, lambda x: F.replace(x, F.lit("\0"), F.lit(""))),
-        (cfg.normalize_newlines, newlines),
-        (cfg.unicode_normalize, nfkc),
-        (cfg.fix_hyphenated_linebreaks, join_hyphenated),
-        (cfg.remove_numeric_citations, drop_citations),
-        (cfg.remove_year_only_parens, drop_years),
-        (cfg.remove_bullets, drop_bullets),
-        (cfg.remove_decorative_lines, drop_decoration),
-        (cfg.remove_display_latex, drop_display_latex),
-        (cfg.remove_inline_latex, drop_inline_latex),
-        (True, fold_blanks),
-        (cfg.keep_double_newlines, lambda x: F.regexp_replace(x, "\n{3,}", "\n\n")),
-        (True, strip),
-    ]
-    return reduce(lambda x, step: step[1](x) if step[0] else x, steps, F.coalesce(c, F.lit("")))
-
-
-def cut_at_stop_heading(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
+#: the steps that a Cleaning names
+STEPS: dict[str, Callable[[Column], Column]] = {
+    "nul": lambda c: F.replace(c, F.lit("\0"), F.lit("")),
+    "newlines": newlines,
+    "nfkc": nfkc,
+    "hyphens": join_hyphenated,
+    "citations": drop_citations,
+    "years": drop_years,
+    "bullets": drop_bullets,
+    "decoration": drop_decoration,
+    "display_latex": drop_display_latex,
+    "inline_latex": drop_inline_latex,
+    "blanks": fold_blanks,
+    "blank_lines": lambda c: F.regexp_replace(c, "\n{3,}", "\n\n"),
+    "ends": strip,
+}
+
+
+def clean_text(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
+    return reduce(lambda x, name: STEPS[name](x), cleaning.steps, F.coalesce(c, F.lit("")))
+
+
+def cut_at_stop_heading(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
     """What stands before the first line that is only a closing heading (numbered or not)."""
-    names = "|".join(cfg.stop_headings)
+    names = "|".join(cleaning.endings)
 
     def stops(line: Column) -> Column:
         bare = F.lower(strip(line))
@@ -88,20 +92,24 @@ def cut_at_stop_heading(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     return strip(let(F.split(text, "\n"), lambda lines: let(F.array_position(F.transform(lines, stops), True), lambda at: before(lines, at))))
 
 
-def expand_synonyms(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
-    """Whole words, whatever their case, spelled out one after another, longest first (so an expansion can be expanded)."""
-    ordered = sorted(cfg.synonyms, key=len, reverse=True)
+def expand_synonyms(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
+    """Whole words, whatever their case, spelled out one after another, longest first (so an expansion can be expanded).
+
+    One search for any of them goes first, as most texts have none.
+    """
+    ordered = sorted(cleaning.expansions, key=len, reverse=True)
     quoted = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
-    return reduce(lambda x, k: F.regexp_replace(x, rx(rf"\b\Q{k}\E\b", "i"), quoted(cfg.synonyms[k])), ordered, c)
+    spelled = reduce(lambda x, k: F.regexp_replace(x, rx(rf"\b\Q{k}\E\b", "i"), quoted(cleaning.expansions[k])), ordered, c)
+    some = rx(r"\b(?:" + "|".join(rf"\Q{k}\E" for k in ordered) + r")\b", "i")
+    return F.when(c.rlike(some), spelled).otherwise(c) if ordered else c
 
 
-def preprocess_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
+def preprocess_text(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
     """Cleaning, cut and expansion of a text that is already in normal form: Spark allows no Python function below a lambda, so `preprocess` makes that its own step."""
-    return expand_synonyms(cut_at_stop_heading(clean_text(c, replace(cfg, unicode_normalize=False)), cfg), cfg)
+    return expand_synonyms(cut_at_stop_heading(clean_text(c, cleaning.without("nfkc")), cleaning), cleaning)
 
 
-def preprocess(docs: DataFrame, cfg: CleanConfig = CleanConfig(), column: str = "text") -> DataFrame:
+def preprocess(docs: DataFrame, cleaning: Cleaning = Cleaning(), column: str = "text") -> DataFrame:
     """docs with the column put in normal form, then cleaned, cut and expanded."""
-    steps = [(cfg.strip_null_bytes, lambda x: F.replace(x, F.lit("\0"), F.lit(""))), (cfg.normalize_newlines, newlines), (cfg.unicode_normalize, nfkc)]
-    normal = reduce(lambda x, step: step[1](x) if step[0] else x, steps, F.coalesce(F.col(column).cast("string"), F.lit("")))
-    return docs.withColumn(column, normal).withColumn(column, preprocess_text(F.col(column), cfg))
+    first = replace(cleaning, steps=tuple(s for s in cleaning.steps if s in ("nul", "newlines", "nfkc")))
+    return docs.withColumn(column, clean_text(F.col(column).cast("string"), first)).withColumn(column, preprocess_text(F.col(column), cleaning))

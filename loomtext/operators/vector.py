@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from loomtext.functions.text import dot, hash_embedding
 #: an embedder maps a text column to an array<double> column
 Embedder = Callable[[Column], Column]
 BLOCK = 5_000  # questions that are sent to all tasks at once
+SCORES = 4_000_000  # of a task at a time
 
 
 def embed(df: DataFrame, embedder: Embedder = hash_embedding, column: str = "text") -> DataFrame:
@@ -24,26 +29,73 @@ def search(items: DataFrame, question: str, k: int = 5, embedder: Embedder = has
     return scored.orderBy(F.desc("score"), *order).limit(k)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column as a matrix of dim columns: shorter lists and nulls within filled with 0, longer ones cut."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    if (lengths == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(lengths), dim))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[row[at < dim], at[at < dim]] = flat[at < dim]
+    return out
+
+
 def search_many(items: DataFrame, questions: DataFrame, k: int = 10, order: tuple[str, ...] = ("id",)) -> DataFrame:
     """For each of the questions (query_id, emb) the k most similar items: query_id, rank from 1, the items' columns and score.
 
-    A stated set of questions meets all items in one scan: blocks of questions are broadcast, each task keeps its best k of every question
-    (the window's limit goes before the shuffle), and only those are ranked together.  More questions than a block take a scan for each block.
+    A stated set of questions meets all items in one scan for each block of questions: a matrix product of the block with batches of items,
+    of which each task keeps its best k of every question, and only those are ranked together.  The product finds who can be among
+    them; their scores are sums in the order of the vectors, equal for equal vectors.  Items and questions without a vector are left out.
     """
-    n = questions.count()
-    blocks = -(-n // BLOCK)
-    asked = questions.select("query_id", F.col("emb").alias("query_emb"))
-    parts = [asked] if blocks <= 1 else [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *order)
-
-    def one(part: DataFrame) -> DataFrame:
-        met = items.crossJoin(F.broadcast(part)).withColumn("score", dot(F.col("emb"), F.col("query_emb"))).drop("emb", "query_emb")
-        return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-    out = one(parts[0])
-    for part in parts[1:]:
-        out = out.unionByName(one(part))
-    return out
+    asked = questions.filter("emb is not null").select("query_id", "emb")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    items = items.filter("emb is not null")
+    kept = [c for c in items.columns if c != "emb"]
+    kinds = dict(items.dtypes)
+    kind = ", ".join([f"query_id {dict(asked.dtypes)['query_id']}", *(f"`{c}` {kinds[c]}" for c in kept), "score double"])
+    sorting = [("query", "ascending"), ("score", "descending"), *((c, "ascending") for c in order)]
+
+    def one(block: int) -> DataFrame:
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        ids, vectors = part.column("query_id"), part.column("emb")
+        dim = max(1, max((len(v) for v in vectors), default=1))
+        asking = _matrix(vectors.chunk(0), dim) if part.num_rows else np.zeros((0, dim))
+
+        def best(table: pa.Table) -> pa.Table:
+            table = table.take(pc.sort_indices(table, sort_keys=sorting, null_placement="at_start"))
+            query = table.column("query").to_numpy()
+            first = np.searchsorted(query, query, "left")
+            return table.filter(pa.array(np.arange(len(query)) - first < k))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have, bar = None, np.full(len(asking), -np.inf)
+            rows = max(1, SCORES // max(1, len(asking)))
+            for batch in batches:
+                for i in range(0, batch.num_rows if len(asking) else 0, rows):
+                    piece = batch.slice(i, rows)
+                    x = _matrix(piece.column("emb"), dim)
+                    about = x @ asking.T
+                    if len(x) >= k:
+                        bar = np.maximum(bar, np.partition(about, len(x) - k, axis=0)[len(x) - k])
+                    row, query = np.nonzero(about >= bar - 1e-9 * (1 + np.abs(bar)))
+                    score = np.zeros(len(row))
+                    for d in range(dim):
+                        score += x[row, d] * asking[query, d]
+                    found = pa.table({"query": query} | {c: piece.column(c).take(pa.array(row)) for c in kept} | {"score": score})
+                    have = found if have is None else pa.concat_tables([have, found])
+                    if have.num_rows > 4 * k * len(asking) + 100_000:
+                        have = best(have)
+            if have is not None:
+                have = best(have)
+                out = {"query_id": ids.take(pa.array(have.column("query").to_numpy()))} | {c: have.column(c) for c in [*kept, "score"]}
+                yield from pa.table(out).to_batches()
+
+        return items.mapInArrow(run, kind)
+
+    met = reduce(DataFrame.unionByName, map(one, range(blocks)))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))).filter(F.col("rank") <= k)
 
 
 def as_contexts(hits: DataFrame) -> DataFrame:

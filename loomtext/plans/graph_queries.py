@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.config import BuildConfig
 from loomtext.functions import text as T
 from loomtext.operators import extract, graph, retrieve, vector
 from loomtext.plans.register import query, quoted, s_embedding, s_fold, s_strip, s_words, table
@@ -72,6 +73,48 @@ def prompts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", extract.prompt(F.concat_ws(" ", "p_name", "p_type"), max_chars=12).alias("prompt"))
 
 
+@query("""select p_partkey, 'Relate.' || chr(10) || chr(10) || 'Entity List (use these):' || chr(10) || '[' || array_to_string(list_transform(range(1, 121), lambda i: '{"name":"' || p_name || ' ' || i || '","type":"Part"}'), ',') || ']' || chr(10) || chr(10) || 'Text:' || chr(10) || substr(p_type, 1, 9) as prompt from part""")
+def relation_prompts(spark, sf_dir):
+    """Of 130 entities the first 120 are named."""
+    entities = F.transform(F.sequence(F.lit(1), F.lit(130)), lambda i: F.struct(F.concat_ws(" ", "p_name", i.cast("string")).alias("name"), F.lit("Part").alias("type")))
+    return table(spark, sf_dir, "part").select("p_partkey", extract.relation_prompt(F.col("p_type"), entities, "Relate.", max_chars=9).alias("prompt"))
+
+
+class Unsteady:
+    """A stand-in for a model: answers with the text's last word, but only at the second call for every text that ends so."""
+
+    def __init__(self) -> None:
+        self.asked: set[str] = set()
+
+    def __call__(self, prompt: str) -> str:
+        if prompt.endswith("00") and prompt not in self.asked:
+            self.asked.add(prompt)
+            raise TimeoutError("ask again")
+        return '{"entities":[{"id":"' + prompt.rsplit(" ", 1)[-1] + '","type":"Part"}],"relations":[]}'
+
+
+@query("select p_partkey as doc_id, 1::bigint as chunk_rank, 0::bigint as pos, 'no' || p_partkey as name, 'Part' as type from part")
+def extracted_entities(spark, sf_dir):
+    """Calls of a model that fails at first, tried again, read strictly."""
+    chunks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).cast("long").alias("chunk_rank"), F.concat(F.col("p_name"), F.lit(" no"), F.col("p_partkey").cast("string")).alias("text"))
+    raw = extract.responses(chunks, Unsteady, BuildConfig(retry_base_delay=0.0))
+    found = extract.entities_of(raw.select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed")))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+_hits = "select c_custkey // 7 as query_id, row_number() over (partition by c_custkey // 7 order by c_custkey) as rank, c_custkey as id, c_name as text, (c_custkey % 8) / 8.0::double as score from customer"
+
+
+@query(f"""select query_id, trim('# Retrieved Evidence Chunks' || chr(10) || chr(10) || string_agg(chr(10) || '## Chunk ' || id || ' (score=' || format('{{:.3f}}', score) || ')' || chr(10) || text || chr(10), chr(10) order by rank)
+  || case when query_id % 3 = 0 then chr(10) || chr(10) || '# Graph Facts' || chr(10) || 'fact ' || query_id else '' end, ' ' || chr(10)) as context from ({_hits}) group by query_id""")
+def evidence_contexts(spark, sf_dir):
+    """Chunks of each question, and facts for every third."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    hits = spark.sql(_hits.replace("//", "div").replace("8.0::double", "8.0D"))
+    facts = hits.filter("query_id % 3 = 0").select("query_id", F.concat(F.lit("fact "), F.col("query_id").cast("string")).alias("facts_text")).distinct()
+    return retrieve.evidence_context(hits, facts)
+
+
 # rows as an extractor leaves them
 S_ENTITIES = """
 select (p_partkey // 40)::bigint as doc_id, p_size::bigint as chunk_rank, p_partkey::bigint as pos,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.config import BuildConfig, CleanConfig, QueryConfig
+from loomtext.config import BuildConfig, Cleaning, QueryConfig
 from loomtext.functions.text import hash_embedding
 from loomtext.operators import chunk, clean, extract, graph, rank, retrieve, vector
 
@@ -22,15 +22,15 @@ class Knowledge:
     edges: DataFrame
 
 
-def prepared_chunks(docs: DataFrame, cfg: BuildConfig = BuildConfig(), clean_cfg: CleanConfig = CleanConfig()) -> DataFrame:
+def prepared_chunks(docs: DataFrame, cfg: BuildConfig = BuildConfig(), cleaning: Cleaning = Cleaning()) -> DataFrame:
     """(doc_id, chunk_rank from 1, chunk_id, text) of the best chunks: cleaning, chunking and both caps in one pass, without a shuffle."""
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if not cfg.split_pages_before_clean:
-        text = clean.preprocess(text, clean_cfg)
+        text = clean.preprocess(text, cleaning)
     best = rank.best_chunks(chunk.chunks_by_strategy(F.col("text"), cfg), cfg)
     rows = text.filter("text <> ''").select("doc_id", F.posexplode(best).alias("i", "c"))
     if cfg.split_pages_before_clean:
-        return clean.preprocess(rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text"), clean_cfg)
+        return clean.preprocess(rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text"), cleaning)
     return rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text")
 
 
@@ -41,10 +41,10 @@ def graph_of(parsed: DataFrame, cfg: BuildConfig = BuildConfig()) -> tuple[DataF
     return nodes, graph.build_edges(relations, nodes, cfg.distinct_edges)
 
 
-def build(docs: DataFrame, make: Callable[[], extract.Extractor], folder: str, cfg: BuildConfig = BuildConfig(), clean_cfg: CleanConfig = CleanConfig(), embedder: vector.Embedder = hash_embedding) -> Knowledge:
+def build(docs: DataFrame, make: Callable[[], extract.Extractor], folder: str, cfg: BuildConfig = BuildConfig(), cleaning: Cleaning = Cleaning(), embedder: vector.Embedder = hash_embedding) -> Knowledge:
     """The knowledge of all documents; chunks and the model's answers are written below folder, as several branches read them."""
     spark = docs.sparkSession
-    chunks = prepared_chunks(docs, cfg, clean_cfg)
+    chunks = prepared_chunks(docs, cfg, cleaning)
     vector.embed(chunks, embedder).write.mode("overwrite").parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
     extract.responses(chunks.drop("emb"), make, cfg).write.mode("overwrite").parquet(f"{folder}/responses")

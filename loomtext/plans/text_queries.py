@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.config import SECTION_HEADINGS, STOP_HEADINGS, SYNONYMS, BuildConfig
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank, retrieve, vector
-from loomtext.plans.register import LETTER, WS, query, quoted, s_embedding, s_fold, s_strip, s_sub, table
+from loomtext.plans.register import LETTER, WS, query, quoted, s_embedding, s_fold, s_strip, s_sub, s_words, table
 from loomtext.sources.readers import decoded, element_sections, flatten_sections, html_elements
 
 DOC = "coalesce(text, '')"
@@ -82,12 +82,23 @@ def clean_hyphen(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", clean.join_hyphenated(broken).alias("text"))
 
 
-@query()
+@query(_one(f"{DOC} || ' fine 12  x2'"))
 def clean_nfkc(spark, sf_dir):
-    """Ligatures, full-width digits and no-break blanks; no SQL function of the oracle does this."""
+    """Ligatures, full-width digits and no-break blanks; the oracle has no such function, but documents are in normal form already."""
     return _docs(spark, sf_dir).select("doc_id", T.nfkc(F.concat("text", F.lit(" ﬁne １２ \u00a0x²"))).alias("text"))
 
 
+@query(_one(f"{DOC} || 'x'"))
+def clean_nul(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", clean.STEPS["nul"](F.concat("text", F.lit("\0x\0"))).alias("text"))
+
+
+@query("select doc_id, 'a   ' || doc_id || '   c $ 5 and 6 $ d   e' as text from documents")
+def clean_latex(spark, sf_dir):
+    made = F.concat(F.lit("a \\[x\ny\\] "), F.col("doc_id").cast("string"), F.lit(" $$z\nz$$ c $ 5 and 6 $ d $a\nb$ e"))
+    return _docs(spark, sf_dir).select("doc_id", clean.drop_inline_latex(clean.drop_display_latex(made)).alias("text"))
+
+
 EVERY = CITATIONS + YEARS + BULLETS + DECOR + SPACES + " end-\nings"
 S_EVERY = reduce(lambda x, r: s_sub(x, *r), [(S_CITATIONS, ""), (S_YEARS, ""), (f"[{clean.BULLETS}]", ""), (S_DECOR, " ")], s_join(s_sub(s_lines_end(EVERY), "\r\n?", "\n")))
 
@@ -115,6 +126,19 @@ def entity_expand(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", clean.expand_synonyms(_lines_end(F.col("text"), TERMS)).alias("text"))
 
 
+CHAINED = TERMS + EVERY + "\n 3. References "
+S_PREPARED = s_whitespace(S_EVERY.replace(s_lines_end(EVERY), s_lines_end(CHAINED)))
+
+
+@query(f"""select doc_id, {reduce(lambda x, k: s_sub(x, rf"\b{k}\b", SYNONYMS[k], "gi"), sorted(SYNONYMS, key=len, reverse=True), "t")} as text from (
+  select doc_id, {s_strip("case when stop is null then t else array_to_string(lines[1:stop - 1], '\n') end")} as t from (
+    select *, list_position(list_transform(lines, lambda x: regexp_matches(lower({s_strip("x")}), '^([0-9]+\\.?[{WS}]*)?({"|".join(STOP_HEADINGS)})$')), true) as stop
+    from (select doc_id, t, string_split(t, '\n') as lines from (select doc_id, {S_PREPARED} as t from documents))))""")
+def preprocessed(spark, sf_dir):
+    """The whole chain: every kind of thing to clean, a closing heading after each line end, terms to spell out."""
+    return clean.preprocess(_docs(spark, sf_dir).select("doc_id", _lines_end(F.col("text"), CHAINED).alias("text")))
+
+
 # chunkers: arrays in Spark, lists in the oracle
 def _exploded(spark: SparkSession, sf_dir: str, chunks: Column, source: Column | None = None) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", (F.col("text") if source is None else source).alias("text"))
@@ -205,9 +229,30 @@ def semantic_chunks(spark, sf_dir):
     return _exploded(spark, sf_dir, chunk.semantic_chunks(F.col("text")), _blank_lines())
 
 
-@query()
+_heads = "(?im)" + "|".join(f"(?:^[{WS}]*{p}$)" for p in (x.replace("\\s", f"[{WS}]").replace("\\d", r"\p{Nd}") for x in chunk.SECTION_LINES))
+_para_words = f"len({s_words('x')})"
+_paras = f"list_transform(list_filter(list_transform(string_split_regex(body, '\n[{WS}]*\n+'), lambda x: {s_strip('x')}), lambda x: x <> ''), lambda x: {{'out': []::varchar[], 'cur': [{{'p': x, 'w': {_para_words}}}]}})"
+_text = lambda cur: f"array_to_string(list_transform({cur}, lambda y: y.p), '\n\n')"
+_words_in = lambda cur: f"list_sum(list_transform({cur}, lambda y: y.w))"
+_kept = f"list_filter(a.cur, lambda y, i: i = len(a.cur) or {_words_in('a.cur[i:]').replace('y', 'z')} <= 15)"
+_cut = f"list_transform(range(0, x.cur[1].w, 75), lambda i: array_to_string(({s_words('x.cur[1].p')})[i + 1:i + 90], ' '))"
+S_WINDOWS = f"""list_transform([list_reduce({_paras}, lambda a, x: case when x.cur[1].w > 135 then {{'out': list_concat(a.out, {_cut}), 'cur': a.cur}}
+  when len(a.cur) > 0 and {_words_in("a.cur")} + x.cur[1].w > 90 then {{'out': list_append(a.out, {_text("a.cur")}), 'cur': list_concat({_kept}, x.cur)}}
+  else {{'out': a.out, 'cur': list_concat(a.cur, x.cur)}} end, {{'out': []::varchar[], 'cur': []::struct(p varchar, w bigint)[]}})], lambda a: case when len(a.cur) > 0 then list_append(a.out, {_text("a.cur")}) else a.out end)[1]"""
+
+
+@query(f"""
+with pages_of as (select doc_id, unnest([1, 2]) as page, unnest(['Introduction\n' || replace({DOC}, '. ', '.\n\n'), 'Results\n' || {DOC}]) as t from documents),
+heads as (select doc_id, page, {s_strip("t")} as t, list_transform(regexp_extract_all({s_strip("t")}, {quoted(_heads)}), lambda x: {s_fold("x")}) as titles, list_transform(string_split_regex({s_strip("t")}, {quoted(_heads)})[2:], lambda x: {s_strip("x")}) as bodies from pages_of),
+found as (select doc_id, page, t, list_filter(list_zip(titles, bodies), lambda x: x[2] <> '') as rows_ from heads),
+sections as (select doc_id, page, unnest(range(len(r))) as section, unnest(r) as r from (select doc_id, page, case when len(rows_) > 0 then rows_ else [row('page', t)] end as r from found)),
+windows as (select doc_id, page, section, r[1] as title, r[2] as body from sections where lower(r[1]) <> 'references'),
+listed as (select doc_id, page, section, title, unnest(range(len(c))) as place, unnest(c) as text from (select doc_id, page, section, title, {S_WINDOWS} as c from windows)),
+numbered as (select *, row_number() over (partition by doc_id order by page, section, place) as n from listed)
+select doc_id, n - 1 as chunk_no, printf('%05d|p%d|%s', n, page, {s_strip("substr(title, 1, 30)")}) as chunk_id, text from numbered
+""")
 def custom_chunks(spark, sf_dir):
-    """Pages, sections and word windows; their fold is tested against plain Python."""
+    """Word windows of sections of pages; paragraphs on the first page are short, on the second whole."""
     source = F.concat(F.lit("\n--- Page 1 ---\nIntroduction\n"), F.replace("text", F.lit(". "), F.lit(".\n\n")), F.lit("\n--- page 2 ---\nResults\n"), F.col("text"))
     rows = _docs(spark, sf_dir).select("doc_id", source.alias("text"))
     return chunk.chunk(rows, chunk.custom_chunks(F.col("text"), 90, 15)).withColumn("chunk_no", F.col("chunk_no").cast("long"))
@@ -311,7 +356,7 @@ _raw = "regexp_extract_all(coalesce(html, ''), '(?is)<(?:h[1-6]\\b[^>]*>.*?</h[1
 S_ELEMENTS = f"select page_id as doc_id, unnest(range(len(r))) as pos, unnest(r) as raw from (select page_id, {_raw} as r from pages)"
 
 
-@query(f"""
+S_SECTIONS = f"""
 with x as ({S_ELEMENTS}),
 e as (select doc_id, pos, lower(regexp_extract(raw, '^<([A-Za-z0-9]+)', 1)) as tag, {s_strip(s_sub("raw", "(?s)<[^>]*>", ""))} as text from x),
 g as (select *, sum((tag in ('heading', 'title', 'h1', 'h2', 'h3'))::int) over (partition by doc_id order by pos) as grp from e),
@@ -319,13 +364,26 @@ s as (select doc_id, grp, max(text) filter (tag in ('heading', 'title', 'h1', 'h
   string_agg(case when tag = 'table' then '\n' || text || '\n' else text end, '\n' order by pos) filter (tag not in ('heading', 'title', 'h1', 'h2', 'h3') and text <> '') as body,
   count(*) filter (tag = 'table' and text <> '') as n_tables from g group by 1, 2)
 select doc_id, row_number() over (partition by doc_id order by grp) - 1 as section_no, coalesce(heading, 'Abstract') as heading, {s_strip("body")} as text, n_tables from s where body is not null
-""")
+"""
+
+
+@query(S_SECTIONS)
 def element_sections_of_pages(spark, sf_dir):
     rows = element_sections(html_elements(table(spark, sf_dir, "pages")))
     return rows.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "heading", "text", F.size("tables").cast("long").alias("n_tables"))
 
 
-@query()
+@query(f"""select doc_id, {s_strip("string_agg('\n\n## ' || heading || '\n\n' || text, '' order by section_no)")} as text from ({S_SECTIONS}) group by doc_id""")
 def section_texts_of_pages(spark, sf_dir):
     """Sections of pages put together as texts."""
     return flatten_sections(element_sections(html_elements(table(spark, sf_dir, "pages"))))
+
+
+S_STRATEGIES = {"sections": s_sections("t", 2600, 900), "pages": s_pages("t", 120), "sliding": s_sliding("t", 2400, 700, 40), "all": S_FALLBACK}
+
+
+@query(" union all ".join(f"(select '{name}' as strategy, doc_id, chunk_no, (chunk_no + 1)::varchar as chunk_id, text from ({_listed(f'select doc_id, {s_strip(DOC)} as t from documents', sql)}))" for name, sql in S_STRATEGIES.items()))
+def chunk_strategies(spark, sf_dir):
+    """Chunks by each strategy's name; a name that is none takes all."""
+    each = [chunk.chunk(_docs(spark, sf_dir), chunk.chunks_by_strategy(F.col("text"), BuildConfig(chunk_strategy=name))).withColumn("strategy", F.lit(name)) for name in S_STRATEGIES]
+    return reduce(DataFrame.unionByName, each).select("strategy", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", "text")

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomtext.config import BuildConfig, CleanConfig
+from loomtext.config import BuildConfig, Cleaning
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank
 
@@ -20,7 +20,7 @@ def test_clean(spark):
     assert one(spark, "infor-\nmation [1, 2] (2019) • x", clean.clean_text) == "information x"
     assert one(spark, "x\n--- Page 2 ---\ny", clean.clean_text) == "x\n Page 2 \ny"
     assert one(spark, None, clean.clean_text) == ""
-    assert one(spark, "a\0b\r\nﬁ \\[x\n\\] $y$", lambda c: clean.clean_text(c, CleanConfig(remove_display_latex=True, remove_inline_latex=True))) == "ab\nfi"
+    assert one(spark, "a\0b\r\nﬁ \\[x\n\\] $y$", lambda c: clean.clean_text(c, Cleaning().also("display_latex", "inline_latex"))) == "ab\nfi"
     assert one(spark, "A\n2. References\nB", clean.cut_at_stop_heading) == "A"
     once = one(spark, "The Transformer and LLMs", clean.expand_synonyms)
     assert once == "The Transformer Architecture and Large Language Models"
