@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,11 +102,14 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     """The UTF-8 bytes of a text column end to end, and len + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if column.null_count == 0 else column.fill_null("").cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    column = column if wide or pa.types.is_string(column.type) or pa.types.is_binary(column.type) else column.cast(pa.string())
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -144,13 +148,14 @@ def give_back(kind: str) -> None:
         _C.malloc_trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20, kind: str = "") -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20, kind: str = "") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of at most limit bytes of text; a longer text comes alone."""
     give_back(kind)
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = byte_view(batch.column(text))
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)

@@ -23,6 +23,7 @@ from loomtext.llm.base import byte_view, sliced
 
 COMMON, DIM = 64, 1024  # letters whose trigrams' vectors are kept; those of others are made when they are met
 BLOCK = 2048  # vectors that are added at once
+SLICE = 1 << 20  # bytes of text at a time, unless one text is longer
 
 
 class Space:
@@ -123,7 +124,7 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, counts, others = space(), {}, {}
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE):
             keys, rows, begins = here.trigrams(*_lowered(batch))
             langs = batch.column("lang").to_pylist()
             for lang in set(langs):
@@ -155,7 +156,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = space()
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE):
             keys, rows, begins = here.trigrams(*_lowered(batch))
             rare = len(rows) and rows.min() < 0
             vectors = np.zeros((batch.num_rows, DIM), np.float32)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import FACTOR, INVERSE, _power_table, byte_view, fresh_dir, mix, partitions, prefix_sums, read_file, sliced, span_hashes, write_file
+from loomtext.llm.base import FACTOR, INVERSE, _power_table, byte_view, fresh_dir, give_back, mix, partitions, prefix_sums, read_file, sliced, span_hashes, write_file
 from loomtext.llm.bwt import Shards, merged_intervals
 
 NO_ID = (1 << 63) - 1
@@ -160,6 +160,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         several[order] = np.repeat(many, np.diff(np.append(cuts, len(keys))))
         ends = np.cumsum(sizes)
         found = [np.unique(keys[a:b][several[a:b]]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        del keys, texts_, row, order, sorted_, owner, several
+        give_back("repeats")
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "keys": _raw(found)})
 
     def snippets(table: pa.Table) -> pa.Table:
@@ -189,6 +191,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         if not rows:
             rows = [(0, block, np.zeros(0, small), np.zeros(0, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         b, blocks, *arrays = zip(*rows, strict=True)
+        del data, anchors, sums, code, wanted
+        give_back("repeats")
         return pa.table({"bucket": pa.array(b, pa.int32()), "block": blocks} | {k: _raw(list(v)) for k, v in zip(("sizes", "data", "keys", "least"), arrays, strict=True)})
 
     def merge(table: pa.Table) -> pa.Table:
@@ -222,6 +226,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         inner = snippet - (np.cumsum(counts) - counts)[row[snippet]]
         a, b, d = cut[run] - begins[of[run]], last[run] - begins[of[run]], best[cut[run]]
         pieces = [slice(x, y) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        del data, spread, best, owner, number, starts, ends, row, keep
+        give_back("repeats")
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "snippets": _raw([inner[p].astype(np.uint32) for p in pieces]), "first": _raw([a[p].astype(small) for p in pieces]), "last": _raw([b[p].astype(small) for p in pieces]), "documents": _raw([d[p] for p in pieces])})
 
     def finish(table: pa.Table) -> pa.Table:
@@ -260,6 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         if texts:
             out["text"] = pa.array(text_rows, pa.string())
         n_bytes, n_removed, n_spans, sha = zip(*stats, strict=True)
+        del data, gone, kept_bytes, edge, order, told
+        give_back("repeats")
         out |= {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
         return pa.table({k: out[k] for k in names})
 
