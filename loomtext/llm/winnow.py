@@ -42,20 +42,21 @@ def words(text: Column) -> Column:
     plain = F.filter(F.split(low, f"{_BLANK}+"), lambda w: w != "")
     apart = F.filter(F.split(F.regexp_replace(low, _SCRIPTS, " $0 "), f"{_BLANK}+"), lambda w: w != "")
     each = F.flatten(F.transform(apart, lambda w: F.when(F.length(w) > LONG, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
-    odd = low.rlike(f"[^\\t-\\r ]{{{LONG + 1}}}") | ((F.length(low) != F.octet_length(low)) & low.rlike(_SCRIPTS))
+    odd = low.rlike(f"(?:^|{_BLANK})[^\\t-\\r ]{{{LONG + 1}}}") | ((F.length(low) != F.octet_length(low)) & low.rlike(_SCRIPTS))
     return F.when(odd, each).otherwise(plain)
 
 
-def rolled(hashes: Column, k: int) -> Column:
-    """Hashes of k in a row, by doubling: those of n and m in a row give those of n + m."""
+def rolled(hashes: Column, k: int, placed) -> Column:
+    """Hashes of k in a row, by doubling: those of n and m in a row give those of n + m; placed(hash, position) of each."""
 
     def joined(x: Column, n: int, y: Column, m: int) -> Column:
-        scale = pow(BASE, m, PRIME)
-        return F.transform(F.slice(x, 1, F.greatest(F.size(y) - n, F.lit(0))), lambda v, i: (v * scale + F.get(y, i + n)) % PRIME)
+        scale, last = pow(BASE, m, PRIME), n + m == k
+        value = lambda v, i: (v * scale + F.get(y, i + n)) % PRIME
+        return F.transform(F.slice(x, 1, F.greatest(F.size(y) - n, F.lit(0))), (lambda v, i: placed(value(v, i), i)) if last else value)
 
     def grown(x: Column, n: int, bits: str) -> Column:
         if not bits:
-            return x
+            return x if k > 1 else F.transform(x, placed)
         return _let(joined(x, n, x, n), lambda two: grown(two, 2 * n, bits[1:]) if bits[0] == "0" else _let(joined(two, 2 * n, hashes, 1), lambda odd: grown(odd, 2 * n + 1, bits[1:])))
 
     return grown(hashes, 1, bin(k)[3:])
@@ -66,7 +67,7 @@ def picks(text: Column, k: int, window: int) -> Column:
     placed = lambda h, i: h * (1 << PLACES) + (LAST - i)
 
     def hashes(w: Column) -> Column:
-        grams = _let(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))), lambda h: F.transform(rolled(h, k), placed))
+        grams = _let(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))), lambda h: rolled(h, k, placed))
         return F.when(F.size(w) >= k, grams).when(F.size(w) > 0, F.array(placed(F.pmod(F.xxhash64(w), F.lit(PRIME)), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
     def minima(a: Column, step: int) -> Column:
