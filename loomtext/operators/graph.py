@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import edge_type, fold, is_number, relation_type, strip, words
 
 NODE_ORDER = ("branch", "chunk_rank", "pos", "side")
+SEED_CHARS = 4
 
 
 def _first(rows: DataFrame, keys: list[str], order: tuple[str, ...], values: list[str]) -> DataFrame:
@@ -82,18 +83,23 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def seed_terms(question: Column) -> Column:
-    """Words of a question of four characters or more."""
-    return F.filter(words(question), lambda w: F.length(w) >= 4)
+    """Words of a question of SEED_CHARS characters or more."""
+    return F.filter(words(question), lambda w: F.length(w) >= SEED_CHARS)
 
 
 def seed_match(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, node_key) of nodes whose id contains one of the question's terms, whatever the case.
 
-    A substring match has no join key: terms of the stated questions go to all tasks, nodes are scanned once and their keys made distinct.
+    An id that contains a term contains the term's first SEED_CHARS characters, so ids meet terms by runs of that many characters: an equal
+    join of which Spark broadcasts a side only if it knows it to be small, and splits keys that many ids have.
     """
     terms = questions.select("query_id", F.explode(F.array_distinct(F.transform(seed_terms(F.col("question")), F.lower))).alias("term"))
+    terms = terms.withColumn("run", F.substring("term", 1, SEED_CHARS))
     ids = nodes.select("node_key", F.lower("id").alias("low")).distinct()
-    return ids.join(F.broadcast(terms), F.contains("low", "term")).select("query_id", "node_key").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length("low") - SEED_CHARS + 1, F.lit(1)))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("low"), i, F.lit(SEED_CHARS))))
+    met = ids.select("node_key", "low", F.explode(runs).alias("run")).join(terms, "run")
+    return met.filter(F.contains("low", "term")).select("query_id", "node_key").distinct()
 
 
 def k_hop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 60) -> DataFrame:

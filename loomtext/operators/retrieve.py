@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from loomtext.functions.text import fixed3, rstrip, strip, words
 
 #: a reranker turns (question, text, score) columns into a new score
 Reranker = Callable[[Column, Column, Column], Column]
+#: a model scores lists of questions and texts, pair by pair
+PairModel = Callable[[list[str], list[str]], list[float]]
+
+log = logging.getLogger(__name__)
 
 TITLE = "# Verified Context Blocks"
 
@@ -25,10 +31,37 @@ def lexical_overlap(question: Column, text: Column, score: Column) -> Column:
     return score + F.size(F.array_intersect(words(F.lower(question)), words(F.lower(text)))) * 0.1
 
 
-def rerank(contexts: DataFrame, questions: DataFrame, k: int = 5, reranker: Reranker = lexical_overlap) -> DataFrame:
-    """The k best contexts of each question (query_id, question) by the reranker's score, ties in their former order; rank from 1."""
+def model_scores(question: Column, text: Column, make: Callable[[], PairModel]) -> Column:
+    """Scores of a model that each task makes once; null for a batch of pairs that it fails on."""
+
+    @F.pandas_udf("double")
+    def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = None
+        for questions, texts in batches:
+            try:
+                model = model or make()
+                scores = pd.Series(model(questions.tolist(), texts.tolist()), dtype="float64")
+                if len(scores) != len(texts):
+                    raise ValueError(f"{len(scores)} scores for {len(texts)} pairs")
+            except Exception:  # whatever the model raises, the former way stands in for it
+                log.exception("the reranking model failed")
+                scores = pd.Series([None] * len(texts), dtype="float64")
+            yield scores
+
+    return told(question, text)
+
+
+def rerank(contexts: DataFrame, questions: DataFrame, k: int = 5, reranker: Reranker = lexical_overlap, make: Callable[[], PairModel] | None = None) -> DataFrame:
+    """The k best contexts of each question (query_id, question) by the reranker's score, ties in their former order; rank from 1.
+
+    With a model (make), its scores decide; a question with a context that the model gave no score goes by the reranker as a whole.
+    """
     met = contexts.join(questions.select("query_id", "question"), "query_id")
-    met = met.withColumn("score", reranker(F.col("question"), F.col("text"), F.col("score"))).drop("question")
+    score = reranker(F.col("question"), F.col("text"), F.col("score"))
+    if make is not None:
+        met = met.withColumn("told", model_scores(F.col("question"), F.col("text"), make))
+        score = F.when(F.count_if(F.col("told").isNull()).over(Window.partitionBy("query_id")) == 0, F.col("told")).otherwise(score)
+    met = met.withColumn("score", score).drop("question", "told")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "branch", "ctx_ord")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

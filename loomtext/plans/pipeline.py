@@ -53,13 +53,13 @@ def build(docs: DataFrame, make: Callable[[], extract.Extractor], folder: str, c
     return Knowledge(chunks, nodes, edges)
 
 
-def ask(questions: DataFrame, known: Knowledge, cfg: QueryConfig = QueryConfig(), embedder: vector.Embedder = hash_embedding, reranker: retrieve.Reranker = retrieve.lexical_overlap) -> tuple[DataFrame, DataFrame]:
+def ask(questions: DataFrame, known: Knowledge, cfg: QueryConfig = QueryConfig(), embedder: vector.Embedder = hash_embedding, reranker: retrieve.Reranker = retrieve.lexical_overlap, rerank_model: Callable[[], retrieve.PairModel] | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranked evidence and the context of each question (query_id, question): vector hits and facts around the question's terms."""
     items = known.chunks.select(F.concat_ws("/", "doc_id", "chunk_id").alias("id"), "text", "emb")
     hits = vector.search_many(items, questions.select("query_id", embedder(F.col("question")).alias("emb")), cfg.top_k_vector)
     facts = graph.k_hop_facts(known.edges, graph.seed_match(known.nodes, questions), cfg.hops, cfg.max_facts)
     contexts = retrieve.evidence_union(vector.as_contexts(hits), graph.facts_as_contexts(facts))
-    ranked = retrieve.rerank(contexts, questions, cfg.top_k_rerank, reranker)
+    ranked = retrieve.rerank(contexts, questions, cfg.top_k_rerank, reranker, rerank_model)
     return ranked, retrieve.synthesis_context(ranked, cfg.max_chunk_chars)
 
 

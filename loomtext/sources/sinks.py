@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import logging
-from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -30,17 +30,27 @@ def write_index(embedded: DataFrame, path: str, mode: str = "append") -> None:
     embedded.write.mode(mode).parquet(path)
 
 
-def graph_page(nodes: DataFrame, edges: DataFrame, doc_id: int, file: str, max_edges: int = 2000) -> str | None:
-    """A page with one document's nodes and edges as a table and as JSON, for viewers; None if it has no node.
+def graph_page(nodes: DataFrame, edges: DataFrame, doc_id: int, file: str) -> str | None:
+    """A page with all nodes and edges of one document as a table and as JSON, for viewers; None if it has no node.
 
-    What a reader can look at is bounded: the first max_edges edges by head, type and tail, and the nodes they touch or as many nodes.
+    Rows come partition by partition and go straight to the file, so the page may be longer than the driver's memory.
     """
-    mine = edges.filter(F.col("doc_id") == doc_id).select("src_id", "rel_type", "dst_id").orderBy("src_id", "rel_type", "dst_id").limit(max_edges)
-    rows = [r.asDict() for r in mine.collect()]
-    named = [r.asDict() for r in nodes.filter(F.col("doc_id") == doc_id).select("id", "type").orderBy("id").limit(2 * max_edges).collect()]
-    if not named:
+    here = lambda df, *columns: df.filter(F.col("doc_id") == doc_id).select(*columns).orderBy(*columns)
+    ends = here(edges, "src_id", "rel_type", "dst_id")
+    named = here(nodes, "id", "type").toLocalIterator()
+    first = next(named, None)
+    if first is None:
         return None
-    cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c]))}</td>" for c in ("src_id", "rel_type", "dst_id")) + "</tr>" for r in rows)
-    data = json.dumps({"nodes": [{"id": n["id"], "label": n["id"], "title": n["type"]} for n in named], "edges": [{"from": r["src_id"], "to": r["dst_id"], "label": r["rel_type"], "arrows": "to"} for r in rows]}).replace("<", "\\u003c")
-    Path(file).write_text(f"<!doctype html><meta charset=utf-8><title>Graph of {doc_id}</title><table>{cells}</table><script type='application/json' id='graph'>{data}</script>", "utf-8")
+    safe = lambda row: json.dumps(row).replace("<", "\\u003c")
+    with open(file, "w", encoding="utf-8") as out:
+        out.write(f"<!doctype html><meta charset=utf-8><title>Graph of {doc_id}</title><table>")
+        for r in ends.toLocalIterator():
+            out.write("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>")
+        out.write('</table><script type=\'application/json\' id=\'graph\'>{"nodes": [')
+        for i, n in enumerate(itertools.chain([first], named)):
+            out.write((", " if i else "") + safe({"id": n["id"], "label": n["id"], "title": n["type"]}))
+        out.write('], "edges": [')
+        for i, r in enumerate(ends.toLocalIterator()):
+            out.write((", " if i else "") + safe({"from": r["src_id"], "to": r["dst_id"], "label": r["rel_type"], "arrows": "to"}))
+        out.write("]}</script>")
     return file

@@ -52,6 +52,43 @@ def test_hops_and_rerank(spark):
     assert retrieve.synthesis_context(ranked.withColumn("score", F.lit(0.0625))).first()["context"].count("Score=0.062") == 2
 
 
+def test_rerank_model(spark):
+    """A model's scores decide; where it fails, or can't be made, a question goes by shared words."""
+    ctx = spark.createDataFrame([(q, 0, i, t, t, "s", 0.5) for q in (1, 2) for i, t in enumerate(("b c", "longer text", "bad"))], "query_id int, branch int, ctx_ord long, id string, text string, source_type string, score double")
+    questions = spark.createDataFrame([(1, "a b"), (2, "fail b")], "query_id int, question string")
+    ids = lambda make, q: [r["id"] for r in retrieve.rerank(ctx.repartition(1), questions.filter(f"query_id = {q}"), make=make).orderBy("rank").collect()]
+
+    def make():
+        def model(asked, texts):
+            if any(q.startswith("fail") for q in asked):
+                raise RuntimeError("no score")
+            return [len(t) for t in texts]
+
+        return model
+
+    assert ids(make, 1) == ["longer text", "b c", "bad"]
+    assert ids(make, 2) == ids(lambda: 1 / 0, 2) == ids(None, 2) == ["b c", "longer text", "bad"]
+    assert ids(lambda: lambda asked, texts: [1.0] * (len(texts) + 1), 1) == ["b c", "longer text", "bad"]
+
+
+def test_seeds(spark):
+    ids = ["Deep Transformer", "transform", "TRANSFORMERS", "ran", "", "née Ångström", "aaaa", "xaaaaax", "%_ab"]
+    nodes = spark.createDataFrame([(x.lower(), x) for x in ids], "node_key string, id string")
+    asked = {1: "Which Transformer aaaa is Ångström", 2: "ran a bc", 3: "%_ab aaaaa transform", 4: ""}
+    got = graph.seed_match(nodes, spark.createDataFrame(list(asked.items()), "query_id int, question string"))
+    want = {(q, x.lower()) for q, text in asked.items() for w in text.lower().split() if len(w) >= 4 for x in ids if w in x.lower()}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_graph_page(spark, tmp_path):
+    """All edges of a document, more than a page's reader sees at once, and no other document's."""
+    edges = spark.createDataFrame([(d, f"<a{i}>", "R", f"b{i}") for d in (1, 2) for i in range(3000)], "doc_id long, src_id string, rel_type string, dst_id string")
+    nodes = spark.createDataFrame([(1, f"<a{i}>", "T") for i in range(5000)], "doc_id long, id string, type string")
+    page = open(sinks.graph_page(nodes, edges, 1, str(tmp_path / "page.html")), encoding="utf-8").read()
+    data = page.split("id='graph'>")[1].removesuffix("</script>")
+    assert page.count("<tr>") == len(json.loads(data)["edges"]) == 3000 and len(json.loads(data)["nodes"]) == 5000 and "<" not in data
+
+
 def test_plan(spark, tmp_path):
     answer = '{"entities":[{"id":"Alpha","type":"Model"}],"relations":[{"source":"Alpha","target":"Beta set","predicate":"uses","evidence":"e"}]}'
     docs = spark.createDataFrame([(1, "Alpha uses the Beta set. " * 40), (2, ""), (3, None)], "doc_id long, text string")
