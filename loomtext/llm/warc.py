@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import filesystem, fresh_dir, partitions, write_file
+from loomtext.llm.base import filesystem, fresh_dir, partitions, staged, write_file
 
 INDEX = "file string, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -33,13 +33,14 @@ def digest(payload: bytes) -> str:
 def with_revisits(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: the smallest page_id with the same payload if that is another one, for payloads of at least `smallest` bytes.
 
-    Only digests and ids are grouped (with partial sums before the shuffle); texts move once, to meet their decision.
+    Only digests and ids are grouped (with partial sums before the shuffle), from a staged table of distinct ones; only payloads that occur
+    more than once are looked up.  Texts move once, by page_id and digest, to meet their decision, so those of a common payload spread.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("sha"))
-    ids = keyed.filter(F.octet_length("html") >= smallest).select("page_id", "sha")
-    first = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    decided = ids.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "sha", "first_id").distinct()
+    ids = staged(keyed.filter(F.octet_length("html") >= smallest).select("page_id", "sha").distinct(), "payloads")
+    first = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("sha", "first_id")
+    decided = ids.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
     a, b = keyed.alias("a"), decided.alias("b")
     return a.join(b, F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.sha") == F.col("b.sha")), "left").select("a.page_id", "a.url", "a.html", F.col("b.first_id").alias("refers_to"))
 
@@ -84,28 +85,26 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 1) -> DataFrame
 
 
 class _Stream:
-    """A whole-file gzip stream read once, front to back; also reads streams of many members."""
+    """A whole-file gzip stream read once, front to back, at most chunk inflated bytes at a time; also reads streams of many members."""
 
     def __init__(self, source, chunk: int = 1 << 20) -> None:
-        self.source, self.chunk, self.have, self.inflate = source, chunk, bytearray(), zlib.decompressobj(31)
+        self.source, self.chunk, self.have, self.left, self.inflate = source, chunk, bytearray(), b"", zlib.decompressobj(31)
 
     def _more(self) -> bool:
-        data = self.source.read(self.chunk)
-        while data:
-            self.have += self.inflate.decompress(data)
-            data = self.inflate.unused_data
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-            elif not data:
-                return True
-        return bool(self.source.size() > self.source.tell())
+        """Inflate some more; False at the end of the file."""
+        if self.inflate.eof:
+            self.left, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+        data = self.left or self.source.read(self.chunk)
+        self.have += self.inflate.decompress(data, self.chunk)
+        self.left = self.inflate.unconsumed_tail
+        return bool(data)
 
     def until(self, mark: bytes) -> bytes | None:
         """What comes up to and with mark; None at the end."""
         seen = 0
         while (at := self.have.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.have)
-            if not self._more() and len(self.have) == seen:
+            if not self._more():
                 if self.have.strip():
                     raise ValueError("the archive ends inside a record's header")
                 return None
@@ -113,8 +112,7 @@ class _Stream:
 
     def take(self, n: int) -> bytes:
         while len(self.have) < n:
-            was = len(self.have)
-            if not self._more() and len(self.have) == was:
+            if not self._more():
                 raise ValueError("the archive ends inside a record")
         out = bytes(self.have[:n])
         del self.have[:n]
