@@ -14,13 +14,17 @@ Repeated documents are each judged; other columns are ignored; an empty table of
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loomtext.llm.base import byte_view, prefix_sums, sliced, span_hashes, word_spans
+from loomtext.llm.base import byte_view, fresh_dir, prefix_sums, read_file, sliced, span_hashes, word_spans, write_file
 from loomtext.llm.minhash import LOWER
 
 WORD = np.zeros(256, bool)
@@ -194,32 +198,55 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> Iter
         yield np.repeat(which[found], times), word[index.locate(rows)], length
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def phrase_files(benchmark: DataFrame, width: int, block_bytes: int) -> list[str]:
+    """Names of files in the shared folder, each with the windows of a block of items: tasks make and write them, the driver sees names only."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder = fresh_dir(benchmark.sparkSession, "phrases")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stored(block: list[tuple[str, str | None]]) -> pa.RecordBatch:
+            raw = zlib.compress(pickle.dumps(Phrases(block, width)), 1)
+            name = f"{folder}/{TaskContext.get().partitionId():06d}-{zlib.crc32(raw):08x}-{len(raw)}"
+            write_file(name, raw)
+            return pa.RecordBatch.from_pydict({"file": [name]})
+
+        block, held = [], 0
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                block.append((item, text))
+                held += len((text or "").encode())
+                if held >= 2 * block_bytes:  # partitions have about block_bytes; one with long items has several blocks
+                    yield stored(block)
+                    block, held = [], 0
+        if block:
+            yield stored(block)
+
+    return sorted(r["file"] for r in items.repartition(max(1, -(-size // block_bytes))).mapInArrow(write, "file string").collect())
+
+
+def _phrases(name: str) -> Phrases:
+    return pickle.loads(zlib.decompress(read_file(name)))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 2 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document the columns of keep, n_words, n_hit, items (ids of items with occurring windows, sorted as strings), spans (bytes to
     remove), and kept_text, what is left of the text without its spans.
 
-    The benchmark goes out in blocks of at most block_bytes of text (a longer item is a block), each a broadcast of its own.
+    The benchmark's windows lie in files, each of about block_bytes of text, twice that at most unless one item is longer.  A task holds one
+    of them at a time; where there are several, it reads them for each slice of documents, and slices are larger.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks, block, size = [], [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        block.append(("null" if r["item_id"] is None else str(r["item_id"]), r["text"]))
-        size += len((r["text"] or "").encode())
-        if size >= block_bytes:
-            blocks.append(sc.broadcast(block))
-            block, size = [], 0
-    if block:
-        blocks.append(sc.broadcast(block))
+    files = phrase_files(benchmark, width, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Phrases(blocks[0].value, width) if len(blocks) == 1 else None
-        for batch in sliced(batches):
+        only = _phrases(files[0]) if len(files) == 1 else None
+        for batch in sliced(batches, limit=(2 if only else 8) << 20):
             hashes, starts, ends, first = words_of(*byte_view(batch.column("text")))
             _, offsets = byte_view(batch.column("text"))
             edge = np.zeros(len(hashes) + 1, np.int64)
             items: dict[int, set[str]] = {}
-            for b in blocks:
-                phrases = only or Phrases(b.value, width)
+            for name in files:
+                phrases = only or _phrases(name)
                 for which, words, length in occurrences(hashes, first, phrases):
                     np.add.at(edge, words, 1)
                     np.add.at(edge, words + length, -1)

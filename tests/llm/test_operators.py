@@ -339,6 +339,19 @@ def test_edge_tables(spark):
         assert frame.count() == 0
 
 
+def test_op4_blocks(spark):
+    """The same rows whether the benchmark is one block or many, with an item longer than a block, a null id and one id twice."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcde", k=3)) for _ in range(30)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, prose(rng.choice([3, 11, 14]))) for i in range(30)] + [(3, prose(12)), (None, prose(10)), (77, prose(400)), (78, None), (79, "")]
+    texts = [(i, f"{prose(20)} {(rng.choice(items)[1] or '')[: rng.choice([40, 400])]} {prose(5)}") for i in range(40)] + [(40, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    runs = [sorted(map(str, decontaminate.contamination(docs, bench, block_bytes=n).collect())) for n in (1, 60, 700, 1 << 20)]
+    assert runs[0] == runs[1] == runs[2] == runs[3]
+    assert len(decontaminate.phrase_files(bench, 10, 60)) > 5 and len(decontaminate.phrase_files(bench, 10, 1 << 20)) == 1
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (None, 3)]
@@ -413,3 +426,24 @@ def test_op10_size_of_what_is_gathered(spark, sf):
     few, many = (maxent.score(docs.repartition(n), docs.doc_id % 7 == 2).orderBy("doc_id").collect() for n in (2, 60))
     assert [r[:6] for r in few] == [r[:6] for r in many]
     assert sum(r["score"] for r in few) == pytest.approx(sum(r["score"] for r in many), rel=0.05)
+
+
+def test_op8_stream_is_bounded(tmp_path):
+    """A payload that inflates a thousandfold comes piece by piece; streams of one and of many members read alike, a cut one raises."""
+    import gzip
+
+    from loomtext.llm.warc import _Stream
+
+    raw = b"".join(b"H: %d\r\n\r\n" % i + b" " * n + b"\r\n\r\n" for i, n in enumerate((0, 5, 3_000_000, 1)))
+    cuts = [0, 12, 3_000_000, len(raw)]
+    for name, data in (("one", gzip.compress(raw)), ("many", b"".join(gzip.compress(raw[a:b]) for a, b in zip(cuts, cuts[1:])))):
+        (tmp_path / name).write_bytes(data)
+        with pa.OSFile(str(tmp_path / name)) as source:
+            stream = _Stream(source, 1000)
+            for n in (0, 5):
+                assert stream.until(b"\r\n\r\n") and stream.take(n + 4) == b" " * n + b"\r\n\r\n"
+            assert stream.until(b"\r\n\r\n") == b"H: 2\r\n\r\n" and len(stream.have) < 3000
+            assert len(stream.take(3_000_004)) == 3_000_004 and stream.until(b"\r\n\r\n") == b"H: 3\r\n\r\n" and stream.take(5) == b" \r\n\r\n" and stream.until(b"\r\n\r\n") is None
+        (tmp_path / name).write_bytes(data[:-40])
+        with pa.OSFile(str(tmp_path / name)) as source, pytest.raises(ValueError):
+            _Stream(source, 1000).take(len(raw))
