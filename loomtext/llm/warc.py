@@ -37,7 +37,7 @@ def with_revisits(pages: DataFrame, smallest: int = 0) -> DataFrame:
     more than once are looked up.  Texts move once, by page_id and digest, to meet their decision, so those of a common payload spread.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("sha"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.unhex(F.sha1(html)).alias("sha"))
     ids = staged(keyed.filter(F.octet_length("html") >= smallest).select("page_id", "sha").distinct(), "payloads")
     first = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("sha", "first_id")
     decided = ids.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
