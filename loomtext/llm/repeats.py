@@ -248,8 +248,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         here = np.flatnonzero(least < owner)  # the same snippet in a smaller document of this block
         begin = np.concatenate([low[run] + first[use], low[here]])
         end = np.concatenate([low[run] + last[use], low[here] + size[here] - 1]) + length
-        edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
-        gone = np.cumsum(edge[: len(data)]) > 0
+        del low, size, owner, bucket, place, least, inner, first, last, document, mine, a, b, run, use, keep, here, runs
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, begin, 1)
+        np.subtract.at(edge, end, 1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         kept_bytes, text_rows, stats, spans = ~gone, [], [], []
         for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             mask = gone[x:y]
@@ -266,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         if texts:
             out["text"] = pa.array(text_rows, pa.string())
         n_bytes, n_removed, n_spans, sha = zip(*stats, strict=True)
-        del data, gone, kept_bytes, edge, order, told
+        del data, gone, kept_bytes, edge, order, told, begin, end
         give_back("repeats")
         out |= {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
         return pa.table({k: out[k] for k in names})
