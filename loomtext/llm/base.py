@@ -47,6 +47,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 100_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, to be sent to all tasks if it has at most so many rows, which are counted; else left to a shuffled join.  df is a table, so that counting is cheap."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

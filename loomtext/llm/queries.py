@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontaminate, langid, licenses, maxent, minhash, packing, patched, repeats, warc, winnow
+from loomtext.llm import decontaminate, divergence, langid, licenses, maxent, minhash, packing, patched, repeats, warc, winnow
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -75,4 +75,8 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"), held_out=remainder("doc_id", 7) == 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing, op10_maxent_scores)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, smooth=5, top=50)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing, op10_maxent_scores, op12_source_divergence)}

@@ -81,4 +81,21 @@ select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_re
 from bytes left join sums using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8}
+OP12 = f"""
+with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+often as (select lang, term from (select lang, unnest(list_distinct(w)) as term from docs) group by lang, term having count(*) >= 30),
+counted as (select lang, source, term, count(*) as n from (select lang, source, unnest(w) as term from docs) join often using (lang, term) group by lang, source, term),
+groups as (select distinct lang, source from docs),
+sizes as (select lang, count(*) as v from often group by lang),
+totals as (select lang, source, coalesce(sum(n), 0) as total from groups left join counted using (lang, source) group by lang, source),
+grid as (select g.lang, g.source, o.term, coalesce(c.n, 0)::hugeint as n from groups g join often o using (lang) left join counted c using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v) as p from grid join totals using (lang, source) join sizes using (lang)),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (lang_total + 5 * v) as q from grid join (select lang, sum(total) as lang_total from totals group by lang) using (lang) join sizes using (lang) group by lang, term, lang_total, v),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+term as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::integer as rank
+from (select * from pair union all select * from term) qualify part = 'pair' or rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8, "op12_source_divergence": OP12}
