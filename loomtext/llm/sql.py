@@ -98,4 +98,27 @@ select lang, source, part, item, value::bigint as value, (row_number() over (par
 from (select * from pair union all select * from term) qualify part = 'pair' or rank <= 50
 """
 
-ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8, "op12_source_divergence": OP12}
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain Lloyd rounds, one after another, over all parts and entries."""
+    nearest = lambda book: f"select r, p, arg_min(e, (d, e)) as e, min(d) as d, any_value(x) as x from (select r, p, e, u.x as x, list_sum(list_transform(list_zip(u.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from part_of u join {book} b using (p)) group by r, p"
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = [f"""
+kept as materialized (select vec_id, label, list_transform(embedding, lambda v: floor(v::double * 1024)::bigint) as x, row_number() over (order by vec_id nulls last, list_transform(embedding, lambda v: floor(v::double * 1024)::bigint)) as r from embeddings where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+part_of as materialized (select r, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] as x from kept, range({parts}) as t(p)),
+b0 as materialized (select p, (r - 1)::bigint as e, x from part_of where r <= {entries})"""]
+    for i in range(rounds):
+        steps.append(f"""
+a{i} as materialized ({nearest(f"b{i}")}),
+m{i} as (select p, e, j, sum(v)::bigint as s, count(*) as n from (select p, e, unnest(x) as v, unnest(range(len(x))) as j from a{i}) group by all),
+b{i + 1} as materialized (select b.p, b.e, coalesce(m.x, b.x) as x from b{i} b left join (select p, e, list({floor} order by j) as x from m{i} group by p, e) m using (p, e))""")
+    return f"""with {",".join(steps)},
+last as materialized ({nearest(f"b{rounds}")}),
+coded as (select r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by p) as code, sum(d)::bigint as error from last group by r),
+sha as (select sha256(string_agg(v::varchar, ',' order by p, e, j)) as codebooks_sha256 from (select p, e, unnest(x) as v, unnest(range(len(x))) as j from b{rounds}))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join kept using (r), sha
+"""
+
+
+OP13 = _codes_sql()
+
+ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8, "op12_source_divergence": OP12, "op13_vector_codes": OP13}
