@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import codes, decontaminate, divergence, langid, licenses, maxent, minhash, packing, patched, repeats, warc, winnow
+from loomtext.llm import codes, decontaminate, divergence, langid, licenses, maintext, maxent, minhash, packing, patched, repeats, warc, winnow
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -75,6 +75,10 @@ def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"), held_out=remainder("doc_id", 7) == 2)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=30, smooth=5, top=50)
 
@@ -83,4 +87,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing, op10_maxent_scores, op12_source_divergence, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing, op10_maxent_scores, op11_main_text, op12_source_divergence, op13_vector_codes)}
