@@ -4,7 +4,7 @@ A document is its ids and an end id; one longer than a sequence is cut into whol
 A null or empty text is its end id alone; repeated rows are packed each; other columns are ignored; an empty table packs into nothing.
 
 Lengths are integers from 1 to the size of a sequence, so their counts are a table of bounded size whatever the corpus.  Bin completion
-runs on these counts: each step fills a sequence around the longest piece left, and takes that filling as often as the counts allow.  Any
+runs on these counts: each step fills sequences around the longest piece left and branches over how many of them are filled so.  Any
 size from 1 on is allowed; time and memory of the search grow with the size and the number of distinct lengths, not with documents.
 Pieces then find their places by length and rank within it, without any gathering of pieces.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.base import partitions, sliced, staged
 from loomtext.llm.tokens import encoder
 
+FIT = 8  # nodes between those that best fit completes
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,7 +62,7 @@ def least_sequences(counts: np.ndarray) -> int:
 
 
 def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of room, as (length, how many) longest first: by falling sum, and of equal sums longer pieces first.
+    """Fillings of room, as (length, how many) longest first: by falling sum, and of equal sums longer pieces first.
 
     No filling stops while the shortest piece still fits.  A table of what any lengths below can sum to leads straight to each filling.
     """
@@ -90,6 +91,30 @@ def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[tuple[int, int], .
                     open_.append((i + 1, left - n * lengths[i], (*taken, (lengths[i], n)) if n else taken))
 
 
+def dominated(inner: tuple[tuple[int, int], ...], spare: np.ndarray, room: int) -> bool:
+    """Whether pieces of a filling, or none, could be swapped for one piece that is left over, as long as they or longer, and still fit.
+
+    Any solution with such a filling stays one after the swap, as the pieces fit where the longer one lay.
+    """
+    none, one, many, left = 1, 0, 0, room  # sums of no, one, and several pieces of the filling, as bits
+    rest = spare[: room + 1].copy()
+    for x, n in inner:
+        left -= n * x
+        rest[x] -= n
+        for _ in range(n):
+            many |= (one | many) << x
+            one |= none << x
+    there = int.from_bytes(np.packbits(rest > 0, bitorder="little").tobytes(), "little") & ~1
+    if many & there:
+        return True
+    sums, width = (none | one | many) << 1, 1  # raised by 1 to width, in the end by all that is left of the room
+    while width < left:
+        step = min(width, left - width)
+        sums |= sums << step
+        width += step
+    return left > 0 and bool(sums & there)
+
+
 def _around(counts: np.ndarray, inner: tuple[tuple[int, int], ...], longest: int) -> tuple[int, list[tuple[int, int]]]:
     """How often a filling around the longest piece can be taken, and its pieces."""
     found = dict(inner)
@@ -97,63 +122,95 @@ def _around(counts: np.ndarray, inner: tuple[tuple[int, int], ...], longest: int
     return min(int(counts[x]) // n for x, n in found.items()), sorted(found.items(), reverse=True)
 
 
-def _best_fit(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Fillings by best fit decreasing over counts: the longest piece left, then ever the longest that fits."""
-    counts, out = counts.copy(), []
-    while len(left := np.flatnonzero(counts)):
-        longest = int(left[-1])
-        inner, room, spare = [], len(counts) - 1 - longest, counts.copy()
-        spare[longest] -= 1
-        for x in left[::-1].tolist():
-            if n := min(int(spare[x]), room // x):
-                inner.append((x, n))
-                room -= n * x
-        out.append(_around(counts, tuple(inner), longest))
-        for x, n in out[-1][1]:
-            counts[x] -= out[-1][0] * n
-    return out
-
-
-def plan(histogram: dict[int, int], size: int, effort: int = 8192) -> list[tuple[int, list[tuple[int, int]]]]:
+def best_fit(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Fillings by best fit decreasing over counts: each piece, the longest first, goes where the least room is left that it fits in.
+
+    Sequences that were filled alike are one group.  A sequence that took a piece has the least room, so it takes more of that length first.
+    """
+    size = len(counts) - 1
+    groups: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}  # by room: how many sequences, their pieces
+    for x in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[x])
+        for room in [*sorted(r for r in groups if r >= x), size]:
+            each, stay = room // x, []
+            for times, filling in groups.pop(room, []) if room < size else [(left, [])]:
+                full = min(times, left // each)
+                some = left - full * each if full < times and left - full * each else 0
+                for n, took in ((full, each), (1 if some else 0, some)):
+                    if n:
+                        groups.setdefault(room - took * x, []).append((n, [*filling, (x, took)]))
+                left -= full * each + some
+                if room < size and (rest := times - full - bool(some)):
+                    stay.append((rest, filling))
+            if stay:
+                groups.setdefault(room, []).extend(stay)
+            if not left:
+                break
+    return [found for at in groups.values() for found in at]
+
+
+def choices(left: np.ndarray, barred: frozenset[tuple[tuple[int, int], ...]]) -> Iterator[tuple[int, list[tuple[int, int]], tuple[tuple[int, int], ...]]]:
+    """Undominated fillings around the longest piece, the least waste first, and how often each may be taken, the most first."""
+    size, longest = len(left) - 1, int(np.flatnonzero(left)[-1])
+    spare, room = left.copy(), size - longest
+    spare[longest] -= 1
+    for inner in fillings(room, spare):
+        if inner not in barred and not dominated(inner, spare, room):
+            times, filling = _around(left, inner, longest)
+            alone = not inner or inner == ((room, 1),)  # it dominates all others, so that as many as can be are right
+            yield from ((n, filling, inner) for n in range(times, 0 if not alone else times - 1, -1))
+
+
+def plan(histogram: dict[int, int], size: int, effort: int | None = 2048) -> list[tuple[int, list[tuple[int, int]]]]:
     """Fillings as (how many sequences, [(length, how many in each)]) by bin completion: branch and bound over sequences.
 
-    Best fit decreasing is the first incumbent.  A node takes an undominated filling around the longest piece left, as often as counts
-    allow, the least waste first; a branch is cut when the sequences so far and the lower bound of the rest don't beat the incumbent, which
-    ends the search when it meets the lower bound of the whole.  Lengths and counts make this a table of bounded size whatever the corpus,
-    but the problem is hard: after `effort` nodes beyond the first solution the incumbent stands.
+    Best fit decreasing is the first incumbent, and completes every FIT-th node to a further one.  A node takes an undominated filling around
+    the longest piece left, and branches over how often; below, the same filling is barred for that longest piece, as taking it once more is
+    another branch.  What is left after some fillings is looked at once, with the fewest sequences it was met with.  A branch is cut when the
+    sequences so far and the lower bound of the rest don't beat the incumbent; the search ends when the incumbent meets the lower bound of
+    the whole.  Lengths and counts make this a table of bounded size whatever the corpus, but the problem is hard: after `effort` nodes the
+    incumbent stands.  With effort=None the search goes on until the incumbent is proven to be the least.
     """
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     least = least_sequences(counts)
-    best = _best_fit(counts)
+    best = best_fit(counts)
     total = sum(n for n, _ in best)
+    if not counts.any():
+        return best
     path: list[tuple[int, list[tuple[int, int]]]] = []
-    nodes, whole = [(counts, 0, 0)], False  # what is left, sequences so far, fillings tried
-    while nodes and total > least and effort > 0:
-        left, used, tried = nodes.pop()
-        del path[len(nodes) :]
-        longest = int(np.flatnonzero(left)[-1])
-        spare = left.copy()
-        spare[longest] -= 1
-        inner = next(islice(fillings(size - longest, spare), tried, None), None)
-        if inner is None or used + least_sequences(left) >= total:
+    seen: dict[bytes, int] = {}
+    nodes = [(counts, 0, choices(counts, frozenset()), frozenset())]  # what is left, sequences so far, ways on, fillings barred
+    visited = 0
+    while nodes and total > least and (effort is None or visited < effort):
+        left, used, ways, barred = nodes[-1]
+        del path[len(nodes) - 1 :]
+        way = next(ways, None) if used + least_sequences(left) < total else None
+        if way is None:
+            nodes.pop()
             continue
-        effort -= whole
-        nodes.append((left, used, tried + 1))
-        times, filling = _around(left, inner, longest)
+        times, filling, inner = way
+        visited += 1
         after = left.copy()
         for x, n in filling:
             after[x] -= times * n
+        now = used + times
         path.append((times, filling))
         if not after.any():
-            whole = True
-            if used + times < total:
-                best, total = list(path), used + times
-        elif used + times + least_sequences(after) < total:
-            nodes.append((after, used + times, 0))
-        else:
-            whole = True
+            if now < total:
+                best, total = list(path), now
+            continue
+        key = blake2b(after.tobytes(), digest_size=16).digest()
+        if now + least_sequences(after) >= total or seen.get(key, total) <= now:
+            continue
+        seen[key] = now
+        if visited % FIT == 1:
+            rest = best_fit(after)
+            if now + sum(n for n, _ in rest) < total:
+                best, total = [*path, *rest], now + sum(n for n, _ in rest)
+        below = barred | {inner} if after[filling[0][0]] else frozenset()
+        nodes.append((after, now, choices(after, below), below))
     return best
 
 

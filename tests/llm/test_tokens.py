@@ -6,6 +6,8 @@ import base64
 import hashlib
 import zlib
 from collections import defaultdict
+from functools import cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -150,7 +152,72 @@ def test_plan_against_the_exact_least(pieces, size):
     want = fewest(pieces, size)
     assert sum(n for n, _ in packing.plan(histogram, size)) == want
     counts = np.bincount(pieces, minlength=size + 1) if pieces else np.zeros(size + 1, np.int64)
-    assert packing.least_sequences(counts) <= want <= sum(n for n, _ in packing._best_fit(counts))
+    assert packing.least_sequences(counts) <= want <= sum(n for n, _ in packing.best_fit(counts))
+
+
+def fewest_of_counts(histogram: dict[int, int], size: int) -> int:
+    """The least number of sequences of a table of counts, by every filling around the longest piece left."""
+    lengths = sorted(histogram, reverse=True)
+
+    @cache
+    def least(counts: tuple[int, ...]) -> int:
+        if not any(counts):
+            return 0
+        first = next(i for i, n in enumerate(counts) if n)
+        found = []
+
+        def fill(i: int, room: int, left: tuple[int, ...]) -> None:
+            if i == len(lengths):
+                found.append(1 + least(left))
+                return
+            for n in range(min(left[i], room // lengths[i]) + 1):
+                fill(i + 1, room - n * lengths[i], (*left[:i], left[i] - n, *left[i + 1 :]))
+
+        fill(0, size - lengths[first], (*counts[:first], counts[first] - 1, *counts[first + 1 :]))
+        return min(found)
+
+    return least(tuple(histogram[x] for x in lengths))
+
+
+def test_plan_takes_a_filling_fewer_times_than_it_could():
+    assert sum(n for n, _ in packing.plan({35: 5, 25: 6, 21: 5, 19: 5, 14: 5}, 69, effort=None)) == 9
+
+
+@given(st.integers(30, 80).flatmap(lambda size: st.tuples(st.just(size), st.dictionaries(st.integers(3, size // 2 + 4), st.integers(1, 3), min_size=1, max_size=5))))
+@settings(max_examples=200, deadline=None)
+def test_plan_of_counts_against_the_exact_least(case):
+    size, histogram = case
+    want = fewest_of_counts(histogram, size)
+    assert sum(n for n, _ in packing.plan(histogram, size, effort=None)) == want == sum(n for n, _ in packing.plan(histogram, size))
+
+
+@given(st.lists(st.integers(1, 60), max_size=40), st.integers(60, 100))
+@settings(max_examples=200, deadline=None)
+def test_best_fit_is_piece_by_piece(pieces, size):
+    """Groups of like sequences give what best fit decreasing gives for one piece after another."""
+    rooms: list[int] = []
+    for x in sorted(pieces, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= x
+        else:
+            rooms.append(size - x)
+    got = packing.best_fit(np.bincount(pieces, minlength=size + 1) if pieces else np.zeros(size + 1, np.int64))
+    assert sorted(r for n, f in got for r in [size - sum(k * m for k, m in f)] * n) == sorted(rooms)
+
+
+@given(st.integers(5, 40), st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_dominated_fillings(room, there):
+    """A filling is dominated if any of its pieces, or none, can be swapped for one piece left over that is as long as they or longer."""
+    spare = np.zeros(61, np.int64)
+    for x, n in there.items():
+        spare[x] = n
+    for filling in islice(packing.fillings(room, spare), 8):
+        pieces = [x for x, n in filling for _ in range(n)]
+        over = [x for x, n in there.items() if n > dict(filling).get(x, 0)]
+        swaps = [(sum(some), x) for k in range(len(pieces) + 1) for some in combinations(pieces, k) for x in over if not (k == 1 and some[0] == x)]
+        assert packing.dominated(filling, spare, room) == any(t <= x and sum(pieces) - t + x <= room for t, x in swaps)
 
 
 @given(st.integers(1, 16_384), st.randoms(use_true_random=False))
