@@ -28,7 +28,7 @@ from loomtext.llm.base import byte_view, few, mix, partitions, prefix_sums, slic
 
 DEPTH = 2  # rows of the sketch
 BITS = 32768  # of a bitmap of Spark's bitmap functions (fixed value)
-ENTRIES = 400_000  # counts that a task gathers before it passes them on
+ENTRIES = 1_000_000  # counts that a task gathers before it passes them on
 SCALE = 1_000_000_000
 
 #: bytes of terms, A-Z lower-cased; all others separate
