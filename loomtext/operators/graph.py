@@ -6,10 +6,13 @@ rows is no burden for one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import edge_type, fold, is_number, relation_type, strip, words
+from loomtext.sources.staging import staged
 
 NODE_ORDER = ("branch", "chunk_rank", "pos", "side")
 SEED_CHARS = 4
@@ -90,31 +93,63 @@ def seed_terms(question: Column) -> Column:
 def seed_match(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, node_key) of nodes whose id contains one of the question's terms, whatever the case.
 
-    An id that contains a term contains the term's first SEED_CHARS characters, so ids meet terms by runs of that many characters: an equal
-    join of which Spark broadcasts a side only if it knows it to be small, and splits keys that many ids have.
+    An id that contains a term contains each of the term's runs of SEED_CHARS characters, so ids meet terms by runs, in an equal join.  Of
+    its runs a term takes the rarest among the ids (counted, one row for each run of a term), so that no common beginning of words gathers
+    ids and terms in one place, and fewest pairs are compared; a term of which a run occurs in no id is out before the join.
+    """
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SEED_CHARS + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(SEED_CHARS))))
+    asked = questions.select("query_id", F.explode(F.array_distinct(F.transform(seed_terms(F.col("question")), F.lower))).alias("term"))
+    terms = asked.select("term").distinct().withColumn("runs", runs("term"))
+    ids = nodes.select("node_key", F.lower("id").alias("low")).distinct().withColumn("run", F.explode(runs("low")))
+    wanted = terms.select("term", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    counted = ids.select("run").join(wanted.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("ids"))
+    met = wanted.join(counted, "run").groupBy("term", "n").agg(F.count("*").alias("found"), F.min(F.struct("ids", "run")).alias("rarest"))
+    keyed = met.filter("found = n").select("term", F.col("rarest.run").alias("run"))
+    pairs = ids.join(keyed, "run").filter(F.contains("low", "term")).select("term", "node_key")
+    return pairs.join(asked, "term").select("query_id", "node_key").distinct()
+
+
+HUB = 10_000  # edges of a node from which on its adjacency is dealt out
+HUBS = 10_000  # nodes that can be hubs at once
+
+
+def dealt_adjacency(edges: DataFrame, hub: int = HUB, hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
+    """Both ends' view of edges (node_key, part, other, head, rel, tail), and the parts of hubs (node_key, parts).
+
+    A node with more than `hub` edges, and more than a `hubs`-th of all, is a hub: its edges lie in parts of about that number, by their
+    other end.  So there are fewer than `hubs` hubs, whatever the graph, and they can be sent to all tasks.
     """
-    terms = questions.select("query_id", F.explode(F.array_distinct(F.transform(seed_terms(F.col("question")), F.lower))).alias("term"))
-    terms = terms.withColumn("run", F.substring("term", 1, SEED_CHARS))
-    ids = nodes.select("node_key", F.lower("id").alias("low")).distinct()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("low") - SEED_CHARS + 1, F.lit(1)))
-    runs = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("low"), i, F.lit(SEED_CHARS))))
-    met = ids.select("node_key", "low", F.explode(runs).alias("run")).join(terms, "run")
-    return met.filter(F.contains("low", "term")).select("query_id", "node_key").distinct()
+    ways = [("src_key", "dst_key"), ("dst_key", "src_key")]
+    views = [edges.select(F.col(a).alias("node_key"), F.col(b).alias("other"), F.col("src_id").alias("head"), F.col("rel_type").alias("rel"), F.col("dst_id").alias("tail")) for a, b in ways]
+    views = views[0].union(views[1]).filter("node_key is not null")
+    degrees = staged(views.groupBy("node_key").agg(F.count("*").alias("degree")), "degrees")
+    most = max(hub, -(-(degrees.agg(F.sum("degree")).first()[0] or 0) // hubs))
+    heavy = staged(degrees.filter(F.col("degree") > most).select("node_key", F.ceil(F.col("degree") / most).cast("int").alias("parts")), "hubs")
+    part = F.coalesce(F.pmod(F.xxhash64("other", "head", "rel", "tail"), F.col("parts")), F.lit(0)).cast("int")
+    return views.join(F.broadcast(heavy), "node_key", "left").withColumn("part", part).drop("parts"), heavy
 
 
-def k_hop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 60) -> DataFrame:
+def k_hop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 60, hub: int = HUB) -> DataFrame:
     """(query_id, head, rel, tail) of distinct edges on undirected paths of at most `hops` edges from seeds (query_id, node_key).
 
-    An edge lies on such a path when one of its ends is within hops - 1 of a seed, so sets of nodes are joined, never paths.  The limit,
-    if any, takes the first facts of each question by head, rel and tail.
+    An edge lies on such a path when one of its ends is within hops - 1 of a seed, so sets of nodes are joined, never paths.  A hop joins
+    only the nodes that the hop before found first, and gives both the facts around them and the nodes beyond; hubs meet their edges in
+    parts.  The limit, if any, takes the first facts of each question by head, rel and tail.
     """
-    links = edges.select(F.col("src_key").alias("node_key"), F.col("dst_key").alias("other")).union(edges.select("dst_key", "src_key")).distinct()
-    near = seeds.select("query_id", "node_key").distinct()
-    for _ in range(hops - 1):
-        near = near.union(near.join(links, "node_key").select("query_id", F.col("other").alias("node_key"))).distinct()
-    facts = edges.select("src_key", "dst_key", F.col("src_id").alias("head"), F.col("rel_type").alias("rel"), F.col("dst_id").alias("tail")).filter("head is not null and rel is not null and tail is not null")
-    touched = [facts.join(near.withColumnRenamed("node_key", end), end).select("query_id", "head", "rel", "tail") for end in ("src_key", "dst_key")]
-    found = touched[0].union(touched[1]).distinct()
+    near, heavy = dealt_adjacency(edges, hub)
+    near = staged(near, "adjacency") if hops > 1 else near
+    frontier = seeds.select("query_id", "node_key").distinct()
+    visited, facts = None, []
+    for hop in range(hops):
+        spread = frontier.join(F.broadcast(heavy), "node_key", "left").select("query_id", "node_key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"))
+        met = spread.join(near, ["node_key", "part"]).select("query_id", "other", "head", "rel", "tail").distinct()
+        if hop + 1 < hops:
+            met = staged(met, "hop")
+            visited = frontier if visited is None else visited.union(frontier)
+            frontier = met.select("query_id", F.col("other").alias("node_key")).filter("node_key is not null").distinct().join(visited, ["query_id", "node_key"], "left_anti")
+            frontier = staged(frontier, "frontier")
+        facts.append(met.filter("head is not null and rel is not null and tail is not null").select("query_id", "head", "rel", "tail"))
+    found = reduce(DataFrame.union, facts).distinct()
     if limit is None:
         return found
     order = Window.partitionBy("query_id").orderBy("head", "rel", "tail")

@@ -259,6 +259,42 @@ def k_hop_facts(spark, sf_dir):
     return _facts(spark, sf_dir, 3, None)
 
 
+# terms out of all names of parts against all parts
+S_PARTS = "select distinct p_name || ' ' || p_brand as id from part"
+S_NAMES = "select min(p_partkey)::bigint as query_id, 'any ' || upper(p_name) || ' or ' || replace(p_name, ' ', '') as question from part group by p_name"
+
+
+@query(f"""
+select distinct query_id, lower(id) as node_key from (select query_id, unnest({s_words("question")}) as term from ({S_NAMES})) join ({S_PARTS}) on contains(lower(id), lower(term)) where length(term) >= 4
+""")
+def part_seeds(spark, sf_dir):
+    """Each name of a part as a question: terms that many names share, and some that none has."""
+    nodes = _spark_sql(spark, sf_dir, S_PARTS).select(F.lower("id").alias("node_key"), "id")
+    return graph.seed_match(nodes, _spark_sql(spark, sf_dir, S_NAMES.replace("::bigint", "")))
+
+
+# a star: each line of an order at the nation that it comes from
+LINES = """
+select 'line ' || l_orderkey || '/' || l_linenumber as src, 'comes from' as rel, n_name as dst from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+union all select n_name, 'part of', r_name from nation join region on n_regionkey = r_regionkey"""
+HUB_SEEDS = [(1, "germany"), (2, "line 1/1"), (3, "nowhere"), (4, "europe"), (4, "asia")]
+S_LINE_EDGES = f"select distinct lower(src) as a, lower(dst) as b, src as head, replace(upper(rel), ' ', '_') as rel, dst as tail from ({LINES})"
+
+
+@query(f"""
+with e as materialized ({S_LINE_EDGES}), u as (select a as x, b as y, head, rel, tail from e union all select b, a, head, rel, tail from e),
+seeds as (select * from (values {", ".join(f"({q}, {quoted(k)})" for q, k in HUB_SEEDS)}) as t(query_id, x)),
+one as (select distinct query_id, y, head, rel, tail from seeds join u using (x)), two as (select query_id, u.head, u.rel, u.tail from (select distinct query_id, y from one) o join u on u.x = o.y)
+select distinct query_id, head, rel, tail from (select query_id, head, rel, tail from one union all select * from two)
+""")
+def hub_facts(spark, sf_dir):
+    """Facts two hops around nodes that have thousands of edges, which lie in parts of a few hundred."""
+    for name in ("lineitem", "supplier", "nation", "region"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    edges = spark.sql(LINES).select(F.lower("src").alias("src_key"), F.lower("dst").alias("dst_key"), F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), T.edge_type(F.col("rel")).alias("rel_type"))
+    return graph.k_hop_facts(edges, spark.createDataFrame(HUB_SEEDS, "query_id int, node_key string"), 2, None, hub=500)
+
+
 S_HITS = f"""select query_id::int as query_id, 0 as branch, rank as ctx_ord, 'Chunk ' || id as id, text, 'Vector Chunk' as source_type, score from (
   select query_id, p_partkey as id, p_name || ' in Europe' as text, list_dot_product({s_embedding("p_name || ' in Europe'")}, {s_embedding("question")}) as score,
     row_number() over (partition by query_id order by list_dot_product({s_embedding("p_name || ' in Europe'")}, {s_embedding("question")}) desc, p_partkey) as rank from part cross join ({S_QUESTIONS})) where rank <= 10"""

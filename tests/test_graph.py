@@ -80,6 +80,51 @@ def test_seeds(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_rarest_runs(spark):
+    """Common beginnings are no keys: terms meet ids by the run that fewest ids have."""
+    ids = [f"transfer {i:03d}" for i in range(300)] + ["transformer", "transport x", "übertrag"]
+    nodes = spark.createDataFrame([(x, x) for x in ids], "node_key string, id string")
+    asked = spark.createDataFrame([(1, "transformer transport"), (2, "Transfer"), (3, "transfix übertrag")], "query_id int, question string")
+    got = graph.seed_match(nodes, asked)
+    want = {(1, "transformer"), (1, "transport x"), (3, "übertrag")} | {(2, x) for x in ids[:300]}
+    assert set(map(tuple, got.collect())) == want
+    assert compared(got._jdf.queryExecution().executedPlan()) == 300 + 3  # pairs of an id and a term that were looked at, not 303 for each of "transformer" and "transport"
+
+
+def compared(plan) -> int:
+    """Rows out of the join of ids and terms on runs, whose condition is that the id contains the term."""
+    seen, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.finalPhysicalPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name and "Contains" in node.simpleString(1000):
+            seen.append(node)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(int(n.metrics().apply("numOutputRows").value()) for n in seen)
+
+
+def test_hubs_are_dealt_out(spark):
+    """Edges of a node beyond the bound lie in parts of about the bound, and hops over them give what they give without parts."""
+    star = [(f"s{i}", "hub", f"s{i}", "hub", "r") for i in range(4000)] + [(f"s{i}", f"s{i + 1}", f"s{i}", f"s{i + 1}", "t") for i in range(0, 4000, 7)] + [("hub", None, "hub", "x", "r"), ("s1", "s2", None, "s2", "r")]
+    edges = spark.createDataFrame(star, "src_key string, dst_key string, src_id string, dst_id string, rel_type string")
+    near, heavy = graph.dealt_adjacency(edges, hub=100)
+    assert [tuple(r) for r in heavy.collect()] == [("hub", 41)]
+    sizes = [r["count"] for r in near.filter("node_key = 'hub'").groupBy("part").count().collect()]
+    assert len(sizes) == 41 and max(sizes) < 3 * sorted(sizes)[20]
+    assert graph.dealt_adjacency(edges, hub=100, hubs=1)[1].count() == 0  # fewer hubs than the bound says, whatever the graph
+    seeds = spark.createDataFrame([(1, "s0"), (2, "hub"), (2, "s5"), (3, None)], "query_id int, node_key string")
+    for hops in (1, 2, 3):
+        got, want = (sorted(map(tuple, graph.k_hop_facts(edges, seeds, hops, None, hub=hub).collect())) for hub in (100, 10**9))
+        assert got == want and len(got) > 1
+
+
 def test_graph_page(spark, tmp_path):
     """All edges of a document, more than a page's reader sees at once, and no other document's."""
     edges = spark.createDataFrame([(d, f"<a{i}>", "R", f"b{i}") for d in (1, 2) for i in range(3000)], "doc_id long, src_id string, rel_type string, dst_id string")
