@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+MARK = "\ufdd0"  # a code point that is no character
 SPACE = r"[\s\x1c-\x1f]"
 
 

@@ -8,17 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.config import SECTION_HEADINGS, BuildConfig
-from loomtext.functions.text import dot, fold, hash_embedding, let, no_strings, rx, strip, words
+from loomtext.config import SECTION_HEADINGS, Chunking, Gathering
+from loomtext.functions.text import MARK, dot, fold, hash_embedding, let, no_strings, rx, strip, words
 
-MARK = "﷐"  # a code point that is no character
 PAGE_MARK = r"\n\s*---\s*Page\s*(\d+)\s*---\s*\n"
 MERGED_PAGE_CHARS = 4000  # fixed value
 MIN_CHUNK_CHARS = 200  # fixed value
 # fixed values: beginnings of parts that are headings
 HEADING_PREFIX = "abstract|introduction|background|related|prelim|method|approach|model|architect|implement|train|dataset|benchmark|experimental|setup|experiment|result|evaluat|analysis|ablation|discuss|limit|future|conclus|contribution|finding|proposed"
-# fixed values: lines that open a section
-SECTION_LINES = [r"abstract\s*", r"introduction\s*", r"background\s*", r"related work\s*", r"method(?:ology)?\s*", r"experiments?\s*", r"results?\s*", r"discussion\s*", r"conclusion(?:s)?\s*", r"references\s*", r"\d+(?:\.\d+)*\s+.+"]
+# fixed values: what a line that opens a section consists of
+SECTION_NAMES = ("abstract", "introduction", "background", "related work", "method", "methodology", "experiment", "experiments", "result", "results", "discussion", "conclusion", "conclusions", "references")
+NUMBERED_LINE = r"\d+(?:\.\d+)*\s+.+"
 
 
 def _push(out: Column, value: Column) -> Column:
@@ -48,7 +48,7 @@ def with_overlap(chunks: Column, k: int) -> Column:
     return F.transform(chunks, one) if k > 0 else chunks
 
 
-def semantic_chunks(c: Column, cfg: BuildConfig = BuildConfig()) -> Column:
+def semantic_chunks(c: Column, how: Gathering = Gathering()) -> Column:
     """Paragraphs gathered while they fit, and while they stay alike once the target length is reached."""
     state = lambda out, buf, n, emb: F.struct(out.alias("out"), buf.alias("buf"), n.alias("n"), emb.alias("emb"))
     zero = state(no_strings(), F.lit(None).cast("string"), F.lit(0), F.array().cast("array<double>"))
@@ -56,16 +56,16 @@ def semantic_chunks(c: Column, cfg: BuildConfig = BuildConfig()) -> Column:
     def step(s: Column, p: Column) -> Column:
         size, emb = F.length(p), hash_embedding(p)
         projected = s["n"] + 2 + size
-        far = (projected > cfg.target_chunk_chars) & (dot(s["emb"], emb) < cfg.similarity_threshold)
+        far = (projected > how.target) & (dot(s["emb"], emb) < how.likeness)
         mean = F.zip_with(s["emb"], emb, lambda a, b: (a + b) / 2)
         return (
             F.when(s["buf"].isNull(), state(s["out"], p, size, emb))
-            .when((projected > cfg.max_chunk_chars) | far, state(_push(s["out"], s["buf"]), p, size, emb))
+            .when((projected > how.longest) | far, state(_push(s["out"], s["buf"]), p, size, emb))
             .otherwise(state(s["out"], F.concat(s["buf"], F.lit("\n\n"), p), projected, mean))
         )
 
-    gathered = F.aggregate(paragraphs(c, cfg.min_paragraph_chars), zero, step, lambda s: F.when(s["buf"].isNull(), s["out"]).otherwise(_push(s["out"], s["buf"])))
-    return let(gathered, lambda chunks: with_overlap(chunks, cfg.overlap_paragraphs))
+    gathered = F.aggregate(paragraphs(c, how.shortest_paragraph), zero, step, lambda s: F.when(s["buf"].isNull(), s["out"]).otherwise(_push(s["out"], s["buf"])))
+    return let(gathered, lambda chunks: with_overlap(chunks, how.repeated_paragraphs))
 
 
 def section_chunks(c: Column, max_chars: int = 3500, overlap: int = 450, headings: tuple[str, ...] = SECTION_HEADINGS) -> Column:
@@ -133,7 +133,8 @@ def split_pages(c: Column) -> Column:
 
 def split_sections(c: Column) -> Column:
     """array<struct<title, body>>: bodies after heading lines (text before the first goes), or the whole under the title `page`."""
-    lines = rx("|".join(rf"(?:^\s*{p}$)" for p in SECTION_LINES), "im")
+    # one look at each beginning of a line, not one for each name
+    lines = rx(rf"^\s*(?:(?:{'|'.join(sorted(SECTION_NAMES, key=len, reverse=True))})\s*|{NUMBERED_LINE})$", "im")
     row = lambda title, body: F.struct(title.alias("title"), body.alias("body"))
 
     def headed(found: Column) -> Column:
@@ -146,7 +147,7 @@ def split_sections(c: Column) -> Column:
 def word_windows(c: Column, target: int = 900, overlap: int = 150) -> Column:
     """Paragraphs gathered up to `target` words, with the last ones of at most `overlap` words (at least one) repeated; very long ones cut at once."""
     # the fold keeps numbers only (a state is copied at every step), runs of paragraphs become texts once it is done
-    paras = F.transform(_no_blank(F.split(c, rx(r"\n\s*\n+"))), lambda p: F.struct(p.alias("p"), F.size(words(p)).alias("w")))
+    paras = F.transform(_no_blank(F.split(c, rx(r"\n\s*\n+"))), lambda p: F.struct(p.alias("p"), F.size(F.split(p, rx(r"\s+"))).alias("w")))  # no blanks at the ends
     long = lambda p: p["w"] > target * 1.5
     state = lambda out, at, start, some, n: F.struct(out.alias("out"), at.alias("at"), start.alias("start"), some.alias("some"), n.alias("n"))
     run = lambda start, end: start.cast("bigint") * (1 << 31) + end
@@ -178,7 +179,7 @@ def word_windows(c: Column, target: int = 900, overlap: int = 150) -> Column:
         return one
 
     def cut(p: Column) -> Column:
-        return let(words(p["p"]), lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(max(1, target - overlap))), lambda i: F.array_join(F.slice(ws, i + 1, target), " ")))
+        return let(F.split(p["p"], rx(r"\s+")), lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(max(1, target - overlap))), lambda i: F.array_join(F.slice(ws, i + 1, target), " ")))
 
     def texts(ps: Column, of: Column) -> Column:
         start, end = F.shiftright(of, 31).cast("int"), of.bitwiseAND((1 << 31) - 1).cast("int")
@@ -221,17 +222,18 @@ def numbered(chunks: Column) -> Column:
     return F.transform(chunks, lambda t, i: F.struct((i + 1).cast("string").alias("chunk_id"), t.alias("text")))
 
 
-def chunks_by_strategy(c: Column, cfg: BuildConfig = BuildConfig()) -> Column:
-    name = (cfg.chunk_strategy or "semantic").lower().strip()
+def chunks_by_strategy(c: Column, how: Chunking = Chunking(), most: int = 40) -> Column:
+    """array<struct<chunk_id, text>> by the chunker that is named; the fall-back one stops at `most`."""
+    name = (how.strategy or "semantic").lower().strip()
     if name == "custom":
-        return custom_chunks(c, cfg.target_chunk_words, cfg.chunk_overlap_words, cfg.drop_references)
+        return custom_chunks(c, how.windows.target, how.windows.overlap, how.windows.without_references)
     named = {
-        "semantic": lambda: semantic_chunks(c, cfg),
+        "semantic": lambda: semantic_chunks(c, how.gathering),
         "sections": lambda: section_chunks(c, 2600, 900),
         "sliding": lambda: sliding_chunks(c, 2400, 700, 40),
         "pages": lambda: page_chunks(c, 120),
     }
-    return numbered(named.get(name, lambda: fallback_chunks(c, cfg.max_total_chunks))())
+    return numbered(named.get(name, lambda: fallback_chunks(c, most))())
 
 
 def chunk(docs: DataFrame, chunks: Column) -> DataFrame:

@@ -5,6 +5,7 @@ Every function takes and gives a Column, so a chain stays one projection over th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.config import Cleaning
-from loomtext.functions.text import let, nfkc, rx, strip
+from loomtext.functions.text import MARK, let, nfkc, rx, strip
 
 BULLETS = "•▪■►◆▶●◦"  # fixed value
 _NUMBERS = r"\s*\d+\s*(?:[-–]\s*\d+\s*)?"
@@ -92,16 +93,48 @@ def cut_at_stop_heading(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
     return strip(let(F.split(text, "\n"), lambda lines: let(F.array_position(F.transform(lines, stops), True), lambda at: before(lines, at))))
 
 
+def _one_after_another(c: Column, expansions: list[tuple[str, str]]) -> Column:
+    quoted = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
+    return reduce(lambda x, kv: F.regexp_replace(x, rx(rf"\b\Q{kv[0]}\E\b", "i"), quoted(kv[1])), expansions, c)
+
+
+def closed_expansions(expansions: list[tuple[str, str]]) -> dict[str, str] | None:
+    """What each word becomes after all expansions, one after another; None where they could meet each other or the text around them.
+
+    That can't be if words are of ASCII word characters alone and expansions begin and end with one: a word is then a whole run of such
+    characters, before and after.
+    """
+    if not all(re.fullmatch(r"[A-Za-z0-9_]+", k) and re.fullmatch(r"\w(.*\w)?", v, re.DOTALL) for k, v in expansions):
+        return None
+    closed: dict[str, str] = {}
+    for i, (word, text) in enumerate(expansions):
+        for later, longer in expansions[i + 1 :]:
+            text = re.sub(rf"\b{re.escape(later)}\b", lambda _, longer=longer: longer, text, flags=re.IGNORECASE)
+        closed.setdefault(word.lower(), text)
+    return closed
+
+
 def expand_synonyms(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
     """Whole words, whatever their case, spelled out one after another, longest first (so an expansion can be expanded).
 
-    One search for any of them goes first, as most texts have none.
+    One search marks them all, and each hit takes the text that it ends up as; expansions that could meet each other are made one by one.
     """
-    ordered = sorted(cleaning.expansions, key=len, reverse=True)
-    quoted = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
-    spelled = reduce(lambda x, k: F.regexp_replace(x, rx(rf"\b\Q{k}\E\b", "i"), quoted(cleaning.expansions[k])), ordered, c)
-    some = rx(r"\b(?:" + "|".join(rf"\Q{k}\E" for k in ordered) + r")\b", "i")
-    return F.when(c.rlike(some), spelled).otherwise(c) if ordered else c
+    ordered = sorted(cleaning.expansions.items(), key=lambda kv: len(kv[0]), reverse=True)
+    closed = closed_expansions(ordered)
+    if not closed:
+        return _one_after_another(c, ordered)
+    first = "".join(sorted({re.escape(k[0]) for k in closed}))
+    some = rx(rf"(?=[{first}])\b({'|'.join(closed)})\b", "i")
+    texts = F.create_map(*(F.lit(x) for kv in closed.items() for x in kv))
+    plain = lambda hit: F.lower(F.translate(hit, "\u017f\u0131\u0130", "sii"))  # noqa: E731  (what a search without case takes for s and i; lower knows the others)
+    spelled = lambda hit: F.coalesce(F.try_element_at(texts, plain(hit)), hit)
+
+    def put(marked: Column) -> Column:
+        pieces = F.transform(F.split(marked, MARK), lambda x, i: F.when(i % 2 == 1, spelled(x)).otherwise(x))
+        return F.when(F.contains(marked, F.lit(MARK)), F.array_join(pieces, "")).otherwise(c)
+
+    one = let(F.regexp_replace(c, some, f"{MARK}$1{MARK}"), put)
+    return F.when(F.contains(c, F.lit(MARK)), _one_after_another(c, ordered)).otherwise(one)
 
 
 def preprocess_text(c: Column, cleaning: Cleaning = Cleaning()) -> Column:

@@ -5,16 +5,24 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from loomtext.config import BuildConfig
+from loomtext.config import Calling
 from loomtext.functions.text import relation_type, rx, strip
+from loomtext.sources.staging import filesystem, write_file
 
 #: an extractor turns prompts into raw answers; it is made once for each task
 Extractor = Callable[[str], str]
@@ -39,32 +47,117 @@ def relation_prompt(text: Column, entities: Column, template: str, max_chars: in
     return F.concat(F.lit(template), F.lit("\n\nEntity List (use these):\n"), F.to_json(F.slice(entities, 1, max_entities)), F.lit("\n\nText:\n"), F.substr(text, F.lit(1), F.lit(max_chars)))
 
 
-def responses(chunks: DataFrame, make: Callable[[], Extractor], cfg: BuildConfig = BuildConfig()) -> DataFrame:
-    """chunks with `raw`, the model's answer to each prompt: tried max_retries times with doubling delays, after which the task fails.
+def _tried(call: Extractor, how: Calling) -> Extractor:
+    def one(text: str) -> str:
+        for n in range(how.attempts):
+            try:
+                return call(text)
+            except Exception:
+                if n == how.attempts - 1:
+                    raise
+                time.sleep(how.pause * 2**n + random.uniform(0, 0.25))
+        return ""
 
-    Partitions bound how many calls run at once; answers stay with their rows, so no order is lost.  The call is dear: write the result
-    before it is read more than once.
+    return one
+
+
+def _in_order(call: Extractor, prompts: Iterable[str], in_flight: int) -> Iterator[tuple[str, str]]:
+    """Prompts with their answers, in order; a bounded number of calls is under way."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque[tuple[str, Future[str]]] = deque()
+        try:
+            for text in prompts:
+                waiting.append((text, pool.submit(call, text)))
+                if len(waiting) == in_flight:
+                    asked, told = waiting.popleft()
+                    yield asked, told.result()
+            while waiting:
+                asked, told = waiting.popleft()
+                yield asked, told.result()
+        finally:
+            for _, told in waiting:
+                told.cancel()
+
+
+ANSWERS = "digest string, raw string"
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """(digest, raw) of a folder of answers, one for each digest of a prompt; the folder is made if it isn't there."""
+    fs, path = filesystem(store)
+    fs.create_dir(path, recursive=True)
+    found = spark.read.schema(ANSWERS).option("recursiveFileLookup", "true").parquet(store)
+    return found.groupBy("digest").agg(F.min("raw").alias("raw"))  # two attempts of a task may have asked for one prompt
+
+
+def ask_for(prompts: DataFrame, make: Callable[[], Extractor], how: Calling, store: str) -> int:
+    """Call the model for the prompts (prompt) that the store has no answer to, each once, and store what it says; how many were asked for.
+
+    A task stores its answers as it goes, in files of its own; an attempt that follows a failed one reads those of its partition first.  So
+    a lost executor, or a job that fails as the model does, costs the answers of one increment at most.
     """
-    attempts, delay = cfg.max_retries, cfg.retry_base_delay
+    run = uuid.uuid4().hex
+
+    def called(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = f"{store}/{run}/{TaskContext.get().partitionId():06d}"
+        fs, path = filesystem(folder)
+        fs.create_dir(path, recursive=True)
+        files = [i.path for i in fs.get_file_info(pyarrow.fs.FileSelector(path)) if i.is_file and not i.base_name.startswith(".")]
+        have = {d for f in files for d in pq.read_table(f, filesystem=fs, columns=["digest"]).column("digest").to_pylist()}
+        digest_of: dict[str, str] = {}
+        held: list[tuple[str, str]] = []
+        n = 0
+
+        def wanted() -> Iterator[str]:
+            for frame in frames:
+                for digest, text in zip(frame["digest"], frame["prompt"], strict=True):
+                    if digest not in have:
+                        digest_of[text] = digest
+                        yield text
+
+        def store_held() -> None:
+            if held:
+                sink = pa.BufferOutputStream()
+                pq.write_table(pa.table({"digest": [d for d, _ in held], "raw": [r for _, r in held]}, pa.schema([("digest", pa.string()), ("raw", pa.string())])), sink)
+                write_file(f"{folder}/{held[0][0]}.parquet", sink.getvalue().to_pybytes())
+                held.clear()
+
+        try:
+            for text, raw in _in_order(_tried(make(), how), wanted(), how.in_flight):
+                held.append((digest_of.pop(text), raw))
+                n += 1
+                if len(held) >= how.stored_at_once:
+                    store_held()
+        finally:
+            store_held()  # what is paid for stays, also when a later call fails
+        yield pd.DataFrame({"asked": [n]})
+
+    spark = prompts.sparkSession
+    new = prompts.select(F.sha2("prompt", 256).alias("digest"), "prompt").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    new = new.join(stored_answers(spark, store).select("digest"), "digest", "left_anti")
+    return new.mapInPandas(called, "asked long").agg(F.sum("asked")).first()[0] or 0
+
+
+def responses(chunks: DataFrame, make: Callable[[], Extractor], how: Calling = Calling(), store: str | None = None) -> DataFrame:
+    """chunks with `raw`, the model's answer to each prompt: tried several times with doubling pauses, after which the task fails.
+
+    With a folder as store, answers come from there, by the digest of the prompt: equal prompts are asked once, calls are made at once
+    (this is an action), and no later run asks for them again.  Without one, calls are made whenever the result is read, so write it before
+    it is read more than once.  Partitions and how.in_flight bound how many calls run at once; answers stay with their rows.
+    """
+    asked = chunks.withColumn("prompt", prompt(F.col("text"), max_chars=how.prompt_chars))
+    if store is not None:
+        ask_for(asked.filter("prompt is not null").select("prompt"), make, how, store)
+        told = stored_answers(chunks.sparkSession, store).withColumnRenamed("digest", "prompt_digest")
+        return asked.join(told, F.sha2("prompt", 256) == F.col("prompt_digest"), "left").drop("prompt", "prompt_digest")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = make()
-
-        def one(text: str) -> str:
-            for n in range(attempts):
-                try:
-                    return call(text)
-                except Exception:
-                    if n == attempts - 1:
-                        raise
-                    time.sleep(delay * 2**n + random.uniform(0, 0.25))
-            return ""
-
+        call = _tried(make(), how)
         for frame in frames:
-            yield frame.drop(columns="prompt").assign(raw=frame["prompt"].map(one))
+            yield frame.drop(columns="prompt").assign(raw=[raw for _, raw in _in_order(call, frame["prompt"], how.in_flight)])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes)
-    return chunks.withColumn("prompt", prompt(F.col("text"), max_chars=cfg.max_prompt_chars)).mapInPandas(run, f"{kinds}, raw string")
+    return asked.mapInPandas(run, f"{kinds}, raw string")
 
 
 def carve(raw: Column, first: str = "{", last: str = "}") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.config import PRIORITY_KEYWORDS, BuildConfig
+from loomtext.config import PRIORITY_KEYWORDS, Ranking
 
 
 def chunk_score(text: Column, keywords: tuple[str, ...] = PRIORITY_KEYWORDS) -> Column:
@@ -21,7 +21,7 @@ def rank_chunks(chunks: DataFrame, top: int | None = None, keywords: tuple[str,
     return ranked if top is None else ranked.filter(F.col("chunk_rank") <= top)
 
 
-def best_chunks(chunks: Column, cfg: BuildConfig = BuildConfig()) -> Column:
+def best_chunks(chunks: Column, how: Ranking = Ranking()) -> Column:
     """rank_chunks within a row: an array<struct<chunk_id, text>> in the order of rank, cut to both caps, without a shuffle."""
-    keyed = F.transform(chunks, lambda c, i: F.struct((-chunk_score(c["text"], cfg.keywords)).alias("s"), i.alias("i"), c.alias("c")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, min(cfg.prioritize_top_k, cfg.max_total_chunks)), lambda x: x["c"])
+    keyed = F.transform(chunks, lambda c, i: F.struct((-chunk_score(c["text"], how.keywords)).alias("s"), i.alias("i"), c.alias("c")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, min(how.best, how.most)), lambda x: x["c"])

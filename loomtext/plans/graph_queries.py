@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.config import BuildConfig
+from loomtext.config import Calling
 from loomtext.functions import text as T
 from loomtext.operators import extract, graph, retrieve, vector
 from loomtext.plans.register import query, quoted, s_embedding, s_fold, s_strip, s_words, table
@@ -97,7 +97,7 @@ class Unsteady:
 def extracted_entities(spark, sf_dir):
     """Calls of a model that fails at first, tried again, read strictly."""
     chunks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).cast("long").alias("chunk_rank"), F.concat(F.col("p_name"), F.lit(" no"), F.col("p_partkey").cast("string")).alias("text"))
-    raw = extract.responses(chunks, Unsteady, BuildConfig(retry_base_delay=0.0))
+    raw = extract.responses(chunks, Unsteady, Calling(pause=0.0))
     found = extract.entities_of(raw.select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed")))
     return found.withColumn("pos", F.col("pos").cast("long"))
 

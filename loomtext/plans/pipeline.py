@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.config import BuildConfig, Cleaning, QueryConfig
+from loomtext.config import Asking, Calling, Chunking, Cleaning, Ranking
 from loomtext.functions.text import hash_embedding
 from loomtext.operators import chunk, clean, extract, graph, rank, retrieve, vector
 
@@ -22,45 +22,49 @@ class Knowledge:
     edges: DataFrame
 
 
-def prepared_chunks(docs: DataFrame, cfg: BuildConfig = BuildConfig(), cleaning: Cleaning = Cleaning()) -> DataFrame:
+def prepared_chunks(docs: DataFrame, chunking: Chunking = Chunking(), ranking: Ranking = Ranking(), cleaning: Cleaning = Cleaning()) -> DataFrame:
     """(doc_id, chunk_rank from 1, chunk_id, text) of the best chunks: cleaning, chunking and both caps in one pass, without a shuffle."""
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if not cfg.split_pages_before_clean:
+    if not chunking.before_cleaning:
         text = clean.preprocess(text, cleaning)
-    best = rank.best_chunks(chunk.chunks_by_strategy(F.col("text"), cfg), cfg)
+    best = rank.best_chunks(chunk.chunks_by_strategy(F.col("text"), chunking, ranking.most), ranking)
     rows = text.filter("text <> ''").select("doc_id", F.posexplode(best).alias("i", "c"))
-    if cfg.split_pages_before_clean:
-        return clean.preprocess(rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text"), cleaning)
-    return rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text")
+    rows = rows.select("doc_id", (F.col("i") + 1).alias("chunk_rank"), "c.chunk_id", "c.text")
+    return clean.preprocess(rows, cleaning) if chunking.before_cleaning else rows
 
 
-def graph_of(parsed: DataFrame, cfg: BuildConfig = BuildConfig()) -> tuple[DataFrame, DataFrame]:
+def graph_of(parsed: DataFrame, distinct_edges: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of parsed answers (doc_id, chunk_rank, parsed)."""
     entities, relations = graph.clean_entities_relations(extract.entities_of(parsed), extract.relations_of(parsed))
     nodes = graph.build_nodes(entities, relations)
-    return nodes, graph.build_edges(relations, nodes, cfg.distinct_edges)
+    return nodes, graph.build_edges(relations, nodes, distinct_edges)
 
 
-def build(docs: DataFrame, make: Callable[[], extract.Extractor], folder: str, cfg: BuildConfig = BuildConfig(), cleaning: Cleaning = Cleaning(), embedder: vector.Embedder = hash_embedding) -> Knowledge:
-    """The knowledge of all documents; chunks and the model's answers are written below folder, as several branches read them."""
+def build(
+    docs: DataFrame, make: Callable[[], extract.Extractor], folder: str, chunking: Chunking = Chunking(), ranking: Ranking = Ranking(), calling: Calling = Calling(),
+    cleaning: Cleaning = Cleaning(), embedder: vector.Embedder = hash_embedding, distinct_edges: bool = False,
+) -> Knowledge:
+    """The knowledge of all documents; chunks are written below folder, as several branches read them, and the model's answers stored there."""
     spark = docs.sparkSession
-    chunks = prepared_chunks(docs, cfg, cleaning)
+    chunks = prepared_chunks(docs, chunking, ranking, cleaning)
     vector.embed(chunks, embedder).write.mode("overwrite").parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
-    extract.responses(chunks.drop("emb"), make, cfg).write.mode("overwrite").parquet(f"{folder}/responses")
-    parsed = spark.read.parquet(f"{folder}/responses").select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed"))
-    nodes, edges = graph_of(parsed, cfg)
+    raw = extract.responses(chunks.drop("emb"), make, calling, f"{folder}/answers")
+    nodes, edges = graph_of(raw.select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed")), distinct_edges)
     return Knowledge(chunks, nodes, edges)
 
 
-def ask(questions: DataFrame, known: Knowledge, cfg: QueryConfig = QueryConfig(), embedder: vector.Embedder = hash_embedding, reranker: retrieve.Reranker = retrieve.lexical_overlap, rerank_model: Callable[[], retrieve.PairModel] | None = None) -> tuple[DataFrame, DataFrame]:
+def ask(
+    questions: DataFrame, known: Knowledge, how: Asking = Asking(), embedder: vector.Embedder = hash_embedding, reranker: retrieve.Reranker = retrieve.lexical_overlap,
+    rerank_model: Callable[[], retrieve.PairModel] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Ranked evidence and the context of each question (query_id, question): vector hits and facts around the question's terms."""
     items = known.chunks.select(F.concat_ws("/", "doc_id", "chunk_id").alias("id"), "text", "emb")
-    hits = vector.search_many(items, questions.select("query_id", embedder(F.col("question")).alias("emb")), cfg.top_k_vector)
-    facts = graph.k_hop_facts(known.edges, graph.seed_match(known.nodes, questions), cfg.hops, cfg.max_facts)
+    hits = vector.search_many(items, questions.select("query_id", embedder(F.col("question")).alias("emb")), how.hits)
+    facts = graph.k_hop_facts(known.edges, graph.seed_match(known.nodes, questions), how.hops, how.facts)
     contexts = retrieve.evidence_union(vector.as_contexts(hits), graph.facts_as_contexts(facts))
-    ranked = retrieve.rerank(contexts, questions, cfg.top_k_rerank, reranker, rerank_model)
-    return ranked, retrieve.synthesis_context(ranked, cfg.max_chunk_chars)
+    ranked = retrieve.rerank(contexts, questions, how.evidence, reranker, rerank_model)
+    return ranked, retrieve.synthesis_context(ranked, how.evidence_chars)
 
 
 ANSWER_PROMPT = "Answer the question only from the context below.\n\nQuestion: {question}\n\nContext:\n{context}"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.config import SECTION_HEADINGS, STOP_HEADINGS, SYNONYMS, BuildConfig
+from loomtext.config import SECTION_HEADINGS, STOP_HEADINGS, SYNONYMS, Chunking, Ranking
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank, retrieve, vector
 from loomtext.plans.register import LETTER, WS, query, quoted, s_embedding, s_fold, s_strip, s_sub, s_words, table
@@ -229,7 +229,7 @@ def semantic_chunks(spark, sf_dir):
     return _exploded(spark, sf_dir, chunk.semantic_chunks(F.col("text")), _blank_lines())
 
 
-_heads = "(?im)" + "|".join(f"(?:^[{WS}]*{p}$)" for p in (x.replace("\\s", f"[{WS}]").replace("\\d", r"\p{Nd}") for x in chunk.SECTION_LINES))
+_heads = "(?im)" + "|".join(f"(?:^[{WS}]*{p}$)" for p in (x.replace("\\s", f"[{WS}]").replace("\\d", r"\p{Nd}") for x in (*(rf"{n}\s*" for n in chunk.SECTION_NAMES), chunk.NUMBERED_LINE)))
 _para_words = f"len({s_words('x')})"
 _paras = f"list_transform(list_filter(list_transform(string_split_regex(body, '\n[{WS}]*\n+'), lambda x: {s_strip('x')}), lambda x: x <> ''), lambda x: {{'out': []::varchar[], 'cur': [{{'p': x, 'w': {_para_words}}}]}})"
 _text = lambda cur: f"array_to_string(list_transform({cur}, lambda y: y.p), '\n\n')"
@@ -289,8 +289,7 @@ select doc_id, chunk_rank::bigint as chunk_rank, (chunk_no + 1)::varchar as chun
 """)
 def build_chunks(spark, sf_dir):
     """Chunks of a strategy, ranked and capped within their rows."""
-    cfg = BuildConfig(chunk_strategy=" Sliding ", keywords=KEYWORDS)
-    best = rank.best_chunks(chunk.chunks_by_strategy(F.col("text"), cfg), cfg)
+    best = rank.best_chunks(chunk.chunks_by_strategy(F.col("text"), Chunking(" Sliding ")), Ranking(KEYWORDS))
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(best).alias("i", "c"))
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("chunk_rank"), "c.chunk_id", "c.text")
 
@@ -385,5 +384,5 @@ S_STRATEGIES = {"sections": s_sections("t", 2600, 900), "pages": s_pages("t", 12
 @query(" union all ".join(f"(select '{name}' as strategy, doc_id, chunk_no, (chunk_no + 1)::varchar as chunk_id, text from ({_listed(f'select doc_id, {s_strip(DOC)} as t from documents', sql)}))" for name, sql in S_STRATEGIES.items()))
 def chunk_strategies(spark, sf_dir):
     """Chunks by each strategy's name; a name that is none takes all."""
-    each = [chunk.chunk(_docs(spark, sf_dir), chunk.chunks_by_strategy(F.col("text"), BuildConfig(chunk_strategy=name))).withColumn("strategy", F.lit(name)) for name in S_STRATEGIES]
+    each = [chunk.chunk(_docs(spark, sf_dir), chunk.chunks_by_strategy(F.col("text"), Chunking(name))).withColumn("strategy", F.lit(name)) for name in S_STRATEGIES]
     return reduce(DataFrame.unionByName, each).select("strategy", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", "text")

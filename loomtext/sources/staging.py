@@ -59,8 +59,9 @@ def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def write_file(uri: str, data: bytes) -> None:
     """Write a whole file under another name and move it into place, so that a retried task leaves one whole file."""
     fs, path = filesystem(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
+    folder, name = path.rsplit("/", 1)
+    fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"  # readers of the folder leave out such names
     with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, path)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from loomtext.config import BuildConfig, Cleaning
+from loomtext.config import Chunking, Cleaning, Ranking
 from loomtext.operators.vector import embed
 from loomtext.plans.pipeline import prepared_chunks
 
 
-def index_stream(docs: DataFrame, path: str, checkpoint: str, cfg: BuildConfig = BuildConfig(), cleaning: Cleaning = Cleaning()) -> StreamingQuery:
+def index_stream(docs: DataFrame, path: str, checkpoint: str, chunking: Chunking = Chunking(), ranking: Ranking = Ranking(), cleaning: Cleaning = Cleaning()) -> StreamingQuery:
     """Run over what is there now of a stream (doc_id, text) and append to the Parquet index at path; the file sink makes it exactly once."""
-    rows = embed(prepared_chunks(docs, cfg, cleaning))
+    rows = embed(prepared_chunks(docs, chunking, ranking, cleaning))
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import time
 
 import duckdb
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from loomtext.config import BuildConfig
+from loomtext.config import Calling
 from loomtext.operators import extract, graph, retrieve
 from loomtext.plans import catalogue, pipeline
 from loomtext.sources import readers, sinks
@@ -41,6 +45,62 @@ def test_json(spark):
     assert [tuple(r)[3:] for r in extract.relations_of(rows).filter("doc_id = 0").collect()] == [("a", "U", "P_Q", "b", "Concept", None)]
 
 
+def failing(folder: str, after: int):
+    """Makes models that answer with a prompt's length and end and note each call in a folder; while a file named fail is there, calls after the first ones fail."""
+
+    def make():
+        done = []
+
+        def model(text: str) -> str:
+            if os.path.exists(f"{folder}/fail") and len(done) >= after:
+                raise RuntimeError("no more")
+            done.append(text)
+            with open(f"{folder}/{hashlib.md5(text.encode()).hexdigest()}", "a") as f:
+                f.write("x")
+            return f"answer {len(text)} {text[-12:]}"
+
+        return model
+
+    return make
+
+
+def calls(folder) -> dict[str, int]:
+    return {p.name: len(p.read_text()) for p in folder.iterdir() if p.name != "fail"}
+
+
+def test_answers_are_asked_for_once(spark, tmp_path):
+    """A run that fails midway keeps what it was told; the next one asks only for the rest, and a third for nothing; equal prompts are one."""
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "fail").touch()
+    folder, store = str(notes), str(tmp_path / "store")
+    texts = [f"text of chunk {i % 40}" for i in range(60)] + [None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    how = Calling(attempts=1, in_flight=3, stored_at_once=2)
+    with pytest.raises(PySparkException):
+        extract.responses(chunks, failing(folder, 4), how, store)
+    first = calls(notes)
+    assert 0 < len(first) < 40 and extract.stored_answers(spark, store).count() > 0
+    kept = {r["digest"] for r in extract.stored_answers(spark, store).collect()}
+    (notes / "fail").unlink()
+    rows = extract.responses(chunks, failing(folder, 4), how, store).collect()
+    want = {t: extract.PROMPT.replace(extract.PLACEHOLDER, t) for t in texts if t}
+    assert {(r["doc_id"], r["raw"]) for r in rows} == {(i, f"answer {len(want[t])} {want[t][-12:]}" if t else None) for i, t in enumerate(texts)}
+    again = calls(notes)
+    name = lambda t: hashlib.md5(want[t].encode()).hexdigest()
+    digest = lambda t: hashlib.sha256(want[t].encode()).hexdigest()
+    assert len(again) == 40 and all(again[name(t)] == first[name(t)] for t in want if digest(t) in kept)
+    assert sum(again.values()) - sum(first.values()) == 40 - len(kept)
+    assert extract.responses(chunks, failing(folder, 0), how, store).count() == 61 and calls(notes) == again
+
+
+def test_calls_stay_in_order(spark):
+    """Many calls at once, of which later ones end sooner."""
+    slow = lambda: lambda text: (time.sleep(0.02 if text.endswith("0") else 0), text[-3:])[1]
+    chunks = spark.createDataFrame([(i, f"{i:03d}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    assert [(r["doc_id"], int(r["raw"])) for r in extract.responses(chunks, slow, Calling(in_flight=8)).collect()] == [(i, i) for i in range(50)]
+
+
 def test_hops_and_rerank(spark):
     edges = spark.createDataFrame([(a, b, a, b, "r") for a, b in ("ab", "bc", "cd")], "src_key string, dst_key string, src_id string, dst_id string, rel_type string")
     seeds = spark.createDataFrame([(1, "a")], "query_id int, node_key string")
@@ -137,7 +197,7 @@ def test_graph_page(spark, tmp_path):
 def test_plan(spark, tmp_path):
     answer = '{"entities":[{"id":"Alpha","type":"Model"}],"relations":[{"source":"Alpha","target":"Beta set","predicate":"uses","evidence":"e"}]}'
     docs = spark.createDataFrame([(1, "Alpha uses the Beta set. " * 40), (2, ""), (3, None)], "doc_id long, text string")
-    known = pipeline.build(docs, lambda: lambda prompt: answer, str(tmp_path), BuildConfig(retry_base_delay=0.0))
+    known = pipeline.build(docs, lambda: lambda prompt: answer, str(tmp_path), calling=Calling(pause=0.0))
     questions = spark.createDataFrame([(7, "what does Alpha use")], "query_id int, question string")
     ranked, contexts = pipeline.ask(questions, known)
     assert {r["source_type"] for r in ranked.collect()} == {"Vector Chunk", "Knowledge Graph"}

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomtext.config import BuildConfig, Cleaning
+from loomtext.config import Chunking, Cleaning
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank
 
@@ -27,6 +27,20 @@ def test_clean(spark):
     assert one(spark, once, clean.expand_synonyms) == "The Transformer Architecture Architecture and Large Language Models"
 
 
+def test_expansions_in_one_pass(spark):
+    """One search gives what nine replacements one after another give, also for signs that fold to letters and for expansions of expansions."""
+    rng = random.Random(7)
+    pieces = ["llm", "LLMs", "\u212ag", "kgs", "llm\u017f", "transformer", "Transformer Architecture", "cnn", "-", " ", "_", "x", ".", "\n", "$1", "\\", "\ufdd0", "é", "gnn2"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for expansions in (Cleaning().expansions, {"abc": "kg and x", "kg": "cnn", "cnn": "deep $1 net", "x": "llm"}, {"llm": "-kg", "kg": "c d", "x y": "z"}, {}):
+        how = Cleaning(expansions=expansions)
+        ordered = sorted(expansions.items(), key=lambda kv: len(kv[0]), reverse=True)
+        assert (clean.closed_expansions(ordered) is None) == ("x y" in expansions)
+        rows = df.select("t", clean.expand_synonyms(F.col("t"), how).alias("a"), clean._one_after_another(F.col("t"), ordered).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows), next((r for r in rows if r["a"] != r["b"]), None)
+
+
 def test_strip_is_pythons(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choices(" \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000ab\u200b", k=6)) for _ in range(300)]
@@ -43,7 +57,7 @@ def test_chunkers(spark):
     assert [tuple(r) for r in got] == [("00001|p1|Introduction", "foo")]
     for empty in ("", " \n "):
         for strategy in ("semantic", "custom", "sections", "sliding", "pages", "other", ""):
-            assert one(spark, empty, lambda c, s=strategy: chunk.chunks_by_strategy(c, BuildConfig(chunk_strategy=s))) == []
+            assert one(spark, empty, lambda c, s=strategy: chunk.chunks_by_strategy(c, Chunking(s))) == []
 
 
 def windows(paras: list[str], target: int, overlap: int) -> list[str]:
