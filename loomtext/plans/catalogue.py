@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.plans import graph_queries, text_queries  # noqa: F401  (they register their queries)
+from loomtext.plans import built_queries, graph_queries, text_queries  # noqa: F401  (they register their queries)
 from loomtext.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,4 +1,4 @@
-"""Sinks: the graph and the vector index as Parquet, and one document's graph as a page."""
+"""Sinks: the graph and the vector index as Parquet, in versions that are there as a whole or not at all; and one document's graph as a page."""
 
 from __future__ import annotations
 
@@ -6,28 +6,90 @@ import html
 import itertools
 import json
 import logging
+import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 log = logging.getLogger(__name__)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "append") -> bool:
-    """Write both tables below path; False, with a log entry, if Spark can't."""
+LOG = "_commits"
+
+
+def _place(spark: SparkSession, path: str):
+    """Hadoop's path, file system and file context."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf)
+
+
+def _commits(spark: SparkSession, path: str) -> tuple[int, list[dict]]:
+    """The number of the last manifest below path (0: none) and its versions, oldest first."""
+    at, fs, _ = _place(spark, f"{path}/{LOG}")
+    if not fs.exists(at):
+        return 0, []
+    numbers = [int(name[:-5]) for s in fs.listStatus(at) if re.fullmatch(r"\d{10}\.json", name := s.getPath().getName())]
+    if not numbers:
+        return 0, []
+    last = spark.read.text(f"{path}/{LOG}/{max(numbers):010d}.json", wholetext=True).first()["value"]
+    return max(numbers), json.loads(last)["versions"]
+
+
+def commit(tables: dict[str, DataFrame], path: str, batch: str) -> bool:
+    """Add tables below path as one version, named for a batch; False if that batch is there already, so that a retry adds nothing.
+
+    Each table is written to a folder of its own, then a manifest that lists all versions is moved into place under the next free number.
+    What a failed attempt has written is in no manifest, so no reader sees it; of two writers at once, the second takes the number after.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if batch in (v["batch"] for v in _commits(spark, path)[1]):
+        return False
+    folder = uuid.uuid4().hex
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}/{folder}")
+    while True:
+        number, versions = _commits(spark, path)
+        if batch in (v["batch"] for v in versions):
+            return False
+        text = json.dumps({"versions": [*versions, {"batch": batch, "folder": folder, "tables": {n: t.schema.jsonValue() for n, t in tables.items()}}]})
+        at, fs, context = _place(spark, f"{path}/{LOG}/.{folder}")
+        out = fs.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            context.rename(at, _place(spark, f"{path}/{LOG}/{number + 1:010d}.json")[0], spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+
+
+def committed(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table below path as of the last manifest; None if no version has it."""
+    found = [v for v in _commits(spark, path)[1] if name in v["tables"]]
+    if not found:
+        return None
+    return spark.read.schema(StructType.fromJson(found[0]["tables"][name])).parquet(*(f"{path}/{name}/{v['folder']}" for v in found))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, batch: str = "all") -> bool:
+    """Commit both tables of a batch below path; False, with a log entry, if Spark can't."""
     try:
-        nodes.write.mode(mode).parquet(f"{path}/nodes")
-        edges.write.mode(mode).parquet(f"{path}/edges")
-    except PySparkException:
+        commit({"nodes": nodes, "edges": edges}, path, batch)
+    except (PySparkException, Py4JJavaError):
         log.exception("the graph was not written to %s", path)
         return False
     return True
 
 
-def write_index(embedded: DataFrame, path: str, mode: str = "append") -> None:
-    """Append chunks with vectors to an index table; ids are not made distinct."""
-    embedded.write.mode(mode).parquet(path)
+def write_index(embedded: DataFrame, path: str, batch: str = "all") -> bool:
+    """Commit chunks with vectors to the index below path; ids are not made distinct. False if the batch is there already."""
+    return commit({"index": embedded}, path, batch)
 
 
 def graph_page(nodes: DataFrame, edges: DataFrame, doc_id: int, file: str) -> str | None:

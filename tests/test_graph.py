@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -17,7 +18,7 @@ from loomtext.config import Calling
 from loomtext.operators import extract, graph, retrieve
 from loomtext.plans import catalogue, pipeline
 from loomtext.sources import readers, sinks
-from loomtext.streaming.ingest import index_stream
+from loomtext.streaming.ingest import graph_stream, index_stream
 
 E = "doc_id long, chunk_rank int, pos int, name string, type string"
 R = "doc_id long, chunk_rank int, pos int, head string, head_type string, relation string, tail string, tail_type string, evidence string"
@@ -194,6 +195,37 @@ def test_graph_page(spark, tmp_path):
     assert page.count("<tr>") == len(json.loads(data)["edges"]) == 3000 and len(json.loads(data)["nodes"]) == 5000 and "<" not in data
 
 
+def test_commits(spark, tmp_path):
+    """A job that fails between its tables leaves nothing to see; a batch that is written again adds nothing."""
+    path = str(tmp_path / "graph")
+    nodes = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "doc_id long, id string")
+    edges = lambda *ids: spark.createDataFrame([(i, f"e{i}") for i in ids], "doc_id long, src_id string")
+    broken = edges(2).withColumn("src_id", F.raise_error(F.lit("midway")).cast("string"))
+    seen = lambda: [sorted(r["doc_id"] for r in t.collect()) if (t := sinks.committed(spark, path, n)) is not None else None for n in ("nodes", "edges")]
+    assert seen() == [None, None]
+    assert not sinks.write_graph(nodes(2), broken, path, "b") and seen() == [None, None]
+    assert sinks.write_graph(nodes(1), edges(1), path, "a") and seen() == [[1], [1]]
+    assert not sinks.write_graph(nodes(2), broken, path, "b") and seen() == [[1], [1]]
+    assert sinks.write_graph(nodes(2, 3), edges(2, 3), path, "b") and sinks.write_graph(nodes(2, 3), edges(2, 3), path, "b") and seen() == [[1, 2, 3]] * 2
+    assert sinks.write_index(nodes(7), path, "a index") and not sinks.write_index(nodes(7), path, "a index")
+    assert sinks.committed(spark, path, "index").count() == 1 and seen() == [[1, 2, 3]] * 2
+    with ThreadPoolExecutor(4) as pool:  # several at once: each batch once, none lost
+        list(pool.map(lambda i: sinks.commit({"nodes": nodes(100 + i % 5)}, path, f"t{i % 5}"), range(10)))
+    assert seen() == [[1, 2, 3, 100, 101, 102, 103, 104], [1, 2, 3]]
+
+
+def test_graph_stream(spark, tmp_path):
+    """Files become versions of the graph; a run over what was read before adds nothing, also where the stream has lost its place."""
+    answer = lambda: lambda prompt: '{"entities":[{"id":"' + prompt.rsplit(" ", 1)[1] + '","type":"Word"}],"relations":[]}'
+    docs = spark.createDataFrame([(i, f"a text that ends in word{i}") for i in range(6)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    names = lambda: sorted(r["id"] for r in sinks.committed(spark, str(tmp_path / "g"), "nodes").collect())
+    for checkpoint in ("ck", "ck", "other"):
+        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
+        graph_stream(stream, answer, str(tmp_path / "g"), str(tmp_path / checkpoint), calling=Calling(pause=0.0)).awaitTermination()
+        assert names() == [f"word{i}" for i in range(6)]
+
+
 def test_plan(spark, tmp_path):
     answer = '{"entities":[{"id":"Alpha","type":"Model"}],"relations":[{"source":"Alpha","target":"Beta set","predicate":"uses","evidence":"e"}]}'
     docs = spark.createDataFrame([(1, "Alpha uses the Beta set. " * 40), (2, ""), (3, None)], "doc_id long, text string")
