@@ -2,7 +2,8 @@
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller doc_id goes; strings are judged on the input
 and never cross documents.  Texts are UTF-8 bytes, null counts as empty.  A null doc_id counts as the largest, equal ids are not smaller
-than each other; texts shorter than `length` keep all.  All columns pass through; an empty table gives an empty one.
+than each other; texts shorter than `length` keep all, and a null one comes out empty.  All columns pass through, but for those that have
+a result's name (n_bytes, n_removed, n_spans, kept_sha256, removed): the result is there instead.  An empty table gives an empty one.
 
 Any length from 1 on is allowed.  Keys and whole snippets are compared by 64-bit hashes: of n snippets in a bucket two different ones are
 taken for equal with odds of about n * n / 2**65.
@@ -35,6 +36,7 @@ NO_ID = (1 << 63) - 1
 GRAM = 24  # at most; shorter windows have shorter grams
 BLOCK_BYTES = 2 << 20  # of text in a block, unless one text is longer
 BUCKET_BYTES = 16 << 20  # of text whose anchors make a bucket
+MERGE_BYTES = 1 << 20  # of snippets whose transforms are merged at a time, unless one anchor has more
 
 
 def runs_of_windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,26 +100,29 @@ def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray
 def smallest_documents(text: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, documents: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For distinct snippets the smallest document of each of their windows: values end to end, and where each snippet's begin.
 
-    Snippets whose anchor no other snippet has need no comparison; the rest go into shards.
+    Snippets whose anchor no other snippet has need no comparison; the rest go into shards, anchor by anchor, some MERGE_BYTES at a time
+    (one anchor's snippets stay together).
     """
     windows = lengths - length + 1
     begins = np.cumsum(windows) - windows
     least = np.repeat(documents, windows)
+    places = np.cumsum(lengths) - lengths
     order = np.argsort(anchors, kind="stable")
-    same = np.diff(anchors[order]) == 0
-    meets = np.zeros(len(anchors), bool)
-    meets[order[1:][same]] = meets[order[:-1][same]] = True
-    some = np.flatnonzero(meets)
-    if len(some):
-        inside = np.repeat(meets, lengths)
-        shards = Shards(text[inside], lengths[some], length + 14)
-        rows, cuts = merged_intervals(shards, length)
+    cuts = np.append(np.flatnonzero(np.diff(anchors[order].astype(np.int64), prepend=-1)), len(order))
+    several = np.flatnonzero(np.diff(cuts) > 1)
+    upto = np.cumsum([int(lengths[order[cuts[i] : cuts[i + 1]]].sum()) for i in several.tolist()])
+    at = 0
+    while at < len(several):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MERGE_BYTES, "right")))
+        some = np.concatenate([order[cuts[i] : cuts[i + 1]] for i in several[at:end].tolist()])
+        at = end
+        shards = Shards(np.concatenate([text[a : a + n] for a, n in zip(places[some].tolist(), lengths[some].tolist(), strict=True)]), lengths[some], length + 14)
+        rows, first = merged_intervals(shards, length)
         if len(rows):
-            at = shards.rows[rows]
-            string, offset = shards.string[at], shards.offset[at]
+            string, offset = shards.string[shards.rows[rows]], shards.offset[shards.rows[rows]]
             whole = offset <= lengths[some][string] - length  # the others run past their snippet's end
             value = np.where(whole, documents[some][string], NO_ID)
-            best = np.repeat(np.minimum.reduceat(value, cuts), np.diff(np.append(cuts, len(rows))))
+            best = np.repeat(np.minimum.reduceat(value, first), np.diff(np.append(first, len(rows))))
             least[(begins[some][string] + offset)[whole]] = best[whole]
     return least, begins
 
@@ -196,39 +201,47 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         return pa.table({"bucket": pa.array(b, pa.int32()), "block": blocks} | {k: _raw(list(v)) for k, v in zip(("sizes", "data", "keys", "least"), arrays, strict=True)})
 
     def merge(table: pa.Table) -> pa.Table:
-        """For each block's snippets the windows that begin in a smaller document than the block's own, as (snippet, first, last, document)."""
-        sizes, counts = _joined(table.column("sizes"), small)
-        sizes = sizes.astype(np.int64)
-        data, _ = _joined(table.column("data"), np.uint8)
-        keys, _ = _joined(table.column("keys"), np.uint32)
-        least, _ = _joined(table.column("least"), np.int64)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        """For each block's snippets the windows that begin in a smaller document than the block's own, as (snippet, first, last, document).
+
+        Beside the snippets as they came, what it holds is in proportion to the different ones; hashes are worked out block by block.
+        """
+        blocks = [(np.frombuffer(a.as_py(), small).astype(np.int64), np.frombuffer(d.as_buffer(), np.uint8)) for a, d in zip(table.column("sizes"), table.column("data"), strict=True)]
+        counts = np.array([len(n) for n, _ in blocks], np.int64)
+        keys, least = _joined(table.column("keys"), np.uint32)[0], _joined(table.column("least"), np.int64)[0]
         # equal snippets are one class
-        _, one, number = np.unique(span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+        hashes = [span_hashes(prefix_sums(d), np.cumsum(n) - n, np.cumsum(n)) for n, d in blocks]
+        _, one, number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        del hashes
         documents = np.full(len(one), NO_ID)
         np.minimum.at(documents, number, least)
-        spread = np.repeat(starts[one] - np.cumsum(sizes[one]) + sizes[one], sizes[one]) + np.arange(sizes[one].sum())
-        best, begins = smallest_documents(data[spread], sizes[one], keys[one], documents, length)
+        row = np.repeat(np.arange(len(counts)), counts)
+        size = np.concatenate([n for n, _ in blocks]) if blocks else np.zeros(0, np.int64)
+        start = np.concatenate([np.cumsum(n) - n for n, _ in blocks]) if blocks else size
+        text = b"".join(memoryview(blocks[r][1])[a : a + n] for r, a, n in zip(row[one].tolist(), start[one].tolist(), size[one].tolist(), strict=True))
+        size, start, blocks = size[one], None, None
+        best, begins = smallest_documents(np.frombuffer(text, np.uint8), size, keys[one], documents, length)
         # runs of windows with one smallest document
-        owner = np.repeat(np.arange(len(one)), sizes[one] - length + 1)
-        cut = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+        first_window = np.zeros(len(best), bool)
+        first_window[begins] = True
+        cut = np.flatnonzero(first_window | (np.diff(best, prepend=-1) != 0))
         last = np.append(cut[1:], len(best)) - 1
-        of = owner[cut]
+        of = np.searchsorted(begins, cut, "right") - 1
+        best = best[cut]
         per, first = np.bincount(of, minlength=len(one)), np.searchsorted(of, np.arange(len(one)))
-        times = per[number]
-        run = np.repeat(first[number] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        snippet = np.repeat(np.arange(len(number)), times)
-        row = np.repeat(np.arange(len(counts)), counts)
-        keep = best[cut[run]] < least[snippet]
-        run, snippet = run[keep], snippet[keep]
-        bounds = np.searchsorted(row[snippet], np.arange(len(counts) + 1))
-        inner = snippet - (np.cumsum(counts) - counts)[row[snippet]]
-        a, b, d = cut[run] - begins[of[run]], last[run] - begins[of[run]], best[cut[run]]
-        pieces = [slice(x, y) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        del data, spread, best, owner, number, starts, ends, row, keep
+        inner = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+        out: list[tuple[np.ndarray, ...]] = []
+        ends = np.cumsum(counts)
+        for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True):  # block by block
+            times = per[number[x:y]]
+            run = np.repeat(first[number[x:y]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            snippet = np.repeat(np.arange(x, y), times)
+            keep = best[run] < least[snippet]
+            run, snippet = run[keep], snippet[keep]
+            out.append((inner[snippet].astype(np.uint32), (cut[run] - begins[of[run]]).astype(small), (last[run] - begins[of[run]]).astype(small), best[run]))
+        columns = [_raw([o[i] for o in out]) for i in range(4)]
+        del text, best, number, row, first_window, out
         give_back("repeats")
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "snippets": _raw([inner[p].astype(np.uint32) for p in pieces]), "first": _raw([a[p].astype(small) for p in pieces]), "last": _raw([b[p].astype(small) for p in pieces]), "documents": _raw([d[p] for p in pieces])})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket")} | dict(zip(("snippets", "first", "last", "documents"), columns, strict=True)))
 
     def finish(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
