@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import codes, decontaminate, divergence, langid, licenses, maintext, maxent, minhash, packing, patched, repeats, warc, winnow
+from loomtext.llm.base import small_batches
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +18,7 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
