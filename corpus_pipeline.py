@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import decontaminate, langid, minhash, packing, queries, repeats
-from loomtext.llm.base import staged
+from loomtext.llm.base import small_batches, staged
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     """docs with names that no operator uses for its own columns, but for doc_id and text."""
+    small_batches(docs.sparkSession)
     return docs.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)))
 
 
@@ -49,6 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of at most 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs, queries.tokenizer(), size=1024, end_id=2)
 
 
