@@ -1,7 +1,8 @@
 """Token-id shards in patched frame-of-reference blocks.
 
 Documents are written in ascending doc_id order (null first; repeated ids one after the other), shards of a bounded number of ids for each
-range of doc_ids (a longer document is a shard), each document's ids followed by an end id.  A null or empty text is its end id alone.  Other columns are ignored; an empty table gives no shard.
+range of doc_ids (a longer document is a shard), each document's ids followed by an end id.  A null or empty text is its end id alone.
+Other columns are ignored; an empty table gives no shard.
 
 A shard: MAGIC, then a little-endian header (documents, ids, words, exceptions), the documents' ids, null flags and lengths, and per
 block of 128 values its minimum, its width, its exceptions and its start, then the packed words and the exception lists.  A block stores
@@ -10,22 +11,24 @@ value - minimum in the width that holds the given percentile of its values; larg
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.base import fresh_dir, partitions, range_bounds, range_bucket, read_file, sliced, write_file
+from loomtext.llm.base import fresh_dir, partitions, read_file, sliced, staged, write_file
 from loomtext.llm.tokens import encoder
 
 MAGIC = b"LTPFOR01"
 BLOCK, LANES = 128, 4
 SHARD_IDS = 4 << 20  # ids of a shard, unless one document has more
 RANGE_BYTES = 64 << 20  # of text in a range of doc_ids, about
+GROUP = 1024  # ranges whose ids are summed up together
+TABLE = "table"  # of the shards, beside them
 HEAD = np.dtype([("documents", "<u8"), ("ids", "<u8"), ("words", "<u8"), ("exceptions", "<u8")])
 
 
@@ -116,51 +119,52 @@ def from_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, percentile: float = 0.9, shard_ids: int = SHARD_IDS) -> str:
-    """Encode and write docs (doc_id, text) as shards in ascending doc_id order with a manifest (one line per shard); returns the folder.
+    """Encode and write docs (doc_id, text) as shards in ascending doc_id order, and a table of them with where each begins; returns the folder.
 
-    Ranges of doc_ids come from approximate quantiles, their number from the bytes of text.  A range is written as shards of up to shard_ids
-    ids, one after another, so that a task holds one shard whatever a range has; names and content don't depend on the task that writes.
+    Rows are dealt to ranges of doc_ids by a sample that Spark takes, their number from the bytes of text; rows of one doc_id follow each
+    other as they were read, in several ranges if they are very many.  A range is written as shards of up to shard_ids ids, one after
+    another, so that a task holds one shard whatever a range has.  Where shards begin are sums over groups of ranges, then within them.
+    The input must give the same rows in the same order when a task runs again, as files do.
     """
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "shards")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    bounds = range_bounds(docs, "doc_id", max(2 * partitions(spark), -(-size // RANGE_BYTES)))
+    ranges = max(2 * partitions(spark), -(-size // RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
         encode, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        now, part, n, doc_ids, ids = None, 0, 0, [], []
+        part, n, doc_ids, ids = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            write_file(f"{folder}/{now:08d}-{part:06d}.pfor", to_shard(doc_ids, ids, percentile))
-            return pa.RecordBatch.from_pydict({"range": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "n_ids": pa.array([n], pa.int64())})
+            write_file(f"{folder}/{at:08d}-{part:06d}.pfor", to_shard(doc_ids, ids, percentile))
+            return pa.RecordBatch.from_pydict({"range": pa.array([at], pa.int32()), "part": pa.array([part], pa.int32()), "n_ids": pa.array([n], pa.int64())})
 
         for batch in sliced(batches, kind="tokens"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at, doc_id, x in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                if now is not None and (at != now or n + len(x) >= shard_ids):
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                if doc_ids and n + len(x) >= shard_ids:
                     yield close()
-                    part, n, doc_ids, ids = part + 1 if at == now else 0, 0, [], []
-                now = at
+                    part, n, doc_ids, ids = part + 1, 0, [], []
                 doc_ids.append(doc_id)
                 ids.append(np.concatenate([x, end]))
                 n += len(ids[-1])
-        if now is not None:
+        if doc_ids:
             yield close()
 
-    placed = docs.select("doc_id", F.col("text").cast("string").alias("text"), range_bucket(F.col("doc_id"), bounds).cast("int").alias("range")).repartition("range").sortWithinPartitions("range", "doc_id", "text")
-    rows = sorted(placed.mapInArrow(run, "range int, part int, n_ids long").collect())  # one row per shard
-    start = 0
-    lines = []
-    for r in rows:
-        lines.append(json.dumps({"shard": f"{r['range']:08d}-{r['part']:06d}", "start": start, "n_ids": r["n_ids"]}))
-        start += r["n_ids"]
-    write_file(f"{folder}/manifest.json", "\n".join(lines).encode())
+    keys = [F.asc_nulls_first("doc_id"), F.asc("at")]
+    placed = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), F.col("text").cast("string").alias("text")).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    shards = staged(placed.select("doc_id", "text").mapInArrow(run, "range int, part int, n_ids long"), "shards").withColumn("group", F.floor(F.col("range") / GROUP))
+    earlier = lambda by: F.coalesce(F.sum("n_ids").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = shards.groupBy("group").agg(F.sum("n_ids").alias("n_ids")).select("group", earlier(Window.orderBy("group")).alias("base"))  # a row for each GROUP ranges
+    within = earlier(Window.partitionBy("group").orderBy("range", "part"))
+    rows = shards.withColumn("before", within).join(groups, "group")
+    rows.select(F.format_string("%08d-%06d", "range", "part").alias("shard"), (F.col("base") + F.col("before")).alias("start"), "n_ids").write.mode("overwrite").parquet(f"{folder}/{TABLE}")
     return folder
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its little-endian 32-bit ids)."""
-    shards = [json.loads(x) for x in read_file(f"{folder}/manifest.json").decode().split("\n") if x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,5 +176,5 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=missing), pa.array(starts + start), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame([(x["shard"], x["start"]) for x in shards], "shard string, start long").repartition(max(1, len(shards)))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = spark.read.schema("shard string, start long, n_ids long").parquet(f"{folder}/{TABLE}").select("shard", "start")
+    return shards.repartition(4 * partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
