@@ -195,20 +195,24 @@ def text_mark() -> Column:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 2, halves: int = 8) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (its set is the one of the group that stays)."""
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept (that it is its own; rows of one doc_id are told apart by their sets, and kept all where their id is the smallest)."""
     docs = docs.select(_id().alias("doc_id"), F.lit(b"").alias("mark"), F.col("text").cast("string").alias("text"))
     whole = _grouped(docs, percent, words, rows, halves)
-    return whole.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), "kept")
+    return whole.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 2, halves: int = 8) -> DataFrame:
     """One row of each group of near copies: of the smallest doc_id, and of its texts with one set that of the smallest digest.
 
-    Texts without words are near copies of nothing; of them, rows of one doc_id and text are kept once.
+    Texts without words are near copies of nothing; of them, rows of one doc_id and text are kept once.  Of rows with one doc_id and text
+    that differ otherwise, the one stays whose other columns are first as JSON.
     """
     marked = docs.select("*", _id().alias("id of row"), text_mark().alias("mark of row"))
     whole = _grouped(marked.select(F.col("id of row").alias("doc_id"), F.col("mark of row").alias("mark"), F.col("text").cast("string").alias("text")), percent, words, rows, halves)
     kept = whole.filter("kept")
     kept = kept.filter("n_shingles > 0").groupBy("doc_id", "h1", "h2").agg(F.min("mark").alias("mark")).select("doc_id", "mark").union(kept.filter("n_shingles = 0").select("doc_id", "mark").distinct())
     keys = ["id of row", "mark of row"]
-    return marked.join(kept.toDF(*keys), keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("at the end")))
+    one = marked.join(kept.toDF(*keys), keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*columns), others).alias("row"))
+    return one.select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -42,3 +42,12 @@ def test_minhash_links_of_texts_with_one_id(spark):
     rows = [(None, a), (None, b), (8, a + " end"), (9, b + " end"), (3, a.replace(" ", "  ")), (4, prose(13)), (4, b + " fin")]
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, rows)).collect())
     assert got == sorted([("None", 56, 3, False), ("None", 56, 4, False), ("8", 57, 3, False), ("9", 57, 4, False), ("3", 56, 3, True), ("4", 56, 4, True), ("4", 57, 4, True)])
+
+
+def test_rows_that_differ_elsewhere(spark):
+    """Of rows with one doc_id and text the one stays whose other columns come first, however they are dealt."""
+    rows = [(1, prose(20), lang, n) for lang, n in (("fr", 2), ("en", 9), ("en", 10), (None, 1))] + [(2, None, "x", 5), (2, None, "x", 4), (2, None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    for deal in (1, 3, 7):
+        out = sorted(((r["doc_id"], r["lang"], r["n"]) for r in minhash.without_near_duplicates(docs.repartition(deal)).collect()))
+        assert out == [(1, "en", 10), (2, "x", 4)]
