@@ -89,4 +89,14 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing, op10_maxent_scores, op11_main_text, op12_source_divergence, op13_vector_codes)}
+def winnow_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 makes its edited fingerprints from."""
+    return op6_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def maxent_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10's model is held against."""
+    return op10_maxent_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_minhash, op4_decontamination, op5_license_scan, op6_winnowing, op7_suffix_dedup, op8_warc, op9_best_fit_packing, op10_maxent_scores, op11_main_text, op12_source_divergence, op13_vector_codes, winnow_edits, maxent_base_scores)}

@@ -121,4 +121,22 @@ select vec_id, code, error, (sum(error) over (partition by label))::bigint as la
 
 OP13 = _codes_sql()
 
-ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8, "op12_source_divergence": OP12, "op13_vector_codes": OP13}
+WINNOW_EDITS = """
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lead(coalesce(text, '')) over (order by doc_id, text), first_value(coalesce(text, '')) over (order by doc_id, text)) as next from documents)
+select doc_id, length(t)::bigint as n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(next, 1, length(t) // 2)) as edited_sha256 from d
+"""
+
+#: crc32 of a short ASCII text: a table by its rule, then a step for each byte
+CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n))"
+CRC = "xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295))"
+
+MAXENT_BASE = f"""
+with crc as (select {CRC_TABLE} as t),
+d as (select doc_id, {CRC.format("doc_id::varchar")} % 7 = 2 as held_out, list_append(regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+'), ' ') as w from documents, crc),
+counted as (select w, count(*) as c from (select unnest(w) as w from d where not held_out) group by w),
+sizes as (select sum(c) as n, count(*) as v from counted)
+select doc_id, held_out, any_value(len(d.w))::bigint as n_tokens, count(c)::bigint as n_known, any_value(n)::bigint as train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 6) as base_score
+from (select doc_id, held_out, w, unnest(w) as token from d) d left join counted on counted.w = token, sizes group by doc_id, held_out
+"""
+
+ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontamination": OP4, "op5_license_scan": OP5, "op7_suffix_dedup": OP7, "op8_warc": OP8, "op12_source_divergence": OP12, "op13_vector_codes": OP13, "winnow_edits": WINNOW_EDITS, "maxent_base_scores": MAXENT_BASE}

@@ -332,8 +332,19 @@ def test_edge_tables(spark):
     assert leaks == [(-1, 60, ("null",)), (1, 60, ("null",)), (2, 0, ()), (2, 0, ()), (3, 60, ("null",)), (3, 60, ("null",))]
     cut = sorted((r["doc_id"] or -1, r["n_removed"], r["text"]) for r in repeats.remove_repeats(docs).collect())
     n = len(text.encode())
-    assert cut == [(-1, n, ""), (1, 0, text + " more"), (2, 0, ""), (2, 0, ""), (3, n, ""), (3, n, "")] or [x[:2] for x in cut] == [(-1, n), (1, 0), (2, 0), (2, 0), (3, n), (3, n)]
-    assert winnow.compare(docs).count() == licenses.scan(docs).count() == maxent.score(docs, docs.doc_id == 3).count() == 6
+    assert cut == [(-1, n, ""), (1, 0, text + " more"), (2, 0, ""), (2, 0, ""), (3, n, ""), (3, n, "")]
+    assert docs.columns[:3] == ["doc_id", "text", "n_bytes"] and {r["n_bytes"] for r in repeats.remove_repeats(docs).collect()} == {0, n, n + 5}  # not docs' own column
+    found = sorted((r["doc_id"] or -1, r["license_id"], r["notices"], r["n_notices"]) for r in licenses.scan(docs).collect())
+    assert found == [(-1, None, None, 0), (1, None, None, 0), (2, None, None, 0), (2, None, None, 0), (3, None, None, 0), (3, None, None, 0)]
+    wound = {}
+    for r in winnow.compare(docs).collect():
+        wound.setdefault(r["doc_id"] or -1, []).append((r["text"], r["edited"], r["near_next"]))
+    half = len(text) // 2
+    kept, begin = text[: len(text) - half], lambda t: t[:half]
+    assert wound[2] == [("", "", 1.0), ("", "", 0.0)]
+    assert sorted(wound[3]) == sorted([(text, kept + begin(text), 1.0), (text, kept + begin(text), 1.0)])
+    scores = sorted((r["doc_id"] or -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in maxent.score(docs, docs.doc_id == 3).collect())
+    assert scores == [(-1, False, 61, 61, 125), (1, False, 62, 62, 125), (2, False, 1, 1, 125), (2, False, 1, 1, 125), (3, True, 61, 61, 125), (3, True, 61, 61, 125)]
     none = docs.limit(0)
     for frame in (minhash.near_duplicates(none), decontaminate.contamination(none, bench), decontaminate.contamination(docs.limit(0), bench.limit(0)), repeats.remove_repeats(none), winnow.compare(none), licenses.scan(none), maxent.score(none, none.doc_id == 3)):
         assert frame.count() == 0
