@@ -11,6 +11,7 @@ from loomtext.config import SECTION_HEADINGS, STOP_HEADINGS, SYNONYMS, Chunking,
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank, retrieve, vector
 from loomtext.plans.register import LETTER, WS, query, quoted, s_embedding, s_fold, s_strip, s_sub, s_words, table
+from loomtext.sources.layout import layout_elements
 from loomtext.sources.readers import decoded, element_sections, flatten_sections, html_elements
 
 DOC = "coalesce(text, '')"
@@ -93,9 +94,14 @@ def clean_nul(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", clean.STEPS["nul"](F.concat("text", F.lit("\0x\0"))).alias("text"))
 
 
-@query("select doc_id, 'a   ' || doc_id || '   c $ 5 and 6 $ d   e' as text from documents")
+S_NO_SIGNS = s_sub(DOC, r"[$\\]", "")
+
+
+@query(f"select doc_id, 'a     c $ 5 ' || {S_NO_SIGNS} || ' 6 $ d   ' || {S_NO_SIGNS} as text from documents")
 def clean_latex(spark, sf_dir):
-    made = F.concat(F.lit("a \\[x\ny\\] "), F.col("doc_id").cast("string"), F.lit(" $$z\nz$$ c $ 5 and 6 $ d $a\nb$ e"))
+    """Formulas around, within and between whole texts; a dollar before a blank opens none.  Dollars and backslashes of the texts themselves go first, so the oracle names what stays."""
+    text = F.regexp_replace("text", r"[$\\\\]", "")
+    made = F.concat(F.lit("a \\[x\n"), text, F.lit("\\] $$"), text, F.lit("$$ c $ 5 "), text, F.lit(" 6 $ d $a\nb$ "), text)
     return _docs(spark, sf_dir).select("doc_id", clean.drop_inline_latex(clean.drop_display_latex(made)).alias("text"))
 
 
@@ -386,3 +392,38 @@ def chunk_strategies(spark, sf_dir):
     """Chunks by each strategy's name; a name that is none takes all."""
     each = [chunk.chunk(_docs(spark, sf_dir), chunk.chunks_by_strategy(F.col("text"), Chunking(name))).withColumn("strategy", F.lit(name)) for name in S_STRATEGIES]
     return reduce(DataFrame.unionByName, each).select("strategy", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", "text")
+
+
+_decoded = lambda x: s_sub(f"replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')", "&amp;?", "&")
+_pieces = r"""regexp_extract_all(replace(replace(coalesce(html, ''), '<br><p>', '<br></p><p>'), '<br></article>', '<br></p>'), '(?s)<title>.*?</title>|<li>.*?</li>|<div class="ad">.*?</div>|<h1>.*?</h1>|<p>.*?</p>|<footer>.*?</footer>')"""
+
+
+@query(f"""
+select doc_id, (row_number() over (partition by doc_id order by place) - 1)::int as pos, tag, case tag when 'li' then '- ' else '' end || text as text from (
+  select page_id as doc_id, place, case when tag in ('div', 'footer') then 'p' else tag end as tag, {s_fold(_decoded(s_sub("raw", "<[^>]*>", "")))} as text
+  from (select page_id, place, raw, regexp_extract(raw, '^<([a-z0-9]+)', 1) as tag from (select page_id, unnest(range(len(r))) as place, unnest(r) as raw from (select page_id, {_pieces} as r from pages)))) where text <> ''
+""")
+def layout_of_pages(spark, sf_dir):
+    """All blocks of whole pages, unclosed paragraphs and missing ends included."""
+    return layout_elements(table(spark, sf_dir, "pages"))
+
+
+# a page for each nation: items with a list inside, a table of its customers whose head spans rows and columns, a table in a cell, few ends
+S_CUSTOMERS = "select n_nationkey, n_name, c_custkey, c_name, c_mktsegment, cast(cast(c_acctbal as decimal(12, 2)) as string) as balance from nation join customer on c_nationkey = n_nationkey"
+_row = "'<tr><td>' || c_name || '<td>' || balance || '<td colspan=\"2\">' || c_mktsegment || case when c_custkey % 3 = 0 then '<table><tr><td>in<td>' || c_custkey || '</table>' else '' end"
+_line = "'| ' || c_name || ' | ' || balance || ' | ' || (c_mktsegment || case when c_custkey % 3 = 0 then ' in ' || c_custkey else '' end) || ' | ' || (c_mktsegment || case when c_custkey % 3 = 0 then ' in ' || c_custkey else '' end) || ' |'"
+NATION_HEAD, NATION_TABLE = "<h2>{n}</h2><ul><li>one of<ol><li>first<li>second</ol>them<li>last</ul>", "<p>before<table><tr><th rowspan=2>name<th colspan=3>of {n}<tr><th>balance<th>a|b<th>"
+
+
+@query(f"""
+with c as ({S_CUSTOMERS}), t as (select n_nationkey, any_value(n_name) as n, string_agg({_line}, chr(10) order by c_custkey) as lines from c group by n_nationkey)
+select n_nationkey as doc_id, pos, tag, text from (select n_nationkey, unnest(range(8))::int as pos, unnest(['h2', 'li', 'li', 'li', 'li', 'li', 'p', 'table']) as tag,
+  unnest([n, '- one of', '  1. first', '  2. second', '  them', '- last', 'before', '| name | of ' || n || ' | of ' || n || ' | of ' || n || ' |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| name | balance | a\\|b |  |' || chr(10) || lines]) as text from t)
+""")
+def layout_tables(spark, sf_dir):
+    for name in ("nation", "customer"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    rows = spark.sql(S_CUSTOMERS).selectExpr("n_nationkey", "n_name", "c_custkey", f"{_row} as line")
+    pages = rows.groupBy("n_nationkey").agg(F.first("n_name").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "").alias("lines"))
+    put = lambda text: F.replace(F.lit(text), F.lit("{n}"), F.col("n"))
+    return layout_elements(pages.select("n_nationkey", F.concat(put(NATION_HEAD), put(NATION_TABLE), "lines").alias("html")), key="n_nationkey")
