@@ -1,89 +1,25 @@
-"""Shared pieces of the training-data operators: shared folders, staged tables, byte views of text."""
+"""Shared pieces of the training-data operators: byte views and hashes of text, slices of batches, ranges; tables and files in the shared folder."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_C = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in the one that driver and executors share (spark.checkpoint.dir); removed when the application ends.
-
-    Where none is set, as in tests, a temp folder serves if all runs on one machine; a cluster needs the setting.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _OWN:
-        configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-        if not configured and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _OWN[sc.applicationId] = f"{configured.rstrip('/')}/loomtext-{sc.applicationId}-{uuid.uuid4().hex[:8]}" if configured else tempfile.mkdtemp(prefix="loomtext-")
-        path = sc._jvm.org.apache.hadoop.fs.Path(_OWN[sc.applicationId])
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-    return _OWN[sc.applicationId]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return the table: cuts lineage and survives lost executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from loomtext.sources.staging import few, filesystem, fresh_dir, read_file, staged, write_file  # noqa: F401  (operators take them from here)
 
-FEW = 100_000
-
-
-def few(df: DataFrame, rows: int = FEW) -> DataFrame:
-    """df, to be sent to all tasks if it has at most so many rows, which are counted; else left to a shuffled join.  df is a table, so that counting is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+_C = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """A file system and path that tasks can open, for any scheme that pyarrow knows; a bare path is local."""
-    if uri.startswith("file:"):
-        return pa.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        return pa.fs.FileSystem.from_uri(uri)
-    return pa.fs.LocalFileSystem(), uri
-
-
-def write_file(uri: str, data: bytes) -> None:
-    """Write a whole file under another name and move it into place, so that a retried task leaves one whole file."""
-    fs, path = filesystem(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part, compression=None) as out:
-        out.write(data)
-    fs.move(part, path)
-
-
-def read_file(uri: str) -> bytes:
-    fs, path = filesystem(uri)
-    with fs.open_input_file(path) as f:
-        return f.read()
-
-
 BATCH_BYTES = 4 << 20
 
 
