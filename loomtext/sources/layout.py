@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.sources.markup import Events
+
 # Fixed values of HTML: elements without an end; those that end a run of text; those whose text is not shown; what ends what.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -41,6 +42,7 @@ class Table:
                 while x in out[y]:
                     x += 1
                 text = " ".join("".join(parts).split())
+                columns = max(1, min(columns, MOST_COLUMNS - x))
                 for below in range(y, min(len(out), y + rows) if rows else len(out)):
                     for right in range(x, x + columns):
                         out[below][right] = text
@@ -61,19 +63,18 @@ def _span(value: str | None, most: int, none: int = 1) -> int:
         return 1
 
 
-class Layout(HTMLParser):
+class Layout(Events):
     """elements: (tag, text) in the order of the page."""
 
     def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.elements: list[tuple[str, str]] = []
         self.open: list[str] = []
         self.lists: list[list] = [[None, False]]  # of each open list the last item's number, if it has numbers, and whether its mark is still to come; first that of items without a list
         self.tables: list[Table] = []
         self.text: list[str] = []
         self.latex: list[str] | None = None
-        self.feed(html)
-        self.close()
+        self.read(html)
         self.end_to(0)
         self.flush()
 
@@ -153,6 +154,8 @@ class Layout(HTMLParser):
             if tag == "br":
                 self.into().append(" ")
             return
+        if self.too_deep(tag, len(self.open)):
+            return
         if tag in LISTS:
             self.lists.append([0 if tag == "ol" else None, False])
         elif tag == "li":
@@ -181,7 +184,10 @@ class Layout(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "script" and self.open and self.open[-1] == "tex":
             tag = "tex"
-        if tag in self.open:
+        if self.ended_beyond(tag):
+            if tag in BLOCKS:
+                self.flush()
+        elif tag in self.open:
             self.end_last({tag}, set() if tag in ("table", "html", "body") else {"table"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else {"td", "th"})
 
     def handle_data(self, data: str) -> None:
@@ -192,10 +198,6 @@ class Layout(HTMLParser):
         elif not any(t in UNSEEN for t in self.open):
             self.into().append(data)
 
-    def unknown_decl(self, data: str) -> None:
-        """CDATA outside of SVG is a comment."""
-
-
 def layout(html: str | None) -> list[tuple[str, str]]:
     return Layout(html).elements if html else []
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -30,6 +31,29 @@ def test_cases(html):
     assert layout(html) == CASES[html]
 
 
+PIECES = "<![foo[ <![ <! <!-- --> <?x ]]> <![CDATA[ <![if]> <!DOCTYPE <p <p> </p> </ < <a&href=' &quot; ' > &# &#x &#99999999999; &amp <script> </script> <table> <tr> <td&rowspan=x> <td&colspan=99999> </table> <li> <ul> </ul> <ol> text <math> </math> <title> <style> <svg> <body> <head> <!E&x> <td&rowspan=0>".replace("&quot;", '"').split(" ")
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_any_text_is_read(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        layout("".join(rng.choices([p.replace("&", " ", 1) if p.startswith("<") else p for p in PIECES], k=rng.randint(1, 14))))
+
+
+@pytest.mark.parametrize("text", ["<div>" * 50_000 + "x", "<p>" * 50_000, "<table>" * 20_000, "<ul><li>" * 20_000 + "y", "</div>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<" * 50_000, "<a " * 50_000, "&" * 50_000, "<table>" + "<tr><td colspan=1000 rowspan=65000>x" * 100 + "</table>"])
+def test_long_texts_of_one_kind(text):
+    began = time.time()
+    layout(text)
+    assert time.time() - began < 20
+
+
+def test_what_is_never_closed(spark):
+    assert layout("<p>a<!-- b <p>c") == [("p", "a")] and layout("<p>a<![x[ b>c<!d>e<?f>g") == [("p", "ac eg".replace(" ", ""))]
+    assert layout("<p>a</p><p") == [("p", "a")] and layout("<p>1 < 2") == [("p", "1 < 2")] and layout("<!-->a<!--->b") == [("p", "ab")]
+    assert layout("<div>" * 2000 + "<p>deep</p>" + "</div>" * 2000 + "<h1>h") == [("p", "deep"), ("h1", "h")]
+
+
 def tree(rng: random.Random, depth: int = 0):
     kind = rng.choice(["text", "p", "list", "table"] if depth < 3 else ["text", "p"])
     word = "".join(rng.choices("abcde", k=3))
