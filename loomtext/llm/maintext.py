@@ -6,8 +6,8 @@ the threshold between two clusters (two means).  Lines above it are content, and
 or the innermost element around them.  All lines of the region belong to the text, short ones too, but for those inside elements that are
 set apart by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments), and lists of links.
 
-Character references are decoded, white space inside a block is one space (so is <br>), blocks are joined by one newline; a text that a
-broken page never closes is read to its end.  A null or empty html, or one without content, gives an empty text; repeated rows are each
+Character references are decoded, white space inside a block is one space (so is <br>), blocks are joined by one newline.  Any text is
+read to its end as browsers read it: an unclosed comment reaches that far.  A null or empty html, or one without content, gives an empty text; repeated rows are each
 extracted; an empty table gives an empty one.  Rows are independent: nothing is shuffled, and a page is the most that a task holds besides
 a batch.
 """
@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.base import sliced
+from loomtext.sources.markup import Events
 
 SIGMA, REACH = 1.0, 2  # of the Gaussian, in lines
 SHARE = 0.2  # of the content that an article must hold to be the region
@@ -80,19 +80,18 @@ def apart(tag: str, attrs: dict[str, str | None]) -> int:
     return kind
 
 
-class Page(HTMLParser):
+class Page(Events):
     """Elements (parent, tag, kind) and lines (text, element, tags, characters in links) of a page."""
 
     def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.parent, self.tag, self.kind, self.holds = [0], [""], [OK], [False]  # element 0 is the page
         self.lines: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, innermost element that holds blocks, whether text inside is left out
         self.count: Counter[str] = Counter()
         self.words: list[str] = []
         self.tags = self.linked = 0
-        self.feed(html)
-        self.close()
+        self.read(html)
         self.flush()
 
     def flush(self) -> None:
@@ -133,6 +132,8 @@ class Page(HTMLParser):
             self.end_of(ENDS[tag], WITHIN.get(tag, set()))
         elif block and self.count["p"]:
             self.end_of({"p"}, CELL | {"button", "object"})
+        if self.too_deep(tag, len(self.open)):
+            return
         _, element, left_out = self.open[-1]
         named = dict(attrs)
         kind = OUT if tag in APART else apart(tag, named)
@@ -163,7 +164,7 @@ class Page(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        if tag not in VOID:
+        if tag not in VOID and not self.ended_beyond(tag):
             self.end_of({tag}, set() if tag in TABLE else CELL)
 
     def handle_data(self, data: str) -> None:
@@ -172,10 +173,6 @@ class Page(HTMLParser):
             if self.count["a"]:
                 self.linked += len(data.strip())
 
-    def unknown_decl(self, data: str) -> None:
-        """CDATA outside of SVG is a comment."""
-
-
 def content_lines(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
     """Which lines' smoothed ratio of text to tags lies above the threshold between two clusters."""
     ratio = np.log1p(np.array([len(text) / tags for text, _, tags, _ in lines]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -52,6 +53,9 @@ LAYOUTS = {
     "menu only": ("<nav><ul><li><a href=x>x</a></ul></nav>", ""),
     "empty": ("", ""),
     "blank": (" \n ", ""),
+    "unclosed comment": (f"<article><p>{LONG}</p><!-- <p>no</p></article>", LONG),
+    "sections and declarations": (f"<!DOCTYPE x><![if y]><article><p>{LONG}<![CDATA[no]]><?no?></p></article>", LONG),
+    "cut off in a tag": (f"<article><p>{LONG}</p><p class='x", LONG),
     "stray ends": ("</div></p></article>text</b>", "text"),
     "inline elements set apart": ("<article><p>a <span class='share'>tweet</span>b <em class='notice'>c</em></p></article>", "a b c"),
 }
@@ -71,6 +75,22 @@ def test_paragraphs_come_back(texts, tag, closed):
     assert maintext.main_text(page) == "\n".join(t for t in want if t)
 
 
+PIECES = ["<![foo[", "<![", "<!", "<!--", "-->", "<?x", "]]>", "<![CDATA[", "<!DOCTYPE", "<p", "<p>", "</p>", "</", "<", "<a href='", "'", ">", "&#", "&#x", "&#99999999999;", "<script>", "</script>", "<table>", "<td>", "</table>", "<li>", "<ul>", "text", "<title>", "<head>", "<form>", "<header>", "<h1>", "<article>", "</article>"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_any_text_is_read(page):
+    assert maintext.main_text(page) is not None
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p>" * 100_000, "</div>" * 100_000, "<p><td>" + "<b>" * 50_000 + "</p>" * 50_000, "<!--" * 100_000, "<" * 100_000, "<a " * 50_000, "<form>" * 50_000 + "<h1>x"])
+def test_long_pages_of_one_kind(page):
+    began = time.time()
+    maintext.main_text(page)
+    assert time.time() - began < 20
+
+
 def test_content_is_a_cluster():
     menu, prose = ("Home", 0, 4, 4), ("word " * 60, 0, 2, 0)
     assert maintext.content_lines([menu] * 5 + [prose] * 4 + [menu] * 5).tolist()[1:4] == [False] * 3
