@@ -31,7 +31,7 @@ def _license_lines(text: str) -> str:
 
 
 OP5 = f"""
-with known as (select * from (values {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) as t(license_id, text)),
+with known as (select * from (values {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.known_licenses())}) as t(license_id, text)),
 digests as (select sha256(array_to_string({_license_lines("text")}, ' ')) as digest, string_agg(distinct license_id, ',' order by license_id) as license_id from known group by 1),
 docs as (select doc_id, {_license_lines("text")} as lines from documents),
 entire as (select doc_id, license_id from docs join digests on digest = sha256(array_to_string(lines, ' ')) where len(lines) > 0),
