@@ -6,6 +6,7 @@ import html
 import itertools
 import json
 import logging
+import os
 import re
 import uuid
 
@@ -40,11 +41,39 @@ def _commits(spark: SparkSession, path: str) -> tuple[int, list[dict]]:
     return max(numbers), json.loads(last)["versions"]
 
 
+def _put_if_absent(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Write a whole file under a name that no other has; False if there is one. Renaming does that on stores, where it never replaces a file; on a disk it would, so a link does."""
+    at, fs, context = _place(spark, f"{folder}/.{uuid.uuid4().hex}")
+    to = _place(spark, f"{folder}/{name}")[0]
+    if fs.getScheme() == "file":
+        temp, target = at.toUri().getPath(), to.toUri().getPath()
+        os.makedirs(os.path.dirname(temp), exist_ok=True)
+        with open(temp, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(temp, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(temp)
+        return True
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        context.rename(at, to, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 def commit(tables: dict[str, DataFrame], path: str, batch: str) -> bool:
     """Add tables below path as one version, named for a batch; False if that batch is there already, so that a retry adds nothing.
 
-    Each table is written to a folder of its own, then a manifest that lists all versions is moved into place under the next free number.
-    What a failed attempt has written is in no manifest, so no reader sees it; of two writers at once, the second takes the number after.
+    Each table is written to a folder of its own, then a manifest that lists all versions is put under the next free number.  What a failed
+    attempt has written is in no manifest, so no reader sees it; of two writers at once, the second takes the number after.
     """
     spark = next(iter(tables.values())).sparkSession
     if batch in (v["batch"] for v in _commits(spark, path)[1]):
@@ -57,16 +86,8 @@ def commit(tables: dict[str, DataFrame], path: str, batch: str) -> bool:
         if batch in (v["batch"] for v in versions):
             return False
         text = json.dumps({"versions": [*versions, {"batch": batch, "folder": folder, "tables": {n: t.schema.jsonValue() for n, t in tables.items()}}]})
-        at, fs, context = _place(spark, f"{path}/{LOG}/.{folder}")
-        out = fs.create(at, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        try:
-            context.rename(at, _place(spark, f"{path}/{LOG}/{number + 1:010d}.json")[0], spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        if _put_if_absent(spark, f"{path}/{LOG}", f"{number + 1:010d}.json", text):
             return True
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-                raise
 
 
 def committed(spark: SparkSession, path: str, name: str) -> DataFrame | None:
