@@ -122,9 +122,12 @@ def dealt_adjacency(edges: DataFrame, hub: int = HUB, hubs: int = HUBS) -> tuple
     ways = [("src_key", "dst_key"), ("dst_key", "src_key")]
     views = [edges.select(F.col(a).alias("node_key"), F.col(b).alias("other"), F.col("src_id").alias("head"), F.col("rel_type").alias("rel"), F.col("dst_id").alias("tail")) for a, b in ways]
     views = views[0].union(views[1]).filter("node_key is not null")
-    degrees = staged(views.groupBy("node_key").agg(F.count("*").alias("degree")), "degrees")
-    most = max(hub, -(-(degrees.agg(F.sum("degree")).first()[0] or 0) // hubs))
-    heavy = staged(degrees.filter(F.col("degree") > most).select("node_key", F.ceil(F.col("degree") / most).cast("int").alias("parts")), "hubs")
+    degrees = views.groupBy("node_key").agg(F.count("*").alias("degree"))
+    most, heavy = hub, staged(degrees.filter(F.col("degree") > hub), "hubs")
+    if heavy.count() >= hubs:
+        most = max(hub, -(-(degrees.agg(F.sum("degree")).first()[0] or 0) // hubs))
+        heavy = heavy.filter(F.col("degree") > most)
+    heavy = heavy.select("node_key", F.ceil(F.col("degree") / most).cast("int").alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("other", "head", "rel", "tail"), F.col("parts")), F.lit(0)).cast("int")
     return views.join(F.broadcast(heavy), "node_key", "left").withColumn("part", part).drop("parts"), heavy
 
@@ -147,7 +150,8 @@ def k_hop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int |
             met = staged(met, "hop")
             visited = frontier if visited is None else visited.union(frontier)
             frontier = met.select("query_id", F.col("other").alias("node_key")).filter("node_key is not null").distinct().join(visited, ["query_id", "node_key"], "left_anti")
-            frontier = staged(frontier, "frontier")
+            if hop + 2 < hops:  # it is read again
+                frontier = staged(frontier, "frontier")
         facts.append(met.filter("head is not null and rel is not null and tail is not null").select("query_id", "head", "rel", "tail"))
     found = reduce(DataFrame.union, facts).distinct()
     if limit is None:
