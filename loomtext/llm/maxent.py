@@ -451,6 +451,7 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, rate: float = 0.6)
     for r in range(rounds if train_tokens else 0):
         sent_weights = spark.sparkContext.broadcast(weights)  # of a size that is a parameter of the model
         g_kinds, g_words = split(gathered(blocks.filter(part_of == r), -(-train_tokens // rounds), lambda c, x, k, w, now=sent_weights: gradient(c, x, now.value, k, w)))
+        sent_weights.destroy()
         step = lambda g, seen: rate * np.clip(g / (seen / rounds + 4), -1, 1)
         weights = Weights(weights.kinds + step(g_kinds, seen_kinds), weights.words + step(g_words, seen_words), weights.prior, weights.share)
     last = spark.sparkContext.broadcast(weights)
