@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import random
 import time
 import uuid
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pandas as pd
 import pyarrow as pa
@@ -47,36 +47,48 @@ def relation_prompt(text: Column, entities: Column, template: str, max_chars: in
     return F.concat(F.lit(template), F.lit("\n\nEntity List (use these):\n"), F.to_json(F.slice(entities, 1, max_entities)), F.lit("\n\nText:\n"), F.substr(text, F.lit(1), F.lit(max_chars)))
 
 
-def _tried(call: Extractor, how: Calling) -> Extractor:
-    def one(text: str) -> str:
-        for n in range(how.attempts):
-            try:
-                return call(text)
-            except Exception:
-                if n == how.attempts - 1:
-                    raise
-                time.sleep(how.pause * 2**n + random.uniform(0, 0.25))
-        return ""
+WAITING = 1_000  # failed calls of a task that wait for their next try at once
 
-    return one
 
+def _answered(call: Extractor, prompts: Iterable[str], how: Calling) -> Iterator[tuple[int, str, str]]:
+    """(place, prompt, answer) as answers come; how.in_flight calls are under way at most.
 
-def _in_order(call: Extractor, prompts: Iterable[str], in_flight: int) -> Iterator[tuple[str, str]]:
-    """Prompts with their answers, in order; a bounded number of calls is under way."""
-    with ThreadPoolExecutor(in_flight) as pool:
-        waiting: deque[tuple[str, Future[str]]] = deque()
-        try:
-            for text in prompts:
-                waiting.append((text, pool.submit(call, text)))
-                if len(waiting) == in_flight:
-                    asked, told = waiting.popleft()
-                    yield asked, told.result()
-            while waiting:
-                asked, told = waiting.popleft()
-                yield asked, told.result()
-        finally:
-            for _, told in waiting:
-                told.cancel()
+    A failed call waits for its next try outside of those, so that others are made meanwhile; a prompt that fails at every try ends the
+    calls, and is raised once those under way have ended.
+    """
+    fresh = enumerate(prompts)
+    more, failed = True, None
+    waiting: list[tuple[float, int, str, int]] = []  # when due, place, prompt, calls so far
+    running: dict[Future[str], tuple[int, str, int]] = {}
+    with ThreadPoolExecutor(how.in_flight) as pool:
+        while more or waiting or running:
+            while len(running) < how.in_flight:
+                if waiting and waiting[0][0] <= time.monotonic():
+                    _, at, text, n = heapq.heappop(waiting)
+                elif more and len(waiting) < WAITING:
+                    (at, text), n = next(fresh, (None, None)), 0
+                    if at is None:
+                        more = False
+                        continue
+                else:
+                    break
+                running[pool.submit(call, text)] = at, text, n
+            left = max(0.0, waiting[0][0] - time.monotonic()) if waiting else None
+            if not running:
+                time.sleep(left or 0.0)
+                continue
+            for told in wait(running, None if len(running) == how.in_flight else left, FIRST_COMPLETED).done:
+                at, text, n = running.pop(told)
+                error = told.exception()
+                if error is None:
+                    yield at, text, told.result()
+                elif n + 1 < how.attempts and failed is None and isinstance(error, Exception):
+                    heapq.heappush(waiting, (time.monotonic() + how.pause * 2**n + random.uniform(0, 0.25), at, text, n + 1))
+                else:
+                    more, failed = False, failed or error
+                    waiting.clear()
+    if failed is not None:
+        raise failed
 
 
 ANSWERS = "digest string, raw string"
@@ -123,7 +135,7 @@ def ask_for(prompts: DataFrame, make: Callable[[], Extractor], how: Calling, sto
                 held.clear()
 
         try:
-            for text, raw in _in_order(_tried(make(), how), wanted(), how.in_flight):
+            for _, text, raw in _answered(make(), wanted(), how):
                 held.append((digest_of.pop(text), raw))
                 n += 1
                 if len(held) >= how.stored_at_once:
@@ -152,9 +164,12 @@ def responses(chunks: DataFrame, make: Callable[[], Extractor], how: Calling = C
         return asked.join(told, F.sha2("prompt", 256) == F.col("prompt_digest"), "left").drop("prompt", "prompt_digest")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = _tried(make(), how)
+        call = make()
         for frame in frames:
-            yield frame.drop(columns="prompt").assign(raw=[raw for _, raw in _in_order(call, frame["prompt"], how.in_flight)])
+            raw = [None] * len(frame)
+            for at, _, told in _answered(call, frame["prompt"], how):
+                raw[at] = told
+            yield frame.drop(columns="prompt").assign(raw=raw)
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes)
     return asked.mapInPandas(run, f"{kinds}, raw string")

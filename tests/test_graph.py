@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -102,6 +103,46 @@ def test_calls_stay_in_order(spark):
     assert [(r["doc_id"], int(r["raw"])) for r in extract.responses(chunks, slow, Calling(in_flight=8)).collect()] == [(i, i) for i in range(50)]
 
 
+def test_failed_calls_wait_aside():
+    """Waits for a next try run beside each other and beside other calls, of which in_flight are under way at most; answers keep their places."""
+    seen, under_way, most = set(), [0], [0]
+    lock = threading.Lock()
+
+    def model(text: str) -> str:
+        with lock:
+            under_way[0] += 1
+            most[0] = max(most[0], under_way[0])
+        try:
+            if int(text) % 4 == 0 and text not in seen:
+                seen.add(text)
+                raise TimeoutError("ask again")
+            return text
+        finally:
+            with lock:
+                under_way[0] -= 1
+
+    for in_flight in (1, 3):
+        seen.clear()
+        most[0] = 0
+        start = time.monotonic()
+        told = list(extract._answered(model, map(str, range(400)), Calling(pause=0.1, in_flight=in_flight)))
+        assert time.monotonic() - start < 5  # one after another they take 10 s at least
+        assert sorted((at, text, raw) for at, text, raw in told) == [(i, str(i), str(i)) for i in range(400)] and most[0] <= in_flight
+
+
+def test_calls_end_with_one_that_fails_at_every_try():
+    def model(text: str) -> str:
+        if text == "3":
+            raise ValueError("never")
+        return text
+
+    told = []
+    with pytest.raises(ValueError, match="never"):
+        for at, _, raw in extract._answered(model, map(str, range(10**6)), Calling(pause=0.0, attempts=2, in_flight=2)):
+            told.append((at, raw))
+    assert {(i, str(i)) for i in range(3)} <= set(told) and all(str(i) == raw != "3" for i, raw in told)
+
+
 def test_hops_and_rerank(spark):
     edges = spark.createDataFrame([(a, b, a, b, "r") for a, b in ("ab", "bc", "cd")], "src_key string, dst_key string, src_id string, dst_id string, rel_type string")
     seeds = spark.createDataFrame([(1, "a")], "query_id int, node_key string")
