@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.config import Calling
 from loomtext.functions import text as T
 from loomtext.operators import extract, graph, retrieve, vector
-from loomtext.plans.register import query, quoted, s_embedding, s_fold, s_strip, s_words, table
+from loomtext.plans.register import dealt, query, quoted, s_embedding, s_fold, s_strip, s_words, table
 
 # answers of a model: one for each part, every fourth sort of which is broken in another way
 BROKEN = {1: "missing evidence", 2: "number as type", 3: "prose and fences", 4: "no list", 5: "cut off"}
@@ -24,7 +24,7 @@ from part"""
 
 
 def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    dealt(spark, sf_dir, "part").createOrReplaceTempView("part")
     return spark.sql(S_RAW)
 
 
@@ -58,26 +58,26 @@ S_LISTS = """select p_partkey as doc_id, '[{"name":" ' || p_name || '","type":""
 
 @query("select p_partkey as doc_id, unnest([p_name, p_brand]) as name, 'Concept' as type from part")
 def json_entity_list(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    dealt(spark, sf_dir, "part").createOrReplaceTempView("part")
     return spark.sql(S_LISTS).select("doc_id", F.explode(extract.parse_entity_list(F.col("raw"))).alias("e")).select("doc_id", "e.*")
 
 
 @query("select p_partkey as doc_id, p_name as head, 'Concept' as head_type, 'IS_OF' as relation, p_brand as tail, 'Concept' as tail_type, null::varchar as evidence from part")
 def json_relation_list(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    dealt(spark, sf_dir, "part").createOrReplaceTempView("part")
     return spark.sql(S_LISTS).select("doc_id", F.explode(extract.parse_relation_list(F.col("raw"))).alias("r")).select("doc_id", "r.*")
 
 
 @query(f"""select p_partkey, replace({quoted(extract.PROMPT)}, '{extract.PLACEHOLDER}', substr(p_name || ' ' || p_type, 1, 12)) as prompt from part""")
 def prompts(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", extract.prompt(F.concat_ws(" ", "p_name", "p_type"), max_chars=12).alias("prompt"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", extract.prompt(F.concat_ws(" ", "p_name", "p_type"), max_chars=12).alias("prompt"))
 
 
 @query("""select p_partkey, 'Relate.' || chr(10) || chr(10) || 'Entity List (use these):' || chr(10) || '[' || array_to_string(list_transform(range(1, 121), lambda i: '{"name":"' || p_name || ' ' || i || '","type":"Part"}'), ',') || ']' || chr(10) || chr(10) || 'Text:' || chr(10) || substr(p_type, 1, 9) as prompt from part""")
 def relation_prompts(spark, sf_dir):
     """Of 130 entities the first 120 are named."""
     entities = F.transform(F.sequence(F.lit(1), F.lit(130)), lambda i: F.struct(F.concat_ws(" ", "p_name", i.cast("string")).alias("name"), F.lit("Part").alias("type")))
-    return table(spark, sf_dir, "part").select("p_partkey", extract.relation_prompt(F.col("p_type"), entities, "Relate.", max_chars=9).alias("prompt"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", extract.relation_prompt(F.col("p_type"), entities, "Relate.", max_chars=9).alias("prompt"))
 
 
 class Unsteady:
@@ -96,7 +96,7 @@ class Unsteady:
 @query("select p_partkey as doc_id, 1::bigint as chunk_rank, 0::bigint as pos, 'no' || p_partkey as name, 'Part' as type from part")
 def extracted_entities(spark, sf_dir):
     """Calls of a model that fails at first, tried again, read strictly."""
-    chunks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).cast("long").alias("chunk_rank"), F.concat(F.col("p_name"), F.lit(" no"), F.col("p_partkey").cast("string")).alias("text"))
+    chunks = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).cast("long").alias("chunk_rank"), F.concat(F.col("p_name"), F.lit(" no"), F.col("p_partkey").cast("string")).alias("text"))
     raw = extract.responses(chunks, Unsteady, Calling(pause=0.0))
     found = extract.entities_of(raw.select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed")))
     return found.withColumn("pos", F.col("pos").cast("long"))
@@ -306,7 +306,7 @@ select query_id, row_number() over (partition by query_id order by score desc, b
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" in Europe")).alias("text"))
+    items = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" in Europe")).alias("text"))
     asked = questions(spark)
     hits = vector.search_many(vector.embed(items), asked.select("query_id", T.hash_embedding(F.col("question")).alias("emb")), 10)
     facts = graph.facts_as_contexts(_facts(spark, sf_dir, 2, 60))

@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is long for each row: narrow rows compress so well that few tasks, or one, read millions of them, so they are dealt out."""
+    return table(spark, sf_dir, name).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -143,6 +143,12 @@ def test_calls_end_with_one_that_fails_at_every_try():
     assert {(i, str(i)) for i in range(3)} <= set(told) and all(str(i) == raw != "3" for i, raw in told)
 
 
+def test_narrow_rows_are_dealt_out(spark, sf):
+    """One small file of rows that take long each is no work for one task."""
+    for name in ("extracted_entities", "json_entities", "json_relation_list"):
+        assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4, name
+
+
 def test_hops_and_rerank(spark):
     edges = spark.createDataFrame([(a, b, a, b, "r") for a, b in ("ab", "bc", "cd")], "src_key string, dst_key string, src_id string, dst_id string, rel_type string")
     seeds = spark.createDataFrame([(1, "a")], "query_id int, node_key string")
