@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 MARK = "\ufdd0"  # a code point that is no character
 SPACE = r"[\s\x1c-\x1f]"
+#: the characters of that class
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def rx(pattern: str, flags: str = "") -> str:
@@ -29,11 +31,12 @@ def no_strings() -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rx(r"\A\s+|\s+\z"), "")
+    """Without white space at the ends; trimming looks only there, where a pattern is tried at each character."""
+    return F.trim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rx(r"\s+\z"), "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:

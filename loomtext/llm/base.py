@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.sources.staging import few, filesystem, fresh_dir, read_file, staged, write_file  # noqa: F401  (operators take them from here)
+from loomtext.sources.staging import few, filesystem, fresh_dir, read_file, small_batches, staged, write_file  # noqa: F401  (operators take them from here)
 
 _C = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
@@ -20,17 +20,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let Spark hand rows to Python tasks in Arrow batches of at most BATCH_BYTES, unless the session asks for fewer: texts are long, and a
-    batch is held outside the heap, twice while it grows, for every task of an executor."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """Up to n - 1 ascending values of key that cut its rows into about n equal ranges; reads only that column."""
     if n < 2:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomtext.config import Cleaning
 from loomtext.functions.text import MARK, let, nfkc, rx, strip
+from loomtext.sources.staging import small_batches
 
 BULLETS = "•▪■►◆▶●◦"  # fixed value
 _NUMBERS = r"\s*\d+\s*(?:[-–]\s*\d+\s*)?"
@@ -144,5 +145,6 @@ def preprocess_text(c: Column, cleaning: Cleaning = Cleaning()) -> Column:
 
 def preprocess(docs: DataFrame, cleaning: Cleaning = Cleaning(), column: str = "text") -> DataFrame:
     """docs with the column put in normal form, then cleaned, cut and expanded."""
+    small_batches(docs.sparkSession)  # whole texts go to Python for their normal form
     first = replace(cleaning, steps=tuple(s for s in cleaning.steps if s in ("nul", "newlines", "nfkc")))
     return docs.withColumn(column, clean_text(F.col(column).cast("string"), first)).withColumn(column, preprocess_text(F.col(column), cleaning))

@@ -13,11 +13,13 @@ from loomtext.operators import chunk, clean, rank, retrieve, vector
 from loomtext.plans.register import LETTER, WS, query, quoted, s_embedding, s_fold, s_strip, s_sub, s_words, table
 from loomtext.sources.layout import layout_elements
 from loomtext.sources.readers import decoded, element_sections, flatten_sections, html_elements
+from loomtext.sources.staging import small_batches
 
 DOC = "coalesce(text, '')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from loomtext.config import Chunking, Cleaning
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank
@@ -93,3 +94,25 @@ def test_rank(spark):
     ranked = rank.rank_chunks(spark.createDataFrame(rows, "doc_id long, chunk_no int, chunk_id string, text string"), 3)
     assert [(r["chunk_no"], r["score"]) for r in ranked.orderBy("chunk_rank").collect()] == [(1, 3), (2, 1), (3, 1)]
     assert one(spark, "a\u2014b", T.canonical_key) == "a-b" and one(spark, "The (A) ﬁne", T.canonical_key) == "fine"
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """The normal form of long texts is made from a few megabytes at a time, whatever the number of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        rows = clean.preprocess(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("\ufb01ne").alias("text")))
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20 and {r["text"] for r in rows.collect()} == {"fine"}
+        spark.conf.unset(key)
+        __spark_entry__.queries()["clean_nfkc"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_blanks_are_those_of_patterns(spark):
+    """Ends are trimmed of the characters that \\s takes in patterns, and of no others."""
+    every = spark.range(1, 0xFFFF).filter("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert every.filter((T.strip(F.col("c")) == "") != F.col("c").rlike(T.rx(r"^\s$"))).count() == 0
+    assert one(spark, "　\x1fa \xa0b\n\x85", T.strip) == "a \xa0b" and one(spark, " a  ", T.rstrip) == " a"
