@@ -9,6 +9,7 @@ from loomtext.config import Calling
 from loomtext.functions import text as T
 from loomtext.operators import extract, graph, retrieve, vector
 from loomtext.plans.register import dealt, query, quoted, s_embedding, s_fold, s_strip, s_words, table
+from loomtext.sources.staging import staged
 
 # answers of a model: one for each part, every fourth sort of which is broken in another way
 BROKEN = {1: "missing evidence", 2: "number as type", 3: "prose and fences", 4: "no list", 5: "cut off"}
@@ -179,8 +180,9 @@ where {_sound(s_fold("head"))} and {_sound(s_fold("tail"))}"""
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entities, relations = graph.clean_entities_relations(entity_rows(spark, sf_dir), relation_rows(spark, sf_dir))
-    nodes = graph.build_nodes(entities, relations)
-    return nodes, graph.build_edges(relations, nodes)
+    relations = staged(relations, "relations")  # each table is read several times by what follows
+    nodes = staged(graph.build_nodes(entities, relations), "nodes")
+    return nodes, staged(graph.build_edges(relations, nodes), "edges")
 
 
 @query(S_NODES)
