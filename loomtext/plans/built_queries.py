@@ -12,7 +12,7 @@ from loomtext.functions import text as T
 from loomtext.operators import graph, vector
 from loomtext.plans import pipeline
 from loomtext.plans.graph_queries import S_EDGES, S_NODES, _graph
-from loomtext.plans.register import query, quoted, s_embedding, s_words, table
+from loomtext.plans.register import dealt, query, quoted, s_embedding, s_words
 from loomtext.sources import sinks
 from loomtext.sources.staging import fresh_dir
 
@@ -54,7 +54,7 @@ def writes_answers() -> Callable[[str], str]:
 
 
 def _built(spark, sf_dir: str) -> tuple[DataFrame, pipeline.Knowledge]:
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    dealt(spark, sf_dir, "part").createOrReplaceTempView("part")
     docs = spark.sql(S_DOCS)
     return docs, pipeline.build(docs, reads_parts, fresh_dir(spark, "built"), calling=Calling(pause=0.0, in_flight=4))
 
@@ -121,7 +121,7 @@ def graph_read_back(spark, sf_dir):
 @query(f"select p_partkey as doc_id, p_name as text, round(list_dot_product({s_embedding('p_name')}, {s_embedding(quoted('red bolt'))}), 9) as score from part")
 def index_read_back(spark, sf_dir):
     """The index of all parts, committed by brand, with the similarity of each to one question as it was read back."""
-    rows = vector.embed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"), F.crc32("p_brand").alias("part")))
+    rows = vector.embed(dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"), F.crc32("p_brand").alias("part")))
     path = fresh_dir(spark, "index")
     for part in (0, 1, 1, 2):
         sinks.write_index(rows.filter(F.col("part") % 3 == part).drop("part"), path, f"part {part}")

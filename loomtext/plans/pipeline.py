@@ -33,24 +33,28 @@ def prepared_chunks(docs: DataFrame, chunking: Chunking = Chunking(), ranking: R
     return clean.preprocess(rows, cleaning) if chunking.before_cleaning else rows
 
 
-def graph_of(parsed: DataFrame, distinct_edges: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of parsed answers (doc_id, chunk_rank, parsed)."""
+def graph_of(parsed: DataFrame, distinct_edges: bool = False, kept: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of parsed answers (doc_id, chunk_rank, parsed); `kept` may write a table under a name and read it back, as each is read several times."""
+    parsed = kept(parsed, "parsed")
     entities, relations = graph.clean_entities_relations(extract.entities_of(parsed), extract.relations_of(parsed))
-    nodes = graph.build_nodes(entities, relations)
-    return nodes, graph.build_edges(relations, nodes, distinct_edges)
+    relations = kept(relations, "relations")
+    nodes = kept(graph.build_nodes(entities, relations), "nodes")
+    return nodes, kept(graph.build_edges(relations, nodes, distinct_edges), "edges")
 
 
 def build(
     docs: DataFrame, make: Callable[[], extract.Extractor], folder: str, chunking: Chunking = Chunking(), ranking: Ranking = Ranking(), calling: Calling = Calling(),
     cleaning: Cleaning = Cleaning(), embedder: vector.Embedder = hash_embedding, distinct_edges: bool = False,
 ) -> Knowledge:
-    """The knowledge of all documents; chunks are written below folder, as several branches read them, and the model's answers stored there."""
-    spark = docs.sparkSession
-    chunks = prepared_chunks(docs, chunking, ranking, cleaning)
-    vector.embed(chunks, embedder).write.mode("overwrite").parquet(f"{folder}/chunks")
-    chunks = spark.read.parquet(f"{folder}/chunks")
+    """The knowledge of all documents; chunks, parsed answers and the graph are written below folder, as several branches read them, and the model's answers stored there."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    chunks = kept(vector.embed(prepared_chunks(docs, chunking, ranking, cleaning), embedder), "chunks")
     raw = extract.responses(chunks.drop("emb"), make, calling, f"{folder}/answers")
-    nodes, edges = graph_of(raw.select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed")), distinct_edges)
+    nodes, edges = graph_of(raw.select("doc_id", "chunk_rank", extract.parse_strict(F.col("raw")).alias("parsed")), distinct_edges, kept)
     return Knowledge(chunks, nodes, edges)
 
 
