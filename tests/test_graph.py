@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loomtext.config import Calling
 from loomtext.operators import extract, graph, retrieve
-from loomtext.plans import catalogue, pipeline
+from loomtext.plans import catalogue, graph_queries, pipeline
 from loomtext.sources import readers, sinks
 from loomtext.streaming.ingest import graph_stream, index_stream
 
@@ -149,6 +149,16 @@ def test_narrow_rows_are_dealt_out(spark, sf):
         assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4, name
 
 
+def test_graphs_are_made_once(spark, sf, tmp_path):
+    """Nodes and edges are read from what was written: whoever reads them makes neither the dedupes nor the parsing again."""
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    answer = '{"entities":[{"id":"AA","type":"T"}],"relations":[{"source":"AA","target":"BB","predicate":"p","evidence":"e"}]}'
+    known = pipeline.build(docs, lambda: lambda _: answer, str(tmp_path / "built"), calling=Calling(pause=0.0))
+    for df in (known.nodes, known.edges, *graph_queries._graph(spark, sf)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Aggregate", "Join", "Python", "UDF")), plan
+
+
 def test_hops_and_rerank(spark):
     edges = spark.createDataFrame([(a, b, a, b, "r") for a, b in ("ab", "bc", "cd")], "src_key string, dst_key string, src_id string, dst_id string, rel_type string")
     seeds = spark.createDataFrame([(1, "a")], "query_id int, node_key string")
