@@ -25,7 +25,7 @@ are unseen.  Texts of any length are taken whole; one of more than BLOCK bytes i
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +40,15 @@ from loomtext.llm.repeats import _pack, _raw, _unpack
 CLASSES, WIDTH = 32, 32
 HEADS = CLASSES * WIDTH
 KINDS = 2 * CLASSES  # classes of heads, then of tails
-ROWS, WORD_ROWS = 1 << 15, 1 << 15
+ROW_BITS = 15
+ROWS, WORD_ROWS = 1 << ROW_BITS, 1 << ROW_BITS
 NEAR = 4096  # rows that words beyond the heads share as a single word of context
 ONE = HEADS + 1 + NEAR  # rows of single words: heads, what stands before a text, and all others
 SLICES = 32
 FAN = 16  # parts that are summed at once
 LEVELS = 256  # of counts, four to a doubling
 N_SUMS = 2 * CLASSES + LEVELS
-BATCH = 2048
+CONTEXTS = 4096  # distinct contexts of a batch
 BLOCK = 6 << 20  # bytes of text in a block, unless one text is longer
 BUCKET = 16 << 20  # bytes of text whose words and triples make a bucket
 TASK = 16 << 20  # training tokens of a gradient task
@@ -154,20 +155,6 @@ class Weights:
         return out
 
 
-def _picked(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The log of the softmax at one place of each row."""
-    at = scores[np.arange(len(which)), which]
-    return at - np.log(np.exp(scores, out=scores).sum(axis=1))
-
-
-def _missed(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Observed minus expected: 1 at one place of each row, less the softmax."""
-    out = np.exp(scores, out=scores)
-    out /= -out.sum(axis=1, keepdims=True)
-    out[np.arange(len(which)), which] += 1
-    return out
-
-
 def _level(counts: np.ndarray) -> np.ndarray:
     return np.floor(4 * np.log2(counts)).astype(np.int64)
 
@@ -177,39 +164,71 @@ def _kind(codes: np.ndarray) -> np.ndarray:
 
 
 def _add_rows(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """total[at] += values, repeated rows adding up."""
+    """total[at] += values (float32, an even number of columns), repeated rows adding up."""
     order = np.argsort(at.astype(np.uint16), kind="stable")
     cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-    total[at[order[cuts]]] += np.add.reduceat(values[order], cuts, axis=0)
+    sizes = np.diff(np.append(cuts, len(at)))
+    once = order[cuts[sizes == 1]]
+    total[at[once]] += values[once]
+    more = sizes > 1
+    if more.any():
+        order, sizes = order[np.repeat(more, sizes)], sizes[more]
+        cuts = np.cumsum(sizes) - sizes
+        # numpy sums each column of each run apart, so columns go in pairs
+        total[at[order[cuts]]] += np.add.reduceat(values[order].view(np.complex64), cuts, axis=0).view(np.float32)
+
+
+def _contexts(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct contexts (rows of the features) in batches: their rows, how many tokens each has, and those tokens one context after the other."""
+    keys = rows[0] << 2 * ROW_BITS | rows[1] << ROW_BITS | rows[2]
+    order = np.argsort(keys)
+    cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    ends = np.append(cuts, len(keys))
+    for a in range(0, len(cuts), CONTEXTS):
+        b = min(a + CONTEXTS, len(cuts))
+        yield rows[:, order[cuts[a:b]]], np.diff(ends[a : b + 1]), order[ends[a] : ends[b]]
+
+
+def _of_words(weights: Weights) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda w: weights.word_scores(w, w[0] // (WORD_ROWS // CLASSES))  # word_rows tell the class
+
+
+def _picked(rows: np.ndarray, which: np.ndarray, scores: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The log of the softmax of each token's context at one place.  Equal contexts are scored once."""
+    out = np.zeros(len(which))
+    for r, times, of in _contexts(rows):
+        s, row = scores(r), np.repeat(np.arange(len(times)), times)
+        at = s[row, which[of]]
+        out[of] = at - np.log(np.exp(s, out=s).sum(axis=1))[row]
+    return out
+
+
+def _missed(total: np.ndarray, rows: np.ndarray, which: np.ndarray, scores: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Add to total's rows: 1 at the observed place of each token, less the softmax of its context's scores.  Equal contexts are scored once."""
+    width = total.shape[1]
+    for r in rows:
+        total += np.bincount(r * width + which, minlength=total.size).reshape(total.shape)
+    for r, times, _ in _contexts(rows):
+        g = scores(r)
+        np.exp(g, out=g)
+        g *= (-times / g.sum(axis=1)).astype(np.float32)[:, None]
+        for x in r:
+            _add_rows(total, x, g)
 
 
 def text_logs(codes: np.ndarray, rows: np.ndarray, weights: Weights) -> np.ndarray:
     """The log probability of each token up to its tail class."""
-    kind = _kind(codes)
-    out = np.zeros(len(codes))
-    for a in range(0, len(codes), BATCH):
-        k, r, c = kind[a : a + BATCH], rows[:, a : a + BATCH], codes[a : a + BATCH]
-        out[a : a + BATCH] = _picked(weights.class_scores(r), k)
-        head = np.flatnonzero(c < HEADS)
-        if len(head):
-            out[a + head] += _picked(weights.word_scores(word_rows(r[:, head], k[head]), k[head]), c[head] % WIDTH)
+    kind, head = _kind(codes), np.flatnonzero(codes < HEADS)
+    out = _picked(rows, kind, weights.class_scores)
+    out[head] += _picked(word_rows(rows[:, head], kind[head]), codes[head] % WIDTH, _of_words(weights))
     return out
 
 
 def gradient(codes: np.ndarray, rows: np.ndarray, weights: Weights, kinds: np.ndarray, words: np.ndarray) -> None:
     """Add observed minus expected feature counts of the tokens to kinds and words."""
-    kind = _kind(codes)
-    for a in range(0, len(codes), BATCH):
-        k, r, c = kind[a : a + BATCH], rows[:, a : a + BATCH], codes[a : a + BATCH]
-        g = _missed(weights.class_scores(r), k)
-        for x in r:
-            _add_rows(kinds, x, g)
-        head = np.flatnonzero(c < HEADS)
-        if len(head):
-            w = word_rows(r[:, head], k[head])
-            g = _missed(weights.word_scores(w, k[head]), c[head] % WIDTH)
-            for x in w:
-                _add_rows(words, x, g)
+    kind, head = _kind(codes), np.flatnonzero(codes < HEADS)
+    _missed(kinds, rows, kind, weights.class_scores)
+    _missed(words, word_rows(rows[:, head], kind[head]), codes[head] % WIDTH, _of_words(weights))
 
 
 def observe(codes: np.ndarray, rows: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> None:

@@ -431,6 +431,27 @@ def test_op10_classes():
             assert (up - down) / 0.02 == pytest.approx(found[at], rel=0.05, abs=0.05)
 
 
+def test_op10_equal_contexts_meet(monkeypatch):
+    """A gradient scores equal contexts once, however often a block repeats them, and adds them up as often as they occur."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    ids = np.sort(rng.integers(0, 1 << 32, 60, dtype=np.uint32))
+    codes = np.where(np.arange(60) < 40, np.arange(60) * 7, maxent.HEADS + np.arange(60) % maxent.CLASSES)
+    once, copies = rng.integers(0, 60, 200), 30
+    weights = maxent.Weights(*(rng.normal(size=s).astype(np.float32) for s in ((maxent.ROWS, maxent.KINDS), (maxent.WORD_ROWS, maxent.WIDTH), (maxent.KINDS,), (maxent.CLASSES, maxent.WIDTH))))
+    looked, scores, found = [], maxent.Weights.class_scores, []
+    monkeypatch.setattr(maxent.Weights, "class_scores", lambda self, rows: looked.append(rows.shape[1]) or scores(self, rows))
+    for number, begins in ((once, np.array([0, 200])), (np.tile(once, copies), np.arange(copies + 1) * 200)):
+        kinds, words = np.zeros((maxent.ROWS, maxent.KINDS), np.float32), np.zeros((maxent.WORD_ROWS, maxent.WIDTH), np.float32)
+        maxent.gradient(codes[number], maxent.feature_rows(ids[number], maxent.single_rows(ids, codes)[number], begins), weights, kinds, words)
+        found.append((kinds, words))
+    assert sum(looked) <= 2 * 200
+    for one, many in zip(*found, strict=True):
+        assert np.abs(many - copies * one).max() < 1e-3 * copies
+        assert np.abs(one).max() > 0.5
+
+
 def test_op10_size_of_what_is_gathered(spark, sf):
     """What tasks send follows the tokens, not the partitions: as many gradient tasks, and the same counts, for 2 partitions and for 60."""
     docs = queries.table(spark, sf, "documents")
