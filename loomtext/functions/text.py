@@ -61,9 +61,15 @@ def nfkc(c: Column) -> Column:
 
 def hash_embedding(c: Column, dim: int = 64) -> Column:
     """A text's SHA-256 bytes, repeated to `dim` values from -1 to 1 and scaled to length 1: equal texts meet, others don't."""
-    byte = lambda h, i: F.conv(F.substr(h, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255.0 * 2.0 - 1.0
-    values = let(F.sha2(c, 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(h, i)))
-    return let(values, lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
+    # the digest is read eight hex digits at once, each of its 32 bytes once
+    group = lambda h, k: F.conv(F.substr(h, k * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+    byte = lambda gs, i: F.call_function("shiftright", F.get(gs, (i / 4).cast("int")), 24 - i % 4 * 8).bitwiseAND(255) / 255.0 * 2.0 - 1.0
+    steps = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    repeated = lambda v: v if dim <= 32 else F.slice(F.concat(*[v] * -(-dim // 32)), 1, dim)
+    groups = let(F.sha2(c, 256), lambda h: F.transform(steps(8), lambda k: group(h, k)))
+    values = let(groups, lambda gs: F.transform(steps(min(dim, 32)), lambda i: byte(gs, i)))
+    length = lambda v: F.sqrt(F.aggregate(repeated(v), F.lit(0.0), lambda s, x: s + x * x))
+    return let(values, lambda v: let(length(v), lambda n: repeated(F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import edge_type, fold, is_number, relation_type, strip, words
-from loomtext.sources.staging import staged
+from loomtext.sources.staging import few, staged
 
 NODE_ORDER = ("branch", "chunk_rank", "pos", "side")
 SEED_CHARS = 4
@@ -104,7 +104,7 @@ def seed_match(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     wanted = terms.select("term", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     counted = ids.select("run").join(wanted.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("ids"))
     met = wanted.join(counted, "run").groupBy("term", "n").agg(F.count("*").alias("found"), F.min(F.struct("ids", "run")).alias("rarest"))
-    keyed = met.filter("found = n").select("term", F.col("rarest.run").alias("run"))
+    keyed = few(staged(met.filter("found = n").select("term", F.col("rarest.run").alias("run")), "terms"))  # ids don't move for a few terms
     pairs = ids.join(keyed, "run").filter(F.contains("low", "term")).select("term", "node_key")
     return pairs.join(asked, "term").select("query_id", "node_key").distinct()
 
@@ -142,6 +142,7 @@ def k_hop_facts(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int |
     near, heavy = dealt_adjacency(edges, hub)
     near = staged(near, "adjacency") if hops > 1 else near
     frontier = seeds.select("query_id", "node_key").distinct()
+    frontier = staged(frontier, "seeds") if hops > 1 else frontier  # read again as nodes that were visited
     visited, facts = None, []
     for hop in range(hops):
         spread = frontier.join(F.broadcast(heavy), "node_key", "left").select("query_id", "node_key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"))

@@ -53,10 +53,15 @@ def _stored(table: pa.Table | pa.RecordBatch) -> bytes:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (…, emb) in blocks of at most `size`, as Arrow bytes with the length of the longest vector."""
+    """Rows (…, emb) with a vector in blocks of at most `size`, as Arrow bytes with the length of the longest vector.
+
+    Rows without a vector are left out here: Spark would move a filter on vectors before a repartition of their texts, and so make each
+    vector twice, once in the few tasks that read the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("emb").is_valid())
             for i in range(0, batch.num_rows, size):
                 piece = batch.slice(i, size)
                 raw = _stored(piece)
@@ -111,7 +116,6 @@ def search_many(items: DataFrame, questions: DataFrame, k: int = 10, order: tupl
     scores are sums in the order of the vectors, equal for equal vectors.  Items and questions without a vector are left out.
     """
     asked = questions.filter("emb is not null").select("query_id", "emb")
-    items = items.filter("emb is not null")
     kept = [c for c in items.columns if c != "emb"]
     kinds = dict(items.dtypes)
     kind = ", ".join([f"query_id {dict(asked.dtypes)['query_id']}", *(f"`{c}` {kinds[c]}" for c in kept), "score double"])

@@ -320,3 +320,19 @@ def test_sql(spark, sf, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def test_seeds_are_found_once(spark):
+    """Hops read what was found as seeds, and don't look for it again to know what was visited."""
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def found(key):
+        looked.add(1)
+        return key
+
+    edges = spark.createDataFrame([(a, b, a.upper(), b.upper(), "R") for a, b in ("ab", "bc", "cd", "de")], "src_key string, dst_key string, src_id string, dst_id string, rel_type string")
+    seeds = spark.createDataFrame([(1, "a"), (2, "e"), (2, "zz")], "query_id int, node_key string").withColumn("node_key", found("node_key"))
+    got = sorted((r["query_id"], r["head"], r["tail"]) for r in graph.k_hop_facts(edges, seeds, 2, None).collect())
+    assert got == [(1, "A", "B"), (1, "B", "C"), (2, "C", "D"), (2, "D", "E")]
+    assert looked.value == 3

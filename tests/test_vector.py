@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.operators import vector
 
@@ -60,3 +61,19 @@ def test_items_are_read_once(spark):
     got = vector.search_many(items.mapInArrow(count, items.schema), questions, 2).collect()
     assert seen.value == 1000
     assert {(r["query_id"], r["rank"]): r["id"] for r in got if r["query_id"] != 25} == {(q, n): (999 - n + 1 if q > 25 else n - 1) for q in range(50) if q != 25 for n in (1, 2)}
+
+
+def test_vectors_are_made_once(spark):
+    """Also where rows were dealt out before, and rows without a vector are left out."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embedder(text):
+        made.add(1)
+        return None if text == "7" else [1.0, float(text)]
+
+    items = vector.embed(spark.range(40).withColumn("text", F.col("id").cast("string")).repartition(4), embedder)
+    asked = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, emb array<double>")
+    hits = sorted((r["rank"], r["id"]) for r in vector.search_many(items, asked, 40).collect())
+    assert hits == list(enumerate([i for i in range(39, -1, -1) if i != 7], 1))
+    assert made.value == 40
