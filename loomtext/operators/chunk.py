@@ -211,10 +211,18 @@ def custom_chunks(c: Column, target: int = 900, overlap: int = 150, drop_referen
     return F.transform(rows, lambda r, i: F.struct(name(r, i).alias("chunk_id"), r["text"].alias("text")))
 
 
+def _fallback(pages: Column, sections: Column, windows: Column, max_chunks: int) -> Column:
+    every = F.concat(pages, sections, windows)
+    return F.slice(F.array_distinct(F.filter(F.transform(every, strip), lambda x: F.length(x) >= MIN_CHUNK_CHARS)), 1, max_chunks)
+
+
+#: chunkers of whole texts with the values that strategies give them
+BY_NAME = {"pages": lambda c: page_chunks(c, 120), "sections": lambda c: section_chunks(c, 2600, 900), "sliding": lambda c: sliding_chunks(c, 2400, 700, 40)}
+
+
 def fallback_chunks(c: Column, max_chunks: int = 40) -> Column:
     """Pages, sections and windows in this order, equal texts once."""
-    every = F.concat(page_chunks(c, 120), section_chunks(c, 2600, 900), sliding_chunks(c, 2400, 700, 40))
-    return F.slice(F.array_distinct(F.filter(F.transform(every, strip), lambda x: F.length(x) >= MIN_CHUNK_CHARS)), 1, max_chunks)
+    return _fallback(*(make(c) for make in BY_NAME.values()), max_chunks)
 
 
 def numbered(chunks: Column) -> Column:
@@ -227,13 +235,27 @@ def chunks_by_strategy(c: Column, how: Chunking = Chunking(), most: int = 40) ->
     name = (how.strategy or "semantic").lower().strip()
     if name == "custom":
         return custom_chunks(c, how.windows.target, how.windows.overlap, how.windows.without_references)
-    named = {
-        "semantic": lambda: semantic_chunks(c, how.gathering),
-        "sections": lambda: section_chunks(c, 2600, 900),
-        "sliding": lambda: sliding_chunks(c, 2400, 700, 40),
-        "pages": lambda: page_chunks(c, 120),
-    }
-    return numbered(named.get(name, lambda: fallback_chunks(c, most))())
+    if name == "semantic":
+        return numbered(semantic_chunks(c, how.gathering))
+    return numbered(BY_NAME[name](c) if name in BY_NAME else fallback_chunks(c, most))
+
+
+def chunks_by_strategies(c: Column, names: tuple[str, ...], most: int = 40) -> Column:
+    """array<struct<strategy, chunks>>: chunks_by_strategy for each name; pages, sections and windows are made once for each text, whoever takes them."""
+    known = {name: name.lower().strip() for name in names}
+    needed = [part for part in BY_NAME if part in known.values() or set(known.values()) - {*BY_NAME, "semantic", "custom", ""}]
+
+    def each(made: Column) -> Column:
+        def chunks(name: str) -> Column:
+            if known[name] in BY_NAME:
+                return numbered(made[known[name]])
+            if known[name] in ("semantic", "custom", ""):
+                return chunks_by_strategy(c, Chunking(name), most)
+            return numbered(_fallback(*(made[part] for part in BY_NAME), most))
+
+        return F.array(*(F.struct(F.lit(name).alias("strategy"), chunks(name).alias("chunks")) for name in names))
+
+    return let(F.struct(F.lit(0).alias("none"), *(BY_NAME[part](c).alias(part) for part in needed)), each)
 
 
 def chunk(docs: DataFrame, chunks: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.config import SECTION_HEADINGS, STOP_HEADINGS, SYNONYMS, Chunking, Ranking
 from loomtext.functions import text as T
 from loomtext.operators import chunk, clean, rank, retrieve, vector
-from loomtext.plans.register import LETTER, WS, query, quoted, s_embedding, s_fold, s_strip, s_sub, s_words, table
+from loomtext.plans.register import LETTER, WS, dealt, query, quoted, s_embedding, s_fold, s_strip, s_sub, s_words, table
 from loomtext.sources.layout import layout_elements
 from loomtext.sources.readers import decoded, element_sections, flatten_sections, html_elements
 from loomtext.sources.staging import small_batches
@@ -392,8 +392,10 @@ S_STRATEGIES = {"sections": s_sections("t", 2600, 900), "pages": s_pages("t", 12
 @query(" union all ".join(f"(select '{name}' as strategy, doc_id, chunk_no, (chunk_no + 1)::varchar as chunk_id, text from ({_listed(f'select doc_id, {s_strip(DOC)} as t from documents', sql)}))" for name, sql in S_STRATEGIES.items()))
 def chunk_strategies(spark, sf_dir):
     """Chunks by each strategy's name; a name that is none takes all."""
-    each = [chunk.chunk(_docs(spark, sf_dir), chunk.chunks_by_strategy(F.col("text"), Chunking(name))).withColumn("strategy", F.lit(name)) for name in S_STRATEGIES]
-    return reduce(DataFrame.unionByName, each).select("strategy", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", "text")
+    docs = dealt(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = docs.select("doc_id", F.explode(chunk.chunks_by_strategies(F.col("text"), tuple(S_STRATEGIES))).alias("by"))
+    rows = each.select("by.strategy", "doc_id", F.posexplode("by.chunks").alias("chunk_no", "c"))
+    return rows.select("strategy", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "c.chunk_id", "c.text")
 
 
 _decoded = lambda x: s_sub(f"replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')", "&amp;?", "&")

@@ -116,3 +116,16 @@ def test_blanks_are_those_of_patterns(spark):
     every = spark.range(1, 0xFFFF).filter("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     assert every.filter((T.strip(F.col("c")) == "") != F.col("c").rlike(T.rx(r"^\s$"))).count() == 0
     assert one(spark, "　\x1fa \xa0b\n\x85", T.strip) == "a \xa0b" and one(spark, " a  ", T.rstrip) == " a"
+
+
+def test_strategies_share_what_they_make(spark, sf):
+    """Chunks of several strategies at once are those of each alone, and the query reads and chunks each text once for all of them."""
+    text = "--- Page 1 ---\n" + "Abstract\n" + "some words of it. " * 200 + "\n--- Page 2 ---\nResults\n" + "more words. " * 300
+    names = ("sections", "pages", "Sliding ", "all", "semantic", "custom", " ")
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    made = docs.select("doc_id", chunk.chunks_by_strategies(F.col("text"), names).alias("by")).collect()
+    for name in names:
+        alone = {r["doc_id"]: r["c"] for r in docs.select("doc_id", chunk.chunks_by_strategy(F.col("text"), Chunking(name)).alias("c")).collect()}
+        assert alone[1] and {r["doc_id"]: next(b["chunks"] for b in r["by"] if b["strategy"] == name) for r in made} == alone
+    plan = __spark_entry__.queries()["chunk_strategies"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
