@@ -112,8 +112,9 @@ def graph_read_back(spark, sf_dir):
     """A graph that is committed in two batches, one of them twice, and read as of the last manifest."""
     nodes, edges = _graph(spark, sf_dir)
     path = fresh_dir(spark, "graph")
-    for batch, part in (("even", 0), ("odd", 1), ("even", 0)):
-        sinks.write_graph(*(df.filter(F.pmod("doc_id", F.lit(2)) == part) for df in (nodes, edges)), path, batch)
+    odd = F.coalesce(F.pmod("doc_id", F.lit(2)) == 1, F.lit(False))  # a row without a doc_id is in a batch too
+    for batch, rows in (("even", ~odd), ("odd", odd), ("even", ~odd)):
+        sinks.commit({"nodes": nodes.filter(rows), "edges": edges.filter(rows)}, path, batch)  # raises, as a graph without one of its batches is no result
     told = sinks.committed(spark, path, "edges").select(F.lit("edge").alias("kind"), "doc_id", F.col("src_key").alias("key"), F.concat_ws(" ", "rel_type", "dst_key").alias("value"))
     return told.union(sinks.committed(spark, path, "nodes").select(F.lit("node"), "doc_id", "node_key", F.concat_ws("/", "id", "type")))
 

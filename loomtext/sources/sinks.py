@@ -99,7 +99,10 @@ def committed(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, batch: str = "all") -> bool:
-    """Commit both tables of a batch below path; False, with a log entry, if Spark can't."""
+    """Commit both tables of a batch below path; False, with a log entry, if Spark can't.
+
+    False has to be looked at, as readers then see the graph without this batch; who reads on from what was written calls commit, which raises.
+    """
     try:
         commit({"nodes": nodes, "edges": edges}, path, batch)
     except (PySparkException, Py4JJavaError):

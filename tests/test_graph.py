@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loomtext.config import Calling
 from loomtext.operators import extract, graph, retrieve
-from loomtext.plans import catalogue, graph_queries, pipeline
+from loomtext.plans import built_queries, catalogue, graph_queries, pipeline
 from loomtext.sources import readers, sinks
 from loomtext.streaming.ingest import graph_stream, index_stream
 
@@ -336,3 +336,16 @@ def test_seeds_are_found_once(spark):
     got = sorted((r["query_id"], r["head"], r["tail"]) for r in graph.k_hop_facts(edges, seeds, 2, None).collect())
     assert got == [(1, "A", "B"), (1, "B", "C"), (2, "C", "D"), (2, "D", "E")]
     assert looked.value == 3
+
+
+def test_read_back_is_whole_or_fails(spark, sf, monkeypatch):
+    """A graph of which a batch can't be written is no result, and rows without a doc_id are in one of the batches."""
+    nodes = spark.createDataFrame([(1, "a", "A", "T"), (2, "b", "B", "T"), (None, "c", "C", "T")], "doc_id long, node_key string, id string, type string")
+    edges = spark.createDataFrame([(1, "a", "R", "a"), (2, "b", "R", "b")], "doc_id long, src_key string, rel_type string, dst_key string")
+    broken = lambda doc_id: edges.withColumn("dst_key", F.when(F.col("doc_id") == doc_id, F.raise_error(F.lit("midway"))).otherwise(F.col("dst_key")))
+    for doc_id in (1, 2):
+        monkeypatch.setattr(built_queries, "_graph", lambda *_, table=broken(doc_id): (nodes, table))
+        with pytest.raises(PySparkException, match="midway"):
+            built_queries.graph_read_back(spark, sf)
+    monkeypatch.setattr(built_queries, "_graph", lambda *_: (nodes, edges))
+    assert sorted((r["kind"], r["key"]) for r in built_queries.graph_read_back(spark, sf).collect()) == [("edge", "a"), ("edge", "b"), ("node", "a"), ("node", "b"), ("node", "c")]
